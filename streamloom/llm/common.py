@@ -18,6 +18,9 @@ U64 = np.uint64
 GROUP_BYTES = 1 << 20
 
 
+_own: dict[str, str] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -33,8 +36,7 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", made := tempfile.mkdtemp(prefix="streamloom-"))
-    return made
+    return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="streamloom-"))
 
 
 def keep(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
