@@ -140,6 +140,27 @@ def benchmark_blocks(bench: DataFrame, window: int, item: str = "item_id", text:
 _HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
 
 
+def _search(texts: list[str], blocks: list, window: int):
+    """For each text its words, the words hit, the items found, and the longest match."""
+    w = Words(texts, PLAIN_WORDS)
+    n = np.diff(w.first)
+    change = np.zeros(len(w.hash) + len(texts) + window + HEAD + 1, np.int64)
+    items: list[set] = [set() for _ in texts]
+    longest = np.zeros(len(texts), np.int64)
+    place_doc = np.repeat(np.arange(len(texts)), n + 1)
+    for block in blocks:
+        shard = Shard(w, b := block.value)
+        suffix, place = shard.windows()
+        np.add.at(change, place, 1)
+        np.add.at(change, place + b.size[suffix], -1)
+        for d, i in np.unique(np.stack([place_doc[place], b.item[suffix]]), axis=1).T.tolist():
+            items[d].add(b.ids[i])
+        np.maximum.at(longest, place_doc[place], shard.extend(suffix, place, b.size[suffix]))
+    hit = (np.cumsum(change)[np.arange(len(w.hash)) + w.doc] > 0).astype(np.int64)
+    sums = np.concatenate([[0], np.cumsum(hit)])
+    return n, sums[w.first[1:]] - sums[w.first[:-1]], items, longest
+
+
 def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, longest) for docs(doc_id, text).
 
@@ -153,27 +174,24 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> D
 
     def run(it):
         for batch, texts in batches(it, most=SHARD_BYTES):
-            w = Words(texts, PLAIN_WORDS)
-            n = np.diff(w.first)
-            change = np.zeros(len(w.hash) + len(texts) + window + HEAD + 1, np.int64)
-            items: list[set] = [set() for _ in texts]
-            longest = np.zeros(len(texts), np.int64)
-            place_doc = np.repeat(np.arange(len(texts)), n + 1)
-            for block in blocks:
-                shard = Shard(w, b := block.value)
-                suffix, place = shard.windows()
-                np.add.at(change, place, 1)
-                np.add.at(change, place + b.size[suffix], -1)
-                for d, i in np.unique(np.stack([place_doc[place], b.item[suffix]]), axis=1).T.tolist():
-                    items[d].add(b.ids[i])
-                np.maximum.at(longest, place_doc[place], shard.extend(suffix, place, b.size[suffix]))
-            hit = (np.cumsum(change)[np.arange(len(w.hash)) + w.doc] > 0).astype(np.int64)
-            sums = np.concatenate([[0], np.cumsum(hit)])
-            yield out_batch(_HITS, doc_id=batch.column("doc_id"), n_words=n, n_hit=sums[w.first[1:]] - sums[w.first[:-1]], n_items=[len(x) for x in items], items=[sorted(x) for x in items], longest=longest)
+            n, hit, items, longest = _search(texts, blocks, window)
+            yield out_batch(_HITS, doc_id=batch.column("doc_id"), n_words=n, n_hit=hit, n_items=[len(x) for x in items], items=[sorted(x) for x in items], longest=longest)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, longest long")
 
 
+def keep_clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+    """docs(text, ...) without contaminated documents; rows and columns stay as they are."""
+    blocks = list(benchmark_blocks(bench, window))
+
+    def run(it):
+        for batch, texts in batches(it, most=SHARD_BYTES):
+            n, hit, _, _ = _search(texts, blocks, window)
+            yield batch.filter(pa.array((hit == 0) | (20 * hit < n)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 _MATCH = pa.schema([("item_id", pa.string()), ("item_word", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("doc_word", pa.int64())])
 
 

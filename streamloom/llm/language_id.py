@@ -238,6 +238,21 @@ def label_documents(docs: DataFrame, held_out: int = 2, model: Model | None = No
     return own.select("doc_id", "text", "held").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_settled(docs: DataFrame, least: float, held_out: int = 2) -> DataFrame:
+    """docs(doc_id, text, lang, ...) without documents that are "und" or whose
+    language has less than `least` of their words; rows and columns stay as they are."""
+    own = docs.select("doc_id", "text", "lang").where(id_bucket("doc_id", 4) != held_out)
+    use = docs.sparkSession.sparkContext.broadcast(learn(own))
+
+    def run(it):
+        m = use.value
+        for batch, texts in batches(it, most=GROUP):
+            pred, score = m.predict(texts)
+            yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return label_documents(table(spark, sf_dir, "documents"))
 
