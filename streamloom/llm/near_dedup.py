@@ -28,6 +28,10 @@ SLACK = 0.13
 #: Buckets of up to so many texts give all their pairs; larger ones are resolved by hubs.
 SMALL_BUCKET = 8
 HUBS = 4
+#: Texts outside a bucket's largest part first meet so many central texts of it.
+CENTRAL = 16
+#: Block sizes of the comparison of what still remains with all texts.
+BLOCK_MEMBERS, BLOCK_ODD = 2000, 1000
 
 _seeds = mix(np.arange(1, 2 * M + 1, dtype=U64))
 _XOR = (_seeds[:M] >> U64(32)).astype(np.uint32)
@@ -121,6 +125,41 @@ def _likely(least: float):
     return run
 
 
+def _meet(least: float, percent: int):
+    """Rows come sorted by (main, salt, part, kind): the odd texts (kind 0) of a
+    block, then the texts to compare each of them with."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(it):
+        key, odd = None, []
+        for batch in it:
+            cols = [batch.column(c).to_pylist() for c in ("main", "salt", "part", "kind")]
+            keys = list(zip(*cols[:3], strict=True))
+            ids, label, n = (batch.column(c).to_numpy() for c in ("doc_id", "label", "n"))
+            regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, M)
+            kind = np.array(cols[3])
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or kind[i] != kind[i - 1]], len(keys)]
+            for x, y in zip(cuts, cuts[1:], strict=False):
+                if x == y:
+                    continue
+                if keys[x] != key:
+                    key, odd = keys[x], []
+                if kind[x] == 0:
+                    odd += [(int(ids[i]), int(label[i]), float(n[i]), regs[i].copy()) for i in range(x, y)]
+                    continue
+                for o, ol, on, r in odd:
+                    fit = (label[x:y] != ol) & (100 * np.minimum(n[x:y], on) >= percent * np.maximum(n[x:y], on))
+                    # registers agree at least as often as the sets do
+                    at = x + np.flatnonzero(fit)
+                    at = at[(regs[at] == r).sum(1) >= (least - 0.1) * M]
+                    if len(at):
+                        good = likeliest(np.broadcast_to(r, (len(at), M)), regs[at], np.full(len(at), on), n[at].astype(float)) >= least
+                        at = at[good]
+                        yield out_batch(schema, a=np.minimum(ids[at], o), b=np.maximum(ids[at], o))
+
+    return run
+
+
 def shingle_set(text: str, size: int) -> set:
     words = text.encode("utf-8", "surrogatepass").translate(BLANK_WORDS).split()
     if len(words) < size:
@@ -166,29 +205,31 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     Equal word sequences are first reduced to their smallest doc_id.  Texts
     that share a band of registers are compared: all pairs of buckets of up to
-    SMALL_BUCKET texts; in larger ones every text with a few hub texts, and
-    then every text that isn't in its bucket's largest part with all texts of
-    the bucket, so no pair in different components stays uncompared.
+    SMALL_BUCKET texts; in larger ones every text with a few hub texts; a text
+    that isn't in its bucket's largest part then with central texts of that part,
+    and, if it is still outside, with all of them and all others outside, in
+    blocks of bounded size, so no such pair stays uncompared.
     """
     sk = keep(sketches(docs, size), "sketches")
     classes = keep(sk.where("n_shingles > 0 and doc_id is not null").groupBy("text_hi", "text_lo").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r")).select("text_hi", "text_lo", "r.*"), "classes")
     byte = lambda i: F.conv(F.hex(F.substring("registers", i + 1, ROWS)), 16, 10).cast("long")
-    bands = keep(classes.select("doc_id", F.explode(F.array(*[byte(k * ROWS) + F.lit(k << 8 * ROWS) for k in range(BANDS)])).alias("band")), "bands")
-    order = lambda k: F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id")
+    bands = keep(classes.select("doc_id", F.col("n_shingles").alias("size"), F.explode(F.array(*[byte(k * ROWS) + F.lit(k << 8 * ROWS) for k in range(BANDS)])).alias("band")), "bands")
+    order = lambda k: F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size")
     hub = F.min(F.when(F.shiftright("band", 8 * ROWS) % HUBS == 0, order(0)).when(F.shiftright("band", 8 * ROWS) % HUBS == 1, order(1)).when(F.shiftright("band", 8 * ROWS) % HUBS == 2, order(2)).otherwise(order(3)))
-    buckets = keep(bands.groupBy("band").agg(hub.alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "n", F.col("hub.doc_id").alias("hub")), "buckets")
-    shared = keep(bands.join(buckets, "band").select("band", "doc_id", "hub", "n"), "shared")
+    buckets = keep(bands.groupBy("band").agg(hub.alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size")), "buckets")
+    shared = keep(bands.join(buckets, "band").select("band", "doc_id", "size", "hub", "hub_size", "n"), "shared")
     # at most SMALL_BUCKET ids meet in a list, and so at most that many pairs for each id
-    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.collect_list("doc_id").alias("ids"))
+    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.collect_list(F.struct("doc_id", "size")).alias("ids"))
     x, y = F.col("x"), F.col("y")
-    pairs = small.select(F.explode("ids").alias("x"), "ids").select("x", F.explode("ids").alias("y")).where(x < y)
-    pairs = pairs.union(shared.where(F.col("n") > SMALL_BUCKET).select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).where(x < y))
+    alike = lambda s, t: 100 * F.least(s, t) >= percent * F.greatest(s, t)
+    pairs = small.select(F.explode("ids").alias("s"), "ids").select("s", F.explode("ids").alias("t")).where(alike(F.col("s.size"), F.col("t.size"))).select(F.col("s.doc_id").alias("x"), F.col("t.doc_id").alias("y")).where(x < y)
+    pairs = pairs.union(shared.where((F.col("n") > SMALL_BUCKET) & alike(F.col("size"), F.col("hub_size"))).select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).where(x < y))
     info = classes.select("doc_id", F.col("n_shingles").alias("n"), "registers")
 
     def likely(pairs: DataFrame) -> DataFrame:
         left = pairs.distinct().join(info.select(F.col("doc_id").alias("x"), F.col("n").alias("na"), F.col("registers").alias("ra")), "x")
         full = left.join(info.select(F.col("doc_id").alias("y"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "y")
-        full = full.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
+        full = full.where(alike(F.col("na"), F.col("nb")))
         return keep(full.select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb", "ra", "rb").mapInArrow(_likely(percent / 100 - SLACK), "a long, b long"), "likely")
 
     def texts_of(pairs: DataFrame) -> DataFrame:
@@ -198,22 +239,52 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     first = likely(pairs)
     links = keep(_links(first, texts_of(first), size, percent), "links")
-    large = shared.where(F.col("n") > SMALL_BUCKET)
     labels = components(links)
+    large = shared.where(F.col("n") > SMALL_BUCKET)
     if large.head(1):
-        # texts outside the largest part of a large bucket meet all its texts that they aren't linked with yet
-        placed = keep(large.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")), "placed")
-        parts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-        main = keep(parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.label").alias("main")), "main")
-        if main.head(1):
-            rest = keep(placed.join(main, "band").select("band", "doc_id", "label", "main"), "rest")
-            odd = rest.where("label <> main").select("band", F.col("doc_id").alias("o"), F.col("label").alias("ol"))
-            again = rest.join(odd, "band").where("label <> ol").select(F.least("doc_id", "o").alias("x"), F.greatest("doc_id", "o").alias("y"))
-            second = keep(likely(again).join(first, ["a", "b"], "left_anti"), "second")
-            if second.head(1):
-                more = keep(_links(second, texts_of(second), size, percent), "links")
+        done = first
+
+        def odd(labels: DataFrame) -> DataFrame:
+            """(main, doc_id, label) of texts that share a large bucket with its largest part, main, but aren't in it."""
+            placed = keep(large.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")), "placed")
+            parts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
+            main = keep(parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.label").alias("main")), "main")
+            return keep(placed.join(main, "band").where("label <> main").select("main", "doc_id", "label").distinct(), "odd")
+
+        def add(pairs: DataFrame) -> None:
+            nonlocal done, links, labels
+            new = keep(pairs.join(done, ["a", "b"], "left_anti"), "new")
+            if new.head(1):
+                more = keep(_links(new, texts_of(new), size, percent), "links")
+                done = done.union(new)
                 if more.head(1):
-                    labels = components(links.union(more))
+                    links = links.union(more)
+                    labels = components(links)
+
+        away = odd(labels)
+        if away.head(1):
+            # the texts with the most links are the likeliest to be near to others of their group
+            degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("d"))
+            spread = F.pmod(F.xxhash64("node"), F.lit(CENTRAL))
+            central = keep(labels.join(degree, "node").groupBy("label", spread).agg(F.max(F.struct("d", "node")).alias("m")).select(F.col("label").alias("main"), F.col("m.node").alias("node")), "central")
+            meet = away.join(central, "main").select(F.least("doc_id", "node").alias("x"), F.greatest("doc_id", "node").alias("y"))
+            add(likely(meet))
+            away = odd(labels)
+        if away.head(1):
+            # what remains is compared with all texts of the part, and with what else remains beside it
+            mains = away.select("main").distinct()
+            inside = labels.select(F.col("label").alias("main"), F.col("node").alias("doc_id"), "label").join(mains, "main", "left_semi")
+            lone = mains.select("main", F.col("main").alias("doc_id"), F.col("main").alias("label"))
+            members = inside.union(lone).union(away).distinct()
+            sizes = members.groupBy("main").agg(F.count("*").alias("nm")).join(away.groupBy("main").agg(F.count("*").alias("no")), "main")
+            sizes = keep(sizes.select("main", F.ceil(F.col("nm") / BLOCK_MEMBERS).cast("int").alias("salts"), F.ceil(F.col("no") / BLOCK_ODD).cast("int").alias("blocks")), "sizes")
+            full = keep(members.withColumn("kind", F.lit(1)).union(away.select("main", "doc_id", "label", F.lit(0))).join(sizes, "main").join(info, "doc_id"), "members")
+            h = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+            cols = ["main", "doc_id", "label", "kind", "n", "registers"]
+            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+            rows = full.where("kind = 1").select(*cols, h("salts").alias("salt"), every("blocks").alias("part")).unionByName(full.where("kind = 0").select(*cols, every("salts").alias("salt"), h("blocks").alias("part")))
+            got = rows.repartition("main", "salt", "part").sortWithinPartitions("main", "salt", "part", "kind").mapInArrow(_meet(percent / 100 - SLACK, percent), "a long, b long")
+            add(keep(got, "met").distinct())
     reached = keep(classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("text_hi", "text_lo", F.coalesce("label", "doc_id").alias("component")), "reached")
     return sk.join(reached, ["text_hi", "text_lo"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
