@@ -31,7 +31,7 @@ HUBS = 4
 #: Texts outside a bucket's largest part first meet so many central texts of it.
 CENTRAL = 16
 #: Block sizes of the comparison of what still remains with all texts.
-BLOCK_MEMBERS, BLOCK_ODD = 2000, 1000
+BLOCK_MEMBERS, BLOCK_ODD = 500, 500
 
 _seeds = mix(np.arange(1, 2 * M + 1, dtype=U64))
 _XOR = (_seeds[:M] >> U64(32)).astype(np.uint32)
@@ -125,37 +125,44 @@ def _likely(least: float):
     return run
 
 
-def _meet(least: float, percent: int):
+def _meet(least: float, percent: int, size: int):
     """Rows come sorted by (main, salt, part, kind): the odd texts (kind 0) of a
-    block, then the texts to compare each of them with."""
+    block, then the texts to compare each of them with.  Gives confirmed links,
+    one for each odd text and label at most."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it):
         key, odd = None, []
         for batch in it:
-            cols = [batch.column(c).to_pylist() for c in ("main", "salt", "part", "kind")]
-            keys = list(zip(*cols[:3], strict=True))
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("main", "salt", "part", "kind")), strict=True))
             ids, label, n = (batch.column(c).to_numpy() for c in ("doc_id", "label", "n"))
             regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, M)
-            kind = np.array(cols[3])
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1] or kind[i] != kind[i - 1]], len(keys)]
+            h, first = shingle_hashes(Words(batch.column("text").to_pylist(), BLANK_WORDS), size)
+            own = [np.unique(h[x:y]) for x, y in zip(first, first[1:], strict=False)]
+            links = []
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             for x, y in zip(cuts, cuts[1:], strict=False):
                 if x == y:
                     continue
-                if keys[x] != key:
-                    key, odd = keys[x], []
-                if kind[x] == 0:
-                    odd += [(int(ids[i]), int(label[i]), float(n[i]), regs[i].copy()) for i in range(x, y)]
+                if keys[x][:3] != key:
+                    key, odd = keys[x][:3], []
+                if keys[x][3] == 0:
+                    odd += [(int(ids[i]), int(n[i]), regs[i].copy(), own[i], {int(label[i])}) for i in range(x, y)]
                     continue
-                for o, ol, on, r in odd:
-                    fit = (label[x:y] != ol) & (100 * np.minimum(n[x:y], on) >= percent * np.maximum(n[x:y], on))
+                for o, on, r, shingles, reached in odd:
+                    at = x + np.flatnonzero((100 * np.minimum(n[x:y], on) >= percent * np.maximum(n[x:y], on)) & ~np.isin(label[x:y], list(reached)))
                     # registers agree at least as often as the sets do
-                    at = x + np.flatnonzero(fit)
                     at = at[(regs[at] == r).sum(1) >= (least - 0.1) * M]
-                    if len(at):
-                        good = likeliest(np.broadcast_to(r, (len(at), M)), regs[at], np.full(len(at), on), n[at].astype(float)) >= least
-                        at = at[good]
-                        yield out_batch(schema, a=np.minimum(ids[at], o), b=np.maximum(ids[at], o))
+                    if not len(at):
+                        continue
+                    likely = likeliest(np.broadcast_to(r, (len(at), M)), regs[at], np.full(len(at), float(on)), n[at].astype(float)) >= least
+                    for i in at[likely].tolist():
+                        if int(label[i]) not in reached:
+                            both = len(np.intersect1d(shingles, own[i], assume_unique=True))
+                            if 100 * both >= percent * (len(shingles) + len(own[i]) - both):
+                                reached.add(int(label[i]))
+                                links.append((min(o, int(ids[i])), max(o, int(ids[i]))))
+            yield out_batch(schema, a=[x for x, _ in links], b=[y for _, y in links])
 
     return run
 
@@ -278,13 +285,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
             members = inside.union(lone).union(away).distinct()
             sizes = members.groupBy("main").agg(F.count("*").alias("nm")).join(away.groupBy("main").agg(F.count("*").alias("no")), "main")
             sizes = keep(sizes.select("main", F.ceil(F.col("nm") / BLOCK_MEMBERS).cast("int").alias("salts"), F.ceil(F.col("no") / BLOCK_ODD).cast("int").alias("blocks")), "sizes")
-            full = keep(members.withColumn("kind", F.lit(1)).union(away.select("main", "doc_id", "label", F.lit(0))).join(sizes, "main").join(info, "doc_id"), "members")
+            text = texts_of(members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
+            full = keep(members.withColumn("kind", F.lit(1)).union(away.select("main", "doc_id", "label", F.lit(0))).join(sizes, "main").join(info, "doc_id").join(text, "doc_id"), "members")
             h = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-            cols = ["main", "doc_id", "label", "kind", "n", "registers"]
+            cols = ["main", "doc_id", "label", "kind", "n", "registers", "text"]
             every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
             rows = full.where("kind = 1").select(*cols, h("salts").alias("salt"), every("blocks").alias("part")).unionByName(full.where("kind = 0").select(*cols, every("salts").alias("salt"), h("blocks").alias("part")))
-            got = rows.repartition("main", "salt", "part").sortWithinPartitions("main", "salt", "part", "kind").mapInArrow(_meet(percent / 100 - SLACK, percent), "a long, b long")
-            add(keep(got, "met").distinct())
+            met = keep(rows.repartition("main", "salt", "part").sortWithinPartitions("main", "salt", "part", "kind").mapInArrow(_meet(percent / 100 - SLACK, percent, size), "a long, b long"), "met")
+            if met.head(1):
+                labels = components(links.union(met))
     reached = keep(classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("text_hi", "text_lo", F.coalesce("label", "doc_id").alias("component")), "reached")
     return sk.join(reached, ["text_hi", "text_lo"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
