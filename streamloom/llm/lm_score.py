@@ -86,7 +86,7 @@ def _counting(find, names: list[str]):
     schema = pa.schema([*((x, pa.int64()) for x in names), ("c", pa.int64())])
 
     def give(keys, c):
-        cols = keys.reshape(len(keys), -1).T
+        cols = keys.reshape(len(keys), len(names)).T
         return out_batch(schema, c=c, **{x: np.ascontiguousarray(v).view(np.int64) for x, v in zip(names, cols, strict=True)})
 
     def run(it):

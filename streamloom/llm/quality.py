@@ -17,7 +17,7 @@ from .common import BLANK_WORDS, Words, batches, id_bucket, out_batch, table
 
 #: The classifier is fitted on about so many positives and unlabelled texts.
 POSITIVES, UNLABELLED = 4000, 6000
-HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 700, 512, 0.01, 1e-4
+HIDDEN, STEPS, BATCH, RATE, DECAY = 24, 700, 512, 0.01, 0.03
 THRESHOLD = 0.7
 FEATURES = 256 + 7
 
