@@ -156,3 +156,23 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if not step.where("label <> old").head(1):
             return step.select("node", "label")
         labels = step.select("node", "label")
+
+
+#: Size of the bitmap of ids that is broadcast: 2 MB.
+ID_BITS = 1 << 24
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame, bits: int = ID_BITS) -> DataFrame:
+    """The rows whose doc_id is in ids(doc_id), and a few others.
+
+    Before a join of whole texts with few ids, this keeps the other texts out
+    of the shuffle.  Ids set bits of a bitmap of fixed size, broadcast in rows
+    of 4 KB; the more ids, the more others pass, so the join must follow.
+    """
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
+    marks = ids.select(place.alias("place")).select("place", F.bitmap_bucket_number("place").alias("_bucket")).repartition("_bucket")
+    bitmaps = marks.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bitmap"))
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.col("_bitmap").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(place) == F.col("_bucket"))
+    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)

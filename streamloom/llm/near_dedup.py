@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, Words, batches, components, keep, mix, out_batch, table
+from .common import BLANK_WORDS, Words, batches, components, keep, mix, out_batch, perhaps_in, table
 
 U64 = np.uint64
 M, ROWS = 192, 6
@@ -241,8 +241,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
 
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        first = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null").join(ids, "doc_id", "left_semi")
-        return keep(first.dropDuplicates(["doc_id"]), "texts")
+        first = perhaps_in(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null"), ids)
+        return keep(first.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
 
     first = likely(pairs)
     links = keep(_links(first, texts_of(first), size, percent), "links")

@@ -2,7 +2,7 @@ from collections import defaultdict
 
 import duckdb
 
-from streamloom.llm import decontaminate, near_dedup
+from streamloom.llm import common, decontaminate, near_dedup
 
 from .conftest import DATA
 
@@ -81,3 +81,14 @@ def test_decontaminate_hard_rows(spark, hard_docs, no_docs):
     assert {r.n_hit for r in decontaminate.benchmark_hits(hard_docs, bench.where("1 = 0")).collect()} == {0}
     best = {(r.item_id, r.item_word): r for r in decontaminate.longest_matches(hard_docs, bench, least=2).collect()}
     assert best["6", 0].length == 27 and best["6", 0].doc_id == 6 and best["1", 0].doc_id == 1 and best["1", 0].doc_word == 2
+
+
+def test_perhaps_in_loses_no_id(spark):
+    rows = spark.createDataFrame([(i - 500, "x") for i in range(1000)] + [(None, "y"), (3, "z")], "doc_id long, text string")
+    ids = rows.where("doc_id % 7 = 3").select("doc_id")
+    for bits in (1 << 15, 1 << 24):
+        got = common.perhaps_in(rows, ids, bits)
+        assert got.columns == rows.columns
+        assert got.join(ids.distinct(), "doc_id", "left_semi").count() == ids.count()
+        assert got.count() < 250
+    assert common.perhaps_in(rows, ids.where("false")).count() == 0
