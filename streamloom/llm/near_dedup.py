@@ -242,7 +242,8 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     def texts_of(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         first = perhaps_in(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null"), ids)
-        return keep(first.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "texts")
+        # an inner join, as the optimiser would push a semi-join, and its shuffle, below the bitmap's
+        return keep(first.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
 
     first = likely(pairs)
     links = keep(_links(first, texts_of(first), size, percent), "links")
