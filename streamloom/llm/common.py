@@ -39,13 +39,33 @@ def shared_dir(spark: SparkSession) -> str:
     return _own.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="streamloom-"))
 
 
+#: Removes an execution's shuffle files at its end.
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def keep(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, and a
-    lost executor costs no recomputation."""
+    lost executor costs no recomputation.  The shuffle files of the write go
+    when it has ended, as nothing reads them again."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    before = spark.conf.get(_CLEAN_UP)
+    spark.conf.set(_CLEAN_UP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        spark.conf.set(_CLEAN_UP, before)
+    kept = spark.read.schema(df.schema).parquet(path)
+    kept._scratch_path = path
+    return kept
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that keep() wrote, once all that is read from them is written itself."""
+    for kept in tables:
+        spark = kept.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(kept._scratch_path)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def id_bucket(col: str, n: int):

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, Words, batches, components, keep, mix, out_batch, perhaps_in, table
+from .common import BLANK_WORDS, Words, batches, components, discard, keep, mix, out_batch, perhaps_in, table
 
 U64 = np.uint64
 M, ROWS = 192, 6
@@ -219,12 +219,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
     """
     sk = keep(sketches(docs, size), "sketches")
     classes = keep(sk.where("n_shingles > 0 and doc_id is not null").groupBy("text_hi", "text_lo").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r")).select("text_hi", "text_lo", "r.*"), "classes")
+    ids = keep(sk.drop("registers"), "ids")
+    discard(sk)
     byte = lambda i: F.conv(F.hex(F.substring("registers", i + 1, ROWS)), 16, 10).cast("long")
     bands = keep(classes.select("doc_id", F.col("n_shingles").alias("size"), F.explode(F.array(*[byte(k * ROWS) + F.lit(k << 8 * ROWS) for k in range(BANDS)])).alias("band")), "bands")
     order = lambda k: F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size")
     hub = F.min(F.when(F.shiftright("band", 8 * ROWS) % HUBS == 0, order(0)).when(F.shiftright("band", 8 * ROWS) % HUBS == 1, order(1)).when(F.shiftright("band", 8 * ROWS) % HUBS == 2, order(2)).otherwise(order(3)))
     buckets = keep(bands.groupBy("band").agg(hub.alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size")), "buckets")
     shared = keep(bands.join(buckets, "band").select("band", "doc_id", "size", "hub", "hub_size", "n"), "shared")
+    discard(bands, buckets)
     # at most SMALL_BUCKET ids meet in a list, and so at most that many pairs for each id
     small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.collect_list(F.struct("doc_id", "size")).alias("ids"))
     x, y = F.col("x"), F.col("y")
@@ -245,8 +248,14 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
         # an inner join, as the optimiser would push a semi-join, and its shuffle, below the bitmap's
         return keep(first.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs)
+        found = keep(_links(pairs, texts, size, percent), "links")
+        discard(texts)
+        return found
+
     first = likely(pairs)
-    links = keep(_links(first, texts_of(first), size, percent), "links")
+    links = confirmed(first)
     labels = components(links)
     large = shared.where(F.col("n") > SMALL_BUCKET)
     if large.head(1):
@@ -257,13 +266,15 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
             placed = keep(large.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")), "placed")
             parts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
             main = keep(parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.label").alias("main")), "main")
-            return keep(placed.join(main, "band").where("label <> main").select("main", "doc_id", "label").distinct(), "odd")
+            found = keep(placed.join(main, "band").where("label <> main").select("main", "doc_id", "label").distinct(), "odd")
+            discard(placed, main)
+            return found
 
         def add(pairs: DataFrame) -> None:
             nonlocal done, links, labels
             new = keep(pairs.join(done, ["a", "b"], "left_anti"), "new")
             if new.head(1):
-                more = keep(_links(new, texts_of(new), size, percent), "links")
+                more = confirmed(new)
                 done = done.union(new)
                 if more.head(1):
                     links = links.union(more)
@@ -293,10 +304,12 @@ def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFr
             every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
             rows = full.where("kind = 1").select(*cols, h("salts").alias("salt"), every("blocks").alias("part")).unionByName(full.where("kind = 0").select(*cols, every("salts").alias("salt"), h("blocks").alias("part")))
             met = keep(rows.repartition("main", "salt", "part").sortWithinPartitions("main", "salt", "part", "kind").mapInArrow(_meet(percent / 100 - SLACK, percent, size), "a long, b long"), "met")
+            discard(full, text)
             if met.head(1):
                 labels = components(links.union(met))
     reached = keep(classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("text_hi", "text_lo", F.coalesce("label", "doc_id").alias("component")), "reached")
-    return sk.join(reached, ["text_hi", "text_lo"], "left").select(
+    discard(classes, shared)
+    return ids.join(reached, ["text_hi", "text_lo"], "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
     )
 
