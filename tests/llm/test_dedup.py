@@ -1,3 +1,4 @@
+import os
 from collections import defaultdict
 
 import duckdb
@@ -92,3 +93,13 @@ def test_perhaps_in_loses_no_id(spark):
         assert got.join(ids.distinct(), "doc_id", "left_semi").count() == ids.count()
         assert got.count() < 250
     assert common.perhaps_in(rows, ids.where("false")).count() == 0
+
+
+def test_discard_removes_only_the_table(spark):
+    rows = spark.range(1000).selectExpr("id % 7 as k", "id").groupBy("k").count()
+    first = common.keep(rows, "first")
+    second = common.keep(first.where("k < 3"), "second")
+    assert spark.conf.get(common._CLEAN_UP) == "false"
+    common.discard(first)
+    assert not os.path.exists(first._scratch_path)
+    assert second.count() == 3 and rows.count() == 7
