@@ -293,6 +293,38 @@ def test_chains_equal_quadratic_dynamic_programming():
         assert math.isclose(total, max(score))
 
 
+def exact_words(own, earlier, least=50):
+    """Places of own in runs of `least` words that an earlier text has too."""
+    held = {tuple(t[i : i + least]) for t in earlier for i in range(len(t) - least + 1)}
+    return {k for i in range(len(own) - least + 1) if tuple(own[i : i + least]) in held for k in range(i, i + least)}
+
+
+def missed_words(rows, got):
+    """Words of exact passages that no passage of their document covers."""
+    texts = {i: t.lower().split() for i, t in rows}
+    missed = {}
+    for i, own in texts.items():
+        want = exact_words(own, [t for j, t in texts.items() if j < i])
+        missed[i] = want - {k for p in got if p.doc_id == i for k in range(p.start_word, p.end_word)}
+    return {i: len(m) for i, m in missed.items() if m}
+
+
+def test_several_passages_of_a_pair(spark):
+    r = random.Random(8)
+    words = lambda n: [f"v{r.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for gap_a, gap_b, n in ((300, 300, 100), (30, 30, 50), (60, 60, 60), (200, 40, 100), (0, 250, 90), (31, 33, 52), (130, 131, 70)):
+        parts = [words(n) for _ in range(r.randrange(2, 5))]
+        for gap in (gap_a, gap_b):
+            rows.append((len(rows), " ".join(words(20) + [w for p in parts for w in p + words(gap)])))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not missed_words(rows, got)
+    texts = {i: t.split() for i, t in rows}
+    for p in got:
+        a, b = texts[p.doc_id][p.start_word : p.end_word], texts[p.source_doc_id][p.source_start : p.source_end]
+        assert len(a) >= 50 and 0.8 * max(len(a), len(b)) <= p.matching_words <= min(len(a), len(b))
+
+
 # -- 10 -------------------------------------------------------------------------------
 
 
