@@ -325,6 +325,23 @@ def test_several_passages_of_a_pair(spark):
         assert len(a) >= 50 and 0.8 * max(len(a), len(b)) <= p.matching_words <= min(len(a), len(b))
 
 
+def test_fragments_hide_no_partner(spark):
+    r = random.Random(9)
+    words = lambda n: [f"u{r.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for n, cuts in ((80, ((0, 40), (32, 80))), (50, ((0, 49), (1, 50))), (50, ((0, 30), (25, 50), (10, 45))), (120, ((0, 45), (40, 85), (80, 120), (20, 65)))):
+        whole = words(n)
+        for x, y in (*cuts, (0, n), (0, n), (0, n)):
+            rows.append((len(rows), " ".join(words(r.randrange(3, 60)) + whole[x:y] + words(r.randrange(3, 60)))))
+    got = substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not missed_words(rows, got)
+
+
+def test_exact_passages_of_the_table_are_covered(spark):
+    rows = [(i, t or "") for i, t, _ in documents()]
+    assert not missed_words(rows, substring_dedup.op8_substring_dedup(spark, DATA).collect())
+
+
 # -- 10 -------------------------------------------------------------------------------
 
 
