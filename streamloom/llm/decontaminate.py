@@ -3,8 +3,9 @@
 Groups of training texts are shards.  A shard's suffix array holds, in order,
 the word suffixes that begin like some benchmark suffix (others can't match).
 Every benchmark suffix is binary-searched in every shard: the neighbours of its
-place give the longest verbatim match, and the range of suffixes that share its
-first `window` words gives all places of that window.
+place give the longest verbatim match of up to `window` words, and the range of
+suffixes that share its first `window` words gives all places of that window,
+among which longer matches are found.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ HEAD = 3
 SHARD_BYTES = 4 << 20
 #: The benchmark is sent to the executors in blocks of at most about so many bytes of text.
 BLOCK_BYTES = 32 << 20
+#: Places that are compared for their longest match at a time, besides those of a single suffix.
+PLACES = 1 << 20
 
 
 class Suffixes:
@@ -81,6 +84,14 @@ class Shard:
             order = np.argsort(keys, kind="stable")
             self.arrays[int(k)] = (found[order], keys[order])
 
+    def ranges(self, own: np.ndarray, size: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Begins and ends in `keys` of what shares `size` words, up to a window, with the benchmark suffixes `own`."""
+        b = self.bench
+        rows = b.words[b.at[own][:, None] + np.arange(b.window)[None, :]]
+        beyond = np.arange(b.window)[None, :] >= size[:, None]
+        low, high = (np.ascontiguousarray(np.where(beyond, x, rows).astype(">u4")).view(f"S{4 * b.window}").ravel() for x in (0, 0xFFFFFFFF))
+        return np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
+
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """All (benchmark suffix, place in the shard) where a whole window matches."""
         b, found = self.bench, []
@@ -88,10 +99,7 @@ class Shard:
             own = np.flatnonzero(b.whole & (np.minimum(b.size, HEAD) == k))
             if not len(own) or not len(suffix):
                 continue
-            rows = b.words[b.at[own][:, None] + np.arange(b.window)[None, :]]
-            beyond = np.arange(b.window)[None, :] >= b.size[own][:, None]
-            low, high = (np.ascontiguousarray(np.where(beyond, x, rows).astype(">u4")).view(f"S{4 * b.window}").ravel() for x in (0, 0xFFFFFFFF))
-            lo, hi = np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
+            lo, hi = self.ranges(own, b.size[own], keys)
             n = hi - lo
             each = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             found.append((np.repeat(own, n), suffix[each]))
@@ -109,9 +117,11 @@ class Shard:
             size[live] += 1
         return size
 
-    def longest(self) -> tuple[np.ndarray, np.ndarray]:
+    def longest(self, least: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
         """For each benchmark suffix the length of its longest match in the
-        shard, and a place of it (0 and -1 where there is none)."""
+        shard, and its first place (0 and -1 where there is none).  Keys end
+        after a window, so of matches with `least` words or more all places
+        that share the longest one's words in their keys are compared."""
         b = self.bench
         best, where = np.zeros(len(b.at), np.int64), np.full(len(b.at), -1)
         for k, (suffix, keys) in self.arrays.items():
@@ -124,6 +134,19 @@ class Shard:
                 size = self.extend(own, suffix[near], np.zeros(len(own), np.int64))
                 better = size > best[own]
                 best[own[better]], where[own[better]] = size[better], suffix[near[better]]
+            own = own[best[own] >= max(least, 1)]
+            if not len(own):
+                continue
+            lo, hi = self.ranges(own, best[own], keys)
+            part = np.cumsum(hi - lo) // PLACES
+            for cut in np.split(np.arange(len(own)), np.flatnonzero(np.diff(part)) + 1):
+                n = (hi - lo)[cut]
+                each = np.repeat(lo[cut] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+                of, at = np.repeat(own[cut], n), suffix[each]
+                size = self.extend(of, at, np.minimum(best[of], b.window))
+                order = np.lexsort((at, -size, of))
+                first = order[np.concatenate([[0], np.flatnonzero(np.diff(of[order])) + 1])]
+                best[of[first]], where[of[first]] = size[first], at[first]
         return best, where
 
 
@@ -203,12 +226,16 @@ def longest_matches(docs: DataFrame, bench: DataFrame, least: int = WINDOW, wind
 
     def run(it):
         for batch, texts in batches(it, most=SHARD_BYTES):
-            w, ids = Words(texts, PLAIN_WORDS), batch.column("doc_id").to_numpy(zero_copy_only=False)
+            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            # by id, so that a shard's first place is that of the smallest id
+            order = np.argsort(ids, kind="stable")
+            ids, texts = ids[order], [texts[i] for i in order]
+            w = Words(texts, PLAIN_WORDS)
             before = np.repeat(np.arange(len(texts)), np.diff(w.first) + 1)
             for block in blocks:
                 b = block.value
                 starts = np.unique(b.item, return_index=True)[1]
-                best, where = Shard(w, b).longest()
+                best, where = Shard(w, b).longest(least)
                 k = np.flatnonzero(best >= least)
                 d = before[where[k]]
                 first = np.zeros(len(b.ids), np.int64)

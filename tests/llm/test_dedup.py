@@ -84,6 +84,33 @@ def test_decontaminate_hard_rows(spark, hard_docs, no_docs):
     assert best["6", 0].length == 27 and best["6", 0].doc_id == 6 and best["1", 0].doc_id == 1 and best["1", 0].doc_word == 2
 
 
+def test_longest_matches_equal_brute_force(spark):
+    import random
+
+    r = random.Random(6)
+    words = lambda n: [f"q{r.randrange(10**6)}" for _ in range(n)]
+    item, other = words(100), words(30)
+    texts = [(9, item), (3, item[:15]), (5, words(5) + item[40:60]), (4, item), (8, item[20:70]), (2, other[:14] + words(3) + other), (7, other[10:] + other)]
+    rows = [(i, " ".join(words(4) + t + words(4))) for i, t in texts]
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(other))], "item_id long, text string")
+    want = {}
+    for name, own in (("1", item), ("2", other)):
+        for k in range(len(own)):
+            found = []
+            for i, t in rows:
+                t = t.split()
+                for p in range(len(t)):
+                    n = 0
+                    while k + n < len(own) and p + n < len(t) and own[k + n] == t[p + n]:
+                        n += 1
+                    found.append((-n, i, p))
+            if -min(found)[0] >= 13:
+                want[name, k] = min(found)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {(x.item_id, x.item_word): (-x.length, x.doc_id, x.doc_word) for x in decontaminate.longest_matches(docs, bench).collect()}
+    assert got == want
+
+
 def test_perhaps_in_loses_no_id(spark):
     rows = spark.createDataFrame([(i - 500, "x") for i in range(1000)] + [(None, "y"), (3, "z")], "doc_id long, text string")
     ids = rows.where("doc_id % 7 = 3").select("doc_id")
