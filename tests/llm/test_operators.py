@@ -337,6 +337,20 @@ def test_fragments_hide_no_partner(spark):
     assert not missed_words(rows, got)
 
 
+def test_ends_are_followed_over_gaps():
+    r = random.Random(10)
+    word = lambda n: np.array([r.randrange(10**9) for _ in range(n)], np.uint64)
+    for drop in (1, 2, 3):
+        own = word(60)
+        other = np.concatenate([own[:14], own[14 + drop : 28], word(1), own[28:45], word(drop), own[45:]])
+        a, b = np.concatenate([word(30), own, word(30)]), np.concatenate([word(9), other, word(30)])
+        for x, u in ((30, 9), (30 + 30, 9 + 31 - drop), (30 + 50, 9 + 51)):
+            (got,) = substring_dedup.passages(a, b, [np.array([[x, x + 8, u, u + 8]])])
+            assert got == (30, 90, 9, 9 + len(other), 60 - drop)
+            (back,) = substring_dedup.passages(b, a, [np.array([[u, u + 8, x, x + 8]])])
+            assert back == (9, 9 + len(other), 30, 90, 60 - drop)
+
+
 def test_exact_passages_of_the_table_are_covered(spark):
     rows = [(i, t or "") for i, t, _ in documents()]
     assert not missed_words(rows, substring_dedup.op8_substring_dedup(spark, DATA).collect())
