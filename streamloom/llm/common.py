@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -68,6 +70,16 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task: Python workers
+    live on between tasks, and would hold what their largest one needed."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def id_bucket(col: str, n: int):
     """crc32 of the id as text, modulo n; null ids count as bucket 0."""
     return F.coalesce(F.crc32(F.col(col).cast("string")) % n, F.lit(0))
@@ -86,6 +98,7 @@ def batches(it: Iterable[pa.RecordBatch], text: str = "text", most: int = GROUP_
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b > a:
                 yield (piece := batch.slice(a, b - a)), [x or "" for x in piece.column(piece.schema.get_field_index(text)).to_pylist()]
+    give_back()
 
 
 def byte_table(word: bytes | None = None, space: bytes = b" \t\n\x0b\x0c\r") -> bytes:
@@ -106,17 +119,20 @@ BLANK_WORDS = byte_table()
 PLAIN_WORDS = byte_table(b"0123456789abcdefghijklmnopqrstuvwxyz")
 
 _BASE, _LEN = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, U64), "down": np.ones(1, U64)}
+#: Words are hashed in blocks of about so many bytes.
+_BLOCK = 1 << 16
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        n = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(n, base, U64)
-            steps[0] = 1
-            _powers[name] = np.cumprod(steps, dtype=U64)
-    return _powers["up"], _powers["down"]
+@lru_cache(1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse, for a block and a word of its length."""
+    return _power(_BASE, 2 * _BLOCK + 1), _power(pow(_BASE, -1, 1 << 64), 2 * _BLOCK + 1)
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    steps = np.full(n, base, U64)
+    steps[0] = 1
+    return np.cumprod(steps, dtype=U64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -143,10 +159,17 @@ class Words:
         np.not_equal(arr, 32, out=inside[1:-1])
         edges = np.flatnonzero(inside[1:] != inside[:-1])
         self.start, self.end = edges[::2], edges[1::2]
-        up, down = _power(len(arr) + 1)
-        sums = np.zeros(len(arr) + 1, U64)
-        np.cumsum(arr.astype(U64) * up[: len(arr)], dtype=U64, out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * down[self.start] + (self.end - self.start).astype(U64) * U64(_LEN))
+        self.hash = np.empty(len(self.start), U64)
+        part = self.start // _BLOCK
+        cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)] if len(part) else []
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            lo, hi = int(self.start[a]), int(self.end[b - 1])
+            # only a word beyond the block's size needs longer tables
+            up, down = _powers() if hi - lo <= 2 * _BLOCK else (_power(_BASE, hi - lo + 1), _power(pow(_BASE, -1, 1 << 64), hi - lo + 1))
+            sums = np.zeros(hi - lo + 1, U64)
+            np.cumsum(arr[lo:hi].astype(U64) * up[: hi - lo], dtype=U64, out=sums[1:])
+            start, end = self.start[a:b] - lo, self.end[a:b] - lo
+            self.hash[a:b] = mix((sums[end] - sums[start]) * down[start] + (end - start).astype(U64) * U64(_LEN))
         limits = np.cumsum([0, *(len(x) + 1 for x in raw)])
         self.first = np.searchsorted(self.start, limits)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
