@@ -2,10 +2,11 @@
 
 Groups of training texts are shards.  A shard's suffix array holds, in order,
 the word suffixes that begin like some benchmark suffix (others can't match).
-Every benchmark suffix is binary-searched in every shard: the neighbours of its
-place give the longest verbatim match of up to `window` words, and the range of
-suffixes that share its first `window` words gives all places of that window,
-among which longer matches are found.
+The benchmark's suffixes are sorted whole, so those that share a window lie side
+by side; every distinct window is binary-searched in every shard, which gives
+all its places, and every place is searched among the window's suffixes, which
+gives the longest verbatim match there.  So a place counts once for a window,
+however many items hold it.
 """
 
 from __future__ import annotations
@@ -17,21 +18,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORDS, Words, batches, out_batch, table
+from .common import PLAIN_WORDS, Words, batches, keep, out_batch, table
 
 U64 = np.uint64
 WINDOW = 13
 #: Suffixes enter a shard's array if so many first words begin a benchmark suffix.
 HEAD = 3
-SHARD_BYTES = 4 << 20
-#: The benchmark is sent to the executors in blocks of at most about so many bytes of text.
-BLOCK_BYTES = 32 << 20
+SHARD_BYTES = 1 << 20
+#: The benchmark is sent to the executors in blocks of about so many bytes of
+#: text, so many at a time; a larger benchmark takes several passes.
+BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 4
 #: Places that are compared for their longest match at a time, besides those of a single suffix.
 PLACES = 1 << 20
 
 
 class Suffixes:
-    """The suffixes of a block of benchmark items. ids: the items' ids as text."""
+    """The suffixes of a block of benchmark items. ids: the items' ids as text.
+
+    order: the suffixes that begin with a whole window, sorted by their words up
+    to their item's end; begin, many: the part of it that shares a window, for
+    each distinct window; head: that window's first suffix; lists, list_of: the
+    distinct lists of item ids that hold a window, and each window's.
+    """
 
     def __init__(self, ids: list[str], texts: list[str], window: int):
         w = Words(texts, PLAIN_WORDS)
@@ -45,7 +53,34 @@ class Suffixes:
         self.words[at] = words
         left = np.repeat(w.first[1:], n) - np.arange(len(words))
         need = np.minimum(n, window)[w.doc]
-        self.at, self.item, self.size, self.whole = at, w.doc, np.minimum(left, need), left >= need
+        self.at, self.item, self.size = at, w.doc, np.minimum(left, need)
+        whole = np.flatnonzero(left >= need)
+        rank = suffix_ranks(self.words, int(n.max(initial=0)))[at[whole]]
+        self.order = whole[np.lexsort((whole, rank))]
+        rows = self.words[self.at[self.order][:, None] + np.arange(window)[None, :]] * (np.arange(window)[None, :] < self.size[self.order][:, None])
+        new = np.ones(len(self.order), bool)
+        new[1:] = (rows[1:] != rows[:-1]).any(1)
+        self.begin = np.flatnonzero(new)
+        self.many = np.diff(np.append(self.begin, len(self.order)))
+        self.head = self.order[self.begin]
+        names, name = np.unique(np.array(ids, object).astype(str), return_inverse=True) if ids else (np.zeros(0, str), np.zeros(0, np.int64))
+        self.names, pairs = names.tolist(), np.cumsum(new) - 1
+        pairs = np.unique(pairs * max(len(names), 1) + name[self.item[self.order]]) if len(self.order) else pairs
+        cuts = np.searchsorted(pairs, np.arange(len(self.begin) + 1) * max(len(names), 1))
+        seen: dict[bytes, int] = {}
+        self.list_of = np.array([seen.setdefault((pairs[x:y] % max(len(names), 1)).tobytes(), len(seen)) for x, y in zip(cuts, cuts[1:], strict=False)], np.int64)
+        self.lists = [np.frombuffer(x, np.int64) for x in seen]
+
+
+def suffix_ranks(words: np.ndarray, most: int) -> np.ndarray:
+    """The rank of each place by the `most` words from it on, by doubling."""
+    rank, step = words.copy(), 1
+    while step < most:
+        after = np.zeros(len(rank), np.int64)
+        after[:-step] = rank[step:]
+        rank = np.unique(rank * (int(rank.max(initial=0)) + 1) + after, return_inverse=True)[1]
+        step *= 2
+    return rank
 
 
 def _heads(words: np.ndarray, at: np.ndarray, k: int, base: int) -> np.ndarray:
@@ -93,13 +128,13 @@ class Shard:
         return np.searchsorted(keys, low, "left"), np.searchsorted(keys, high, "right")
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
-        """All (benchmark suffix, place in the shard) where a whole window matches."""
+        """All (distinct window, place in the shard) where a whole window matches."""
         b, found = self.bench, []
         for k, (suffix, keys) in self.arrays.items():
-            own = np.flatnonzero(b.whole & (np.minimum(b.size, HEAD) == k))
+            own = np.flatnonzero(np.minimum(b.size[b.head], HEAD) == k)
             if not len(own) or not len(suffix):
                 continue
-            lo, hi = self.ranges(own, b.size[own], keys)
+            lo, hi = self.ranges(b.head[own], b.size[b.head[own]], keys)
             n = hi - lo
             each = np.repeat(lo - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
             found.append((np.repeat(own, n), suffix[each]))
@@ -107,6 +142,26 @@ class Shard:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
+    def best(self, window: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each place of a window the suffix with the longest match there, and
+        its length: a binary search of the place among the window's suffixes."""
+        b = self.bench
+        lo, hi = b.begin[window], b.begin[window] + b.many[window]
+        suffix, size = b.head[window], np.zeros(len(window), np.int64)
+        live = np.arange(len(window))
+        while len(live):
+            mid = (lo[live] + hi[live]) // 2
+            own = b.order[mid]
+            n = self.extend(own, place[live], b.size[own])
+            better = n > size[live]
+            suffix[live[better]], size[live[better]] = own[better], n[better]
+            x = self.words[np.minimum(place[live] + n, len(self.words) - 1)]
+            y = b.words[np.minimum(b.at[own] + n, len(b.words) - 1)]
+            after = x > y
+            lo[live[after]], hi[live[~after]] = mid[after] + 1, mid[~after]
+            live = live[lo[live] < hi[live]]
+        return suffix, size
+
     def extend(self, suffix: np.ndarray, place: np.ndarray, size: np.ndarray) -> np.ndarray:
         """How many words match from each place on, if `size` of them do."""
         b, size, live = self.bench, size.copy(), np.arange(len(size))
@@ -150,66 +205,143 @@ class Shard:
         return best, where
 
 
-def benchmark_blocks(bench: DataFrame, window: int, item: str = "item_id", text: str = "text"):
-    """Broadcast variables with the benchmark's suffixes, in blocks of a checked size."""
-    rows = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = -(-(rows.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0) // BLOCK_BYTES)
-    sc = bench.sparkSession.sparkContext
-    for k in range(n):
-        got = (rows if n == 1 else rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(n)) == k)).collect()
-        yield sc.broadcast(Suffixes([r.item for r in got], [r.text for r in got], window))
+class Benchmark:
+    """The benchmark's rows in blocks of a checked size, which passes() broadcasts
+    a bounded number at a time."""
+
+    def __init__(self, bench: DataFrame, window: int, item: str = "item_id", text: str = "text"):
+        self.rows = bench.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+        self.n = -(-(self.rows.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0) // BLOCK_BYTES)
+        self.window, self.sc = window, bench.sparkSession.sparkContext
 
+    def block(self, k: int):
+        got = sorted((r.item, r.text) for r in (self.rows if self.n == 1 else self.rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(self.n)) == k)).toLocalIterator())
+        return self.sc.broadcast(Suffixes([x for x, _ in got], [x for _, x in got], self.window))
 
-_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items", pa.list_(pa.string())), ("longest", pa.int64())])
+    def passes(self):
+        for k in range(0, max(self.n, 1), MOST_BLOCKS):
+            blocks = [self.block(i) for i in range(k, min(k + MOST_BLOCKS, self.n))]
+            yield blocks
+            if self.n > MOST_BLOCKS:
+                for x in blocks:
+                    x.unpersist()
 
 
-def _search(texts: list[str], blocks: list, window: int):
-    """For each text its words, the words hit, the items found, and the longest match."""
+_SPAN = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+_BEST = pa.struct([("length", pa.int64()), ("less_word", pa.int64()), ("item", pa.string()), ("item_word", pa.int64())])
+_HITS = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("hits", _SPAN), ("items", pa.list_(pa.string())), ("best", _BEST)])
+_HITS_DDL = "doc_id long, n_words long, hits array<struct<a: long, b: long>>, items array<string>, best struct<length: long, less_word: long, item: string, item_word: long>"
+
+
+def _search(texts: list[str], blocks: list, window: int) -> tuple:
+    """For each text its number of words, which words are hit (of all texts end to
+    end, and each text's first), the items found, and the longest match."""
     w = Words(texts, PLAIN_WORDS)
     n = np.diff(w.first)
     change = np.zeros(len(w.hash) + len(texts) + window + HEAD + 1, np.int64)
     items: list[set] = [set() for _ in texts]
-    longest = np.zeros(len(texts), np.int64)
+    longest: list[tuple | None] = [None] * len(texts)
     place_doc = np.repeat(np.arange(len(texts)), n + 1)
     for block in blocks:
         shard = Shard(w, b := block.value)
-        suffix, place = shard.windows()
+        win, place = shard.windows()
+        if not len(win):
+            continue
         np.add.at(change, place, 1)
-        np.add.at(change, place + b.size[suffix], -1)
-        for d, i in np.unique(np.stack([place_doc[place], b.item[suffix]]), axis=1).T.tolist():
-            items[d].add(b.ids[i])
-        np.maximum.at(longest, place_doc[place], shard.extend(suffix, place, b.size[suffix]))
-    hit = (np.cumsum(change)[np.arange(len(w.hash)) + w.doc] > 0).astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(hit)])
-    return n, sums[w.first[1:]] - sums[w.first[:-1]], items, longest
+        np.add.at(change, place + b.size[b.head[win]], -1)
+        doc = place_doc[place]
+        for x in np.unique(doc * len(b.lists) + b.list_of[win]).tolist():
+            items[x // len(b.lists)].update(b.lists[x % len(b.lists)].tolist())
+        for d in np.unique(doc).tolist():
+            items[d] = {b.names[x] if isinstance(x, int) else x for x in items[d]}
+        suffix, size = shard.best(win, place)
+        order = np.lexsort((suffix, place, -size, doc))
+        for k in order[np.unique(doc[order], return_index=True)[1]].tolist():
+            d, s = int(doc[k]), int(suffix[k])
+            # the first of the longest matches
+            found = (int(size[k]), -int(place[k] - w.first[d] - d), b.ids[b.item[s]], int(b.at[s] - b.at[np.searchsorted(b.item, b.item[s])]))
+            longest[d] = max(longest[d] or found, found)
+    return n, np.cumsum(change)[np.arange(len(w.hash)) + w.doc] > 0, w.first, items, longest
+
+
+def _spans(hit: np.ndarray, first: np.ndarray) -> list[list[dict]]:
+    """Runs of hit words in each text, counted from its first word."""
+    out: list[list[dict]] = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], hit[a:b], [False]]).astype(np.int8))).tolist()
+        out.append([dict(a=x, b=y) for x, y in zip(edge[::2], edge[1::2], strict=True)])
+    return out
+
+
+def _hits(blocks: list, window: int):
+    def run(it):
+        for batch, texts in batches(it, most=SHARD_BYTES):
+            n, hit, first, items, longest = _search(texts, blocks, window)
+            best = [x and dict(zip(("length", "less_word", "item", "item_word"), x, strict=True)) for x in longest]
+            yield out_batch(_HITS, doc_id=batch.column("doc_id"), n_words=n, hits=_spans(hit, first), items=[sorted(x) for x in items], best=best)
+
+    return run
+
+
+#: Of spans in order, the words that at least one covers.
+_COVERED = "aggregate(array_sort(hits), named_struct('n', 0L, 'to', 0L), (s, x) -> named_struct('n', s.n + greatest(x.b - greatest(x.a, s.to), 0L), 'to', greatest(s.to, x.b)), s -> s.n)"
+_ROW = "__streamloom_row"
+
+
+def _numbered(docs: DataFrame, *cols) -> DataFrame:
+    return keep(docs.select(*cols).withColumn(_ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _merged(rows: DataFrame, bench: Benchmark) -> DataFrame:
+    """Hits by row of rows(text, _ROW) over several passes."""
+    parts = []
+    for blocks in bench.passes():
+        got = rows.select(F.col(_ROW).alias("doc_id"), "text").mapInArrow(_hits(blocks, bench.window), _HITS_DDL)
+        parts.append(keep(got if not parts else got.where("size(hits) > 0"), "hits"))
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    return every.groupBy(F.col("doc_id").alias(_ROW)).agg(F.first("n_words").alias("n_words"), F.flatten(F.collect_list("hits")).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("best").alias("best"))
 
 
 def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, n_words, n_hit, n_items, items, longest) for docs(doc_id, text).
+    """(doc_id, n_words, n_hit, n_items, items, longest, longest_word,
+    longest_item, longest_item_word) for docs(doc_id, text).
 
     items: the ids of the benchmark items of which a whole window occurs, as
-    sorted strings; n_hit: the words inside such occurrences; longest: the
-    words of the longest verbatim match that holds a whole window.  Null and empty texts have no words
-    and no hits; repeated rows each give a row; equal ids of items count once;
-    without items nothing is hit.  Other columns are ignored.
+    sorted strings; n_hit: the words inside such occurrences; longest: the words
+    of the longest verbatim match that holds a whole window (0 without any), and
+    where it begins in the document and the item, counted from 0 (else null).
+    Null and empty texts have no words and no hits; repeated rows each give a
+    row; equal ids of items count once, and a null one is "null"; without items
+    nothing is hit.  Other columns are ignored.
+
+    A benchmark beyond MOST_BLOCKS * BLOCK_BYTES takes several passes over the
+    documents, so what is broadcast stays bounded.
     """
-    blocks = list(benchmark_blocks(bench, window))
-
-    def run(it):
-        for batch, texts in batches(it, most=SHARD_BYTES):
-            n, hit, items, longest = _search(texts, blocks, window)
-            yield out_batch(_HITS, doc_id=batch.column("doc_id"), n_words=n, n_hit=hit, n_items=[len(x) for x in items], items=[sorted(x) for x in items], longest=longest)
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items array<string>, longest long")
+    blocks = Benchmark(bench, window)
+    if blocks.n <= MOST_BLOCKS:
+        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_hits(next(blocks.passes()), window), _HITS_DDL)
+    else:
+        rows = _numbered(docs, F.col("doc_id").cast("long"), "text")
+        found = rows.select("doc_id", _ROW).join(_merged(rows, blocks), _ROW)
+    return found.select("doc_id", "n_words", F.expr(_COVERED).alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items", F.coalesce("best.length", F.lit(0)).cast("long").alias("longest"), (-F.col("best.less_word")).alias("longest_word"), F.col("best.item").alias("longest_item"), F.col("best.item_word").alias("longest_item_word"))
 
 
 def keep_clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs(text, ...) without contaminated documents; rows and columns stay as they are."""
-    blocks = list(benchmark_blocks(bench, window))
+    blocks = Benchmark(bench, window)
+    if blocks.n > MOST_BLOCKS:
+        rows = _numbered(docs, "*")
+        bad = _merged(rows, blocks).select(_ROW, "n_words", F.expr(_COVERED).alias("n_hit")).where(is_contaminated())
+        return rows.join(bad.select(_ROW), _ROW, "left_anti").select(docs.columns)
+    use = next(blocks.passes())
 
     def run(it):
         for batch, texts in batches(it, most=SHARD_BYTES):
-            n, hit, _, _ = _search(texts, blocks, window)
+            n, hit, first, _, _ = _search(texts, use, window)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            hit = sums[first[1:]] - sums[first[:-1]]
             yield batch.filter(pa.array((hit == 0) | (20 * hit < n)))
 
     return docs.mapInArrow(run, docs.schema)
@@ -222,29 +354,41 @@ def longest_matches(docs: DataFrame, bench: DataFrame, least: int = WINDOW, wind
     """(item_id, item_word, length, doc_id, doc_word): for every benchmark
     suffix its longest verbatim match in any shard, of `least` words or more,
     ties to the smallest (doc_id, doc_word)."""
-    blocks = list(benchmark_blocks(bench, window))
 
-    def run(it):
-        for batch, texts in batches(it, most=SHARD_BYTES):
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            # by id, so that a shard's first place is that of the smallest id
-            order = np.argsort(ids, kind="stable")
-            ids, texts = ids[order], [texts[i] for i in order]
-            w = Words(texts, PLAIN_WORDS)
-            before = np.repeat(np.arange(len(texts)), np.diff(w.first) + 1)
-            for block in blocks:
-                b = block.value
-                starts = np.unique(b.item, return_index=True)[1]
-                best, where = Shard(w, b).longest(least)
-                k = np.flatnonzero(best >= least)
-                d = before[where[k]]
-                first = np.zeros(len(b.ids), np.int64)
-                first[b.item[starts]] = b.at[starts]
-                yield out_batch(_MATCH, item_id=[b.ids[i] for i in b.item[k]], item_word=b.at[k] - first[b.item[k]], length=best[k], doc_id=ids[d], doc_word=where[k] - w.first[d] - d)
-
-    each = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null").mapInArrow(run, "item_id string, item_word long, length long, doc_id long, doc_word long")
+    def search(blocks):
+        def run(it):
+            for batch, texts in batches(it, most=SHARD_BYTES):
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+                # by id, so that a shard's first place is that of the smallest id
+                order = np.argsort(ids, kind="stable")
+                ids, texts = ids[order], [texts[i] for i in order]
+                w = Words(texts, PLAIN_WORDS)
+                before = np.repeat(np.arange(len(texts)), np.diff(w.first) + 1)
+                for block in blocks:
+                    b = block.value
+                    starts = np.unique(b.item, return_index=True)[1]
+                    best, where = Shard(w, b).longest(least)
+                    k = np.flatnonzero(best >= least)
+                    d = before[where[k]]
+                    first = np.zeros(len(b.ids), np.int64)
+                    first[b.item[starts]] = b.at[starts]
+                    yield out_batch(_MATCH, item_id=[b.ids[i] for i in b.item[k]], item_word=b.at[k] - first[b.item[k]], length=best[k], doc_id=ids[d], doc_word=where[k] - w.first[d] - d)
+
+        return run
+
+    own = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id is not null")
     best = F.min(F.struct((-F.col("length")).alias("less"), "doc_id", "doc_word")).alias("m")
-    return each.groupBy("item_id", "item_word").agg(best).select("item_id", "item_word", (-F.col("m.less")).alias("length"), "m.doc_id", "m.doc_word")
+    parts, blocks = [], Benchmark(bench, window)
+    for use in blocks.passes():
+        each = own.mapInArrow(search(use), "item_id string, item_word long, length long, doc_id long, doc_word long")
+        found = each.groupBy("item_id", "item_word").agg(best)
+        parts.append(found if blocks.n <= MOST_BLOCKS else keep(found, "longest"))
+    every = parts[0]
+    for x in parts[1:]:
+        every = every.unionByName(x)
+    # items that share an id may lie in several blocks
+    every = every.groupBy("item_id", "item_word").agg(F.min("m").alias("m")) if len(parts) > 1 else every
+    return every.select("item_id", "item_word", (-F.col("m.less")).alias("length"), "m.doc_id", "m.doc_word")
 
 
 def is_contaminated():
@@ -253,7 +397,7 @@ def is_contaminated():
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"), "longest")
+    return hits.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), is_contaminated().alias("contaminated"), "longest", "longest_word", "longest_item", "longest_item_word")
 
 
 def brute_hits(text: str | None, items: list[tuple], window: int = WINDOW) -> tuple[int, int, int, str]:

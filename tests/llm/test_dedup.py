@@ -2,6 +2,7 @@ import os
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 
 from streamloom.llm import common, decontaminate, near_dedup
 
@@ -111,6 +112,59 @@ def test_longest_matches_equal_brute_force(spark):
     assert got == want
 
 
+def brute_longest(text, items):
+    """(length, place, item) of the longest match that holds a whole window, for one text."""
+    words = (text or "").encode().translate(common.PLAIN_WORDS).split()
+    best = (0, 0)
+    for _, t in items:
+        own = (t or "").encode().translate(common.PLAIN_WORDS).split()
+        least = min(13, len(own))
+        for p in range(len(words) if own else 0):
+            for k in range(len(own)):
+                n = 0
+                while k + n < len(own) and p + n < len(words) and own[k + n] == words[p + n]:
+                    n += 1
+                if n >= least:
+                    best = max(best, (n, -p))
+    return best[0], -best[1]
+
+
+def test_longest_match_of_each_document(spark):
+    items = duckdb.sql(f"select item_id, text from '{DATA}/benchmark.parquet'").fetchall()
+    rep = " ".join(["to be or not"] * 30)
+    items = [*items, (900, rep), (901, rep + " that is"), (902, "not to be"), (903, rep[:60])]
+    docs = [(i, t) for i, t in documents() if decontaminate.brute_hits(t, items)[1]][:30] + [(10**6, "well " + rep + " that is all"), (10**6 + 1, rep), (10**6 + 2, "not to be")]
+    got = decontaminate.benchmark_hits(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    for r in got.collect():
+        assert (r.longest, r.longest_word or 0) == brute_longest(dict(docs)[r.doc_id], items), r
+
+
+def test_large_benchmark_takes_several_passes(spark, hard_docs, monkeypatch):
+    items = duckdb.sql(f"select item_id, text from '{DATA}/benchmark.parquet'").fetchall() + [(1, "c d e"), (2, "tail of words"), (3, "no id")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(hard_docs.select("doc_id", "text"))
+    plain = lambda: sorted((r.doc_id or -1, r.n_words, r.n_hit, r.items, r.longest, r.longest_word) for r in decontaminate.benchmark_hits(docs, bench).collect())
+    clean = lambda: sorted((r.doc_id or -1, r.text or "") for r in decontaminate.keep_clean(docs, bench).collect())
+    want = plain(), clean()
+    size = sum(len(t.encode()) + len(str(i)) for i, t in items)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", size // 7)
+    assert decontaminate.Benchmark(bench, 13).n > decontaminate.MOST_BLOCKS
+    assert (plain(), clean()) == want
+
+
+def test_repeated_windows_give_no_pairs():
+    """Work follows the words, not (benchmark suffixes) x (places)."""
+    found = []
+    for n in (200, 400, 800):
+        text = "a b " * n
+        shard = decontaminate.Shard(common.Words([text], common.PLAIN_WORDS), decontaminate.Suffixes(["1"], [text], 13))
+        win, place = shard.windows()
+        suffix, size = shard.best(win, place)
+        assert len(win) == 2 * n - 12 and (size == 2 * n - place).all()
+        found.append(len(win))
+    assert found[2] < 4.2 * found[0]
+
+
 def test_perhaps_in_loses_no_id(spark):
     rows = spark.createDataFrame([(i - 500, "x") for i in range(1000)] + [(None, "y"), (3, "z")], "doc_id long, text string")
     ids = rows.where("doc_id % 7 = 3").select("doc_id")
