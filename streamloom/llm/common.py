@@ -62,6 +62,20 @@ def keep(df: DataFrame, tag: str, codec: str = "zstd") -> DataFrame:
     return kept
 
 
+#: Arrow batches hold about so many bytes, also of long texts.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def map_arrow(df: DataFrame, run, ddl: str) -> DataFrame:
+    """df.mapInArrow, with batches of bounded bytes in this session: by default a
+    batch has 10000 rows, however long their texts are."""
+    spark = df.sparkSession
+    if int(spark.conf.get(_BATCH, None) or 1 << 31) > BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df.mapInArrow(run, ddl)
+
+
 def discard(*tables: DataFrame) -> None:
     """Remove tables that keep() wrote, once all that is read from them is written itself."""
     for kept in tables:
@@ -187,35 +201,55 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components of undirected edges: (node, label), label the
     smallest node.  Every round takes each node's smallest label among its
     neighbours and then the label's own label, until nothing changes, so few
-    rounds suffice even for long chains.  All tables stay distributed."""
+    rounds suffice even for long chains.  All tables stay distributed, a node's
+    neighbours are added up before the shuffle, and only the result's table
+    is left."""
     ends = edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
     both = keep(ends.union(ends.select("y", "x")).where("x <> y").distinct(), "edges")
     labels = keep(both.groupBy("x").agg(F.min("y").alias("low")).select(F.col("x").alias("node"), F.least("x", "low").alias("label")), "labels")
     while True:
         near = both.join(labels, F.col("y") == F.col("node")).groupBy("x").agg(F.min("label").alias("low"))
         step = keep(labels.join(near, F.col("node") == F.col("x"), "left").select("node", F.least("label", "low").alias("label"), F.col("label").alias("old")), "labels")
+        discard(labels)
         jump = step.select(F.col("node").alias("at"), F.col("label").alias("to"))
-        step = keep(step.join(jump, F.col("label") == F.col("at")).select("node", F.least("label", "to").alias("label"), "old"), "labels")
-        if not step.where("label <> old").head(1):
-            return step.select("node", "label")
-        labels = step.select("node", "label")
+        labels = keep(step.join(jump, F.col("label") == F.col("at")).select("node", F.least("label", "to").alias("label"), "old"), "labels")
+        discard(step)
+        if not labels.where("label <> old").head(1):
+            discard(both)
+            return labels
 
 
-#: Size of the bitmap of ids that is broadcast: 2 MB.
-ID_BITS = 1 << 24
+#: The bitmap of ids that is broadcast has so many bits, 2 MB, or BITS_PER_ID
+#: for each id up to MOST_BITS, 64 MB.
+LEAST_BITS, BITS_PER_ID, MOST_BITS = 1 << 24, 16, 1 << 29
 
 
-def perhaps_in(rows: DataFrame, ids: DataFrame, bits: int = ID_BITS) -> DataFrame:
-    """The rows whose doc_id is in ids(doc_id), and a few others.
+def perhaps(rows: DataFrame, ids: DataFrame, mark: str, bits: int | None = None) -> DataFrame:
+    """rows with a column `mark`: whether their doc_id is in ids(doc_id); a few
+    others are marked, too.
 
     Before a join of whole texts with few ids, this keeps the other texts out
-    of the shuffle.  Ids set bits of a bitmap of fixed size, broadcast in rows
-    of 4 KB; the more ids, the more others pass, so the join must follow.
+    of the shuffle.  Ids set bits of a bitmap of bounded size, broadcast in rows
+    of 4 KB; a null id is among the ids if they have one.  With more ids than
+    MOST_BITS can tell apart all rows are marked, so a join must follow.
     """
+    n, none = ids.agg(F.count("*"), F.coalesce(F.max(F.col("doc_id").isNull()), F.lit(False))).first()
+    if bits is None:
+        bits = LEAST_BITS
+        while bits < n * BITS_PER_ID:
+            bits *= 2
+        if bits > MOST_BITS:
+            return rows.withColumn(mark, F.lit(True))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits)) + 1
-    marks = ids.select(place.alias("place")).select("place", F.bitmap_bucket_number("place").alias("_bucket")).repartition("_bucket")
-    bitmaps = marks.groupBy("_bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("_bitmap"))
+    marks = ids.where("doc_id is not null").select(place.alias("place")).select("place", F.bitmap_bucket_number("place").alias("__bucket")).repartition("__bucket")
+    bitmaps = marks.groupBy("__bucket").agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("__bitmap"))
     at = F.bitmap_bit_position(place)
-    byte = F.conv(F.hex(F.col("_bitmap").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
-    near = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(place) == F.col("_bucket"))
-    return near.where(F.getbit(byte, (at % 8).cast("int")) == 1).select(*rows.columns)
+    byte = F.conv(F.hex(F.col("__bitmap").substr((F.floor(at / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    near = rows.join(F.broadcast(bitmaps), F.bitmap_bucket_number(place) == F.col("__bucket"), "left")
+    known = F.coalesce(F.getbit(byte, (at % 8).cast("int")) == 1, F.lit(False))
+    return near.select(*rows.columns, F.when(F.col("doc_id").isNull(), F.lit(none)).otherwise(known).alias(mark))
+
+
+def perhaps_in(rows: DataFrame, ids: DataFrame, bits: int | None = None) -> DataFrame:
+    """The rows that perhaps() marks."""
+    return perhaps(rows, ids, "__perhaps", bits).where("__perhaps").select(rows.columns)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORDS, Words, batches, keep, out_batch, table
+from .common import PLAIN_WORDS, Words, batches, keep, map_arrow, out_batch, table
 
 U64 = np.uint64
 WINDOW = 13
@@ -296,7 +296,7 @@ def _merged(rows: DataFrame, bench: Benchmark) -> DataFrame:
     """Hits by row of rows(text, _ROW) over several passes."""
     parts = []
     for blocks in bench.passes():
-        got = rows.select(F.col(_ROW).alias("doc_id"), "text").mapInArrow(_hits(blocks, bench.window), _HITS_DDL)
+        got = rows.select(F.col(_ROW).alias("doc_id"), "text").transform(map_arrow, _hits(blocks, bench.window), _HITS_DDL)
         parts.append(keep(got if not parts else got.where("size(hits) > 0"), "hits"))
     every = parts[0]
     for x in parts[1:]:
@@ -321,7 +321,7 @@ def benchmark_hits(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> D
     """
     blocks = Benchmark(bench, window)
     if blocks.n <= MOST_BLOCKS:
-        found = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_hits(next(blocks.passes()), window), _HITS_DDL)
+        found = docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, _hits(next(blocks.passes()), window), _HITS_DDL)
     else:
         rows = _numbered(docs, F.col("doc_id").cast("long"), "text")
         found = rows.select("doc_id", _ROW).join(_merged(rows, blocks), _ROW)
@@ -344,7 +344,7 @@ def keep_clean(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataF
             hit = sums[first[1:]] - sums[first[:-1]]
             yield batch.filter(pa.array((hit == 0) | (20 * hit < n)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)
 
 
 _MATCH = pa.schema([("item_id", pa.string()), ("item_word", pa.int64()), ("length", pa.int64()), ("doc_id", pa.int64()), ("doc_word", pa.int64())])
@@ -380,7 +380,7 @@ def longest_matches(docs: DataFrame, bench: DataFrame, least: int = WINDOW, wind
     best = F.min(F.struct((-F.col("length")).alias("less"), "doc_id", "doc_word")).alias("m")
     parts, blocks = [], Benchmark(bench, window)
     for use in blocks.passes():
-        each = own.mapInArrow(search(use), "item_id string, item_word long, length long, doc_id long, doc_word long")
+        each = own.transform(map_arrow, search(use), "item_id string, item_word long, length long, doc_id long, doc_word long")
         found = each.groupBy("item_id", "item_word").agg(best)
         parts.append(found if blocks.n <= MOST_BLOCKS else keep(found, "longest"))
     every = parts[0]

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORDS, Words, batches, id_bucket, mix, out_batch, table
+from .common import PLAIN_WORDS, Words, batches, id_bucket, map_arrow, mix, out_batch, table
 
 U64 = np.uint64
 #: The model learns from about so many labelled documents of each language.
@@ -235,7 +235,7 @@ def label_documents(docs: DataFrame, held_out: int = 2, model: Model | None = No
             pred, score = m.predict(texts)
             yield out_batch(_OUT, doc_id=batch.column("doc_id"), held_out=batch.column("held"), lang_pred=pred, score=score)
 
-    return own.select("doc_id", "text", "held").mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return own.select("doc_id", "text", "held").transform(map_arrow, run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep_settled(docs: DataFrame, least: float, held_out: int = 2) -> DataFrame:
@@ -250,7 +250,7 @@ def keep_settled(docs: DataFrame, least: float, held_out: int = 2) -> DataFrame:
             pred, score = m.predict(texts)
             yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)]))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, Words, batches, id_bucket, keep, mix, out_batch, table
+from .common import BLANK_WORDS, Words, batches, id_bucket, keep, map_arrow, mix, out_batch, table
 
 U64 = np.uint64
 #: Words of the longest context; the suffixes below are built for two.
@@ -154,14 +154,14 @@ def _grow(train: DataFrame, tree: Tree, depth: int, candidates: np.ndarray, freq
         on = on[among(words, tok[on]) >= 0]
         return np.stack([key[on], tok[on]], 1)
 
-    got = train.mapInArrow(_counting(find, ["s", "w"]), "s long, w long, c long")
+    got = train.transform(map_arrow, _counting(find, ["s", "w"]), "s long, w long, c long")
     return keep(got.groupBy("s", "w").agg(F.sum("c").alias("c")), "nexts")
 
 
 def learn(train: DataFrame) -> tuple[Tree, DataFrame]:
     """The tree of train(text), and the table (h, c) of all words' counts."""
     spark = train.sparkSession
-    got = train.mapInArrow(_counting(lambda tok, first: tok, ["h"]), "h long, c long")
+    got = train.transform(map_arrow, _counting(lambda tok, first: tok, ["h"]), "h long, c long")
     counts = keep(got.groupBy("h").agg(F.sum("c").alias("c")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     top = counts.where(F.col("c") >= MIN_WORD * total).toArrow()
@@ -261,7 +261,7 @@ def score_documents(docs: DataFrame, held_out: int = 0, modulus: int = 10) -> Da
             yield out_batch(_PART, row=row + np.arange(len(texts)), doc_id=batch.column("doc_id"), held_out=batch.column("held"), n_tokens=np.diff(first), n_known=sums((place >= 0).astype(np.int64)), base=sums(base), gain=sums(gain), rare=rare, times=times)
             row += len(texts)
 
-    parts = keep(own.select("doc_id", "text", "held").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, rare array<long>, times array<long>"), "parts")
+    parts = keep(own.select("doc_id", "text", "held").transform(map_arrow, run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, rare array<long>, times array<long>"), "parts")
     each = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
     seen = each.join(counts, "h", "left")
     none = lambda kind: F.lit(None).cast(kind)

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, keep, out_batch, table
+from .common import batches, keep, map_arrow, out_batch, table
 
 UNIT = 64
 _BREAKS = {"p", "div", "br", "li", "ul", "ol", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "figure", "blockquote", "pre", "td", "th"}
@@ -97,7 +97,7 @@ def interleave(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
         for batch, texts in batches(it, "text"):
             yield out_batch(schema, id=batch.column("id"), items=[[dict(zip(("position", "kind", "text", "reference", "caption"), x, strict=True)) for x in parse(t)] for t in texts])
 
-    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("text")).mapInArrow(run, f"id long, items {ITEMS}")
+    return pages.select(F.col(id_col).cast("long").alias("id"), F.col(html_col).alias("text")).transform(map_arrow, run, f"id long, items {ITEMS}")
 
 
 def resolve(sequences: DataFrame, media: DataFrame) -> DataFrame:
@@ -192,9 +192,9 @@ def media_documents(docs: DataFrame) -> DataFrame:
     an image; repeated rows each give a row; a null id stays null; other columns
     are ignored.
     """
-    stored = keep(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_store, f"doc_id long, n_bytes long, items {ITEMS}, digest string, media binary"), "media")
+    stored = keep(docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, _store, f"doc_id long, n_bytes long, items {ITEMS}, digest string, media binary"), "media")
     ddl = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    found = stored.where("digest is not null").select("digest", "media").mapInArrow(_analyse, ddl)
+    found = stored.where("digest is not null").select("digest", "media").transform(map_arrow, _analyse, ddl)
     # one row of figures for each digest; copies of the media itself stay where they are
     catalog = keep(found.groupBy("digest").agg(*[F.first(x).alias(x) for x in _FOUND.names[1:]]), "catalog")
     flat = stored.select("doc_id", "n_bytes", F.explode("items").alias("i")).select("doc_id", "n_bytes", "i.position", "i.caption", F.substring("i.reference", 8, 64).alias("digest"))

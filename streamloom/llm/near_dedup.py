@@ -1,12 +1,16 @@
 """Near-duplicate documents by SetSketch registers.
 
-Every document's set of two-word shingles (by default) gives m registers
-K = floor(1 - log_b(x)), cut to 0..254, where x is the smallest of exponentially
+Every document's set of word shingles gives m registers K = floor(1 - log_b(x)), cut to 0..254, where x is the smallest of exponentially
 distributed values that hash functions give its shingles (Ertl, 2021).  The
 registers of a union are the maxima of the registers, and equal registers are
 about as likely as the sets are similar.  Bands of registers give candidates;
 the likelihood of the register comparisons drops the hopeless ones; what is
 left is confirmed on the full sets.
+
+Equal word sequences are one class, and only classes are compared.  Register
+rows are compared freely, as they are small; whole texts move only for pairs
+that pass the likelihood, once for each pair and once for each STAR of pairs
+that share a text.
 """
 
 from __future__ import annotations
@@ -15,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import BLANK_WORDS, Words, batches, components, discard, keep, mix, out_batch, perhaps_in, table
+from .common import BLANK_WORDS, Words, batches, components, discard, keep, map_arrow, mix, out_batch, perhaps, perhaps_in, table
 
 U64 = np.uint64
 M, ROWS = 192, 6
@@ -30,8 +35,11 @@ SMALL_BUCKET = 8
 HUBS = 4
 #: Texts outside a bucket's largest part first meet so many central texts of it.
 CENTRAL = 16
-#: Block sizes of the comparison of what still remains with all texts.
-BLOCK_MEMBERS, BLOCK_ODD = 500, 500
+#: Then registers are compared in blocks of about so many rows, and each text's
+#: likeliest partners of a block are confirmed first.
+BLOCK, FIRST = 128, 2
+#: So many pairs share one copy of a text.
+STAR = 64
 
 _seeds = mix(np.arange(1, 2 * M + 1, dtype=U64))
 _XOR = (_seeds[:M] >> U64(32)).astype(np.uint32)
@@ -72,6 +80,15 @@ def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("text_hi", pa.int64()), ("text_lo", pa.int64()), ("registers", pa.binary())])
 
 
+def sequence_key(w: Words, i: int) -> tuple[int | None, int | None]:
+    """128 bits that stand for the i-th text's words in order; none without words."""
+    seq = w.hash[w.first[i] : w.first[i + 1]]
+    if not len(seq):
+        return None, None
+    place = np.arange(1, len(seq) + 1, dtype=U64)
+    return int(np.sum(mix(seq + place), dtype=U64).view(np.int64)), int(np.sum(mix(seq * (place | U64(1)) ^ U64(0x5BF03635)), dtype=U64).view(np.int64))
+
+
 def _sketch(size: int):
     def run(it):
         for batch, texts in batches(it):
@@ -81,21 +98,15 @@ def _sketch(size: int):
             for i in range(len(texts)):
                 own = np.unique(h[first[i] : first[i + 1]])
                 n.append(len(own))
-                if len(own):
-                    seq = w.hash[w.first[i] : w.first[i + 1]]
-                    place = np.arange(1, len(seq) + 1, dtype=U64)
-                    keys.append((int(np.sum(mix(seq + place), dtype=U64).view(np.int64)), int(np.sum(mix(seq * (place | U64(1)) ^ U64(0x5BF03635)), dtype=U64).view(np.int64))))
-                    regs.append(registers(own).tobytes())
-                else:
-                    keys.append((None, None))
-                    regs.append(None)
+                keys.append(sequence_key(w, i))
+                regs.append(registers(own).tobytes() if len(own) else None)
             yield out_batch(_SKETCH, doc_id=batch.column("doc_id"), n_shingles=n, text_hi=[k[0] for k in keys], text_lo=[k[1] for k in keys], registers=regs)
 
     return run
 
 
 def sketches(docs: DataFrame, size: int) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketch(size), "doc_id long, n_shingles long, text_hi long, text_lo long, registers binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, _sketch(size), "doc_id long, n_shingles long, text_hi long, text_lo long, registers binary")
 
 
 def likeliest(ra: np.ndarray, rb: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
@@ -125,43 +136,46 @@ def _likely(least: float):
     return run
 
 
-def _meet(least: float, percent: int, size: int):
+def _meet(least: float, percent: int, first: int | None):
     """Rows come sorted by (main, salt, part, kind): the odd texts (kind 0) of a
-    block, then the texts to compare each of them with.  Gives confirmed links,
-    one for each odd text and label at most."""
+    block, then the texts to compare each of them with.  Gives likely pairs of
+    texts with different labels, for each odd text the `first` likeliest."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
+    def pairs(odd, main):
+        found = []
+        o, ol, on, oreg = odd
+        m, ml, mn, mreg = main
+        for i in range(len(o)):
+            at = np.flatnonzero((100 * np.minimum(mn, on[i]) >= percent * np.maximum(mn, on[i])) & (ml != ol[i]))
+            # registers agree at least as often as the sets do
+            at = at[(mreg[at] == oreg[i]).sum(1) >= (least - 0.1) * M]
+            if not len(at):
+                continue
+            j = likeliest(np.broadcast_to(oreg[i], (len(at), M)), mreg[at], np.full(len(at), float(on[i])), mn[at].astype(float))
+            at, j = at[j >= least], j[j >= least]
+            if first is not None:
+                at = at[np.lexsort((m[at], -j))[:first]]
+            found += [(min(int(o[i]), int(x)), max(int(o[i]), int(x))) for x in m[at]]
+        return found
+
     def run(it):
-        key, odd = None, []
+        key, odd, empty = None, None, None
         for batch in it:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in ("main", "salt", "part", "kind")), strict=True))
-            ids, label, n = (batch.column(c).to_numpy() for c in ("doc_id", "label", "n"))
+            if not batch.num_rows:
+                continue
+            main, salt, part, kind, node, label, n = (batch.column(c).to_numpy() for c in ("main", "salt", "part", "kind", "node", "label", "n"))
             regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, M)
-            h, first = shingle_hashes(Words(batch.column("text").to_pylist(), BLANK_WORDS), size)
-            own = [np.unique(h[x:y]) for x, y in zip(first, first[1:], strict=False)]
+            cuts = np.concatenate([[0], np.flatnonzero((main[1:] != main[:-1]) | (salt[1:] != salt[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(main)]])
             links = []
-            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
             for x, y in zip(cuts, cuts[1:], strict=False):
-                if x == y:
-                    continue
-                if keys[x][:3] != key:
-                    key, odd = keys[x][:3], []
-                if keys[x][3] == 0:
-                    odd += [(int(ids[i]), int(n[i]), regs[i].copy(), own[i], {int(label[i])}) for i in range(x, y)]
-                    continue
-                for o, on, r, shingles, reached in odd:
-                    at = x + np.flatnonzero((100 * np.minimum(n[x:y], on) >= percent * np.maximum(n[x:y], on)) & ~np.isin(label[x:y], list(reached)))
-                    # registers agree at least as often as the sets do
-                    at = at[(regs[at] == r).sum(1) >= (least - 0.1) * M]
-                    if not len(at):
-                        continue
-                    likely = likeliest(np.broadcast_to(r, (len(at), M)), regs[at], np.full(len(at), float(on)), n[at].astype(float)) >= least
-                    for i in at[likely].tolist():
-                        if int(label[i]) not in reached:
-                            both = len(np.intersect1d(shingles, own[i], assume_unique=True))
-                            if 100 * both >= percent * (len(shingles) + len(own[i]) - both):
-                                reached.add(int(label[i]))
-                                links.append((min(o, int(ids[i])), max(o, int(ids[i]))))
+                rows = node[x:y], label[x:y], n[x:y], regs[x:y]
+                if (now := (int(main[x]), int(salt[x]), int(part[x]))) != key:
+                    key, odd = now, empty
+                if kind[x] == 0:
+                    odd = rows if odd is None else tuple(np.concatenate(c) for c in zip(odd, rows, strict=True))
+                elif odd is not None:
+                    links += pairs(odd, rows)
             yield out_batch(schema, a=[x for x, _ in links], b=[y for _, y in links])
 
     return run
@@ -174,148 +188,231 @@ def shingle_set(text: str, size: int) -> set:
     return set(zip(*(words[k:] for k in range(size)), strict=False))
 
 
+def _sets(texts: list[str], size: int) -> list[np.ndarray]:
+    h, first = shingle_hashes(Words(texts, BLANK_WORDS), size)
+    return [np.unique(h[x:y]) for x, y in zip(first, first[1:], strict=False)]
+
+
 def _confirm(size: int, percent: int):
+    """Rows come sorted by (hub, salt, kind): a star's hub (kind 0), then its others."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(it):
-        for batch in it:
-            a, b, good = batch.column("a").to_pylist(), batch.column("b").to_pylist(), []
-            last, own = None, set()
-            for x, y, s, t in zip(a, b, batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if x != last:
-                    last, own = x, shingle_set(s, size)
-                other = shingle_set(t, size)
-                both = len(own & other)
+        last, own = None, np.zeros(0, U64)
+        for batch, texts in batches(it):
+            hub, kind, node, good = batch.column("hub").to_pylist(), batch.column("kind").to_pylist(), batch.column("node").to_pylist(), []
+            for h, k, x, other in zip(hub, kind, node, _sets(texts, size), strict=True):
+                if k == 0:
+                    last, own = h, other
+                    continue
+                if h != last:
+                    raise ValueError("a star without its hub")
+                both = len(np.intersect1d(own, other, assume_unique=True))
                 if 100 * both >= percent * (len(own) + len(other) - both):
-                    good.append((x, y))
+                    good.append((min(h, x), max(h, x)))
             yield out_batch(schema, a=[x for x, _ in good], b=[y for _, y in good])
 
     return run
 
 
 def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    with_b = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    return with_b.select("a", "b", "ta", "tb").mapInArrow(_confirm(size, percent), "a long, b long")
+    """The pairs (a, b) whose full sets are similar enough; texts(node, text)."""
+    degree = pairs.select(F.col("a").alias("x")).union(pairs.select("b")).groupBy("x").agg(F.count("*").alias("d"))
+    both = pairs.join(degree.select(F.col("x").alias("a"), F.col("d").alias("da")), "a").join(degree.select(F.col("x").alias("b"), F.col("d").alias("db")), "b")
+    left = F.col("da") >= F.col("db")
+    stars = both.select(F.when(left, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(left, F.col("b")).otherwise(F.col("a")).alias("node"), F.greatest("da", "db").alias("d"))
+    stars = keep(stars.select("hub", F.pmod(F.xxhash64("node"), F.ceil(F.col("d") / STAR)).alias("salt"), "node"), "stars")
+    heads = stars.select("hub", "salt").distinct().join(texts, F.col("hub") == F.col("node")).select("hub", "salt", F.lit(0).alias("kind"), "node", "text")
+    others = stars.join(texts, "node").select("hub", "salt", F.lit(1).alias("kind"), "node", "text")
+    rows = heads.union(others).repartition("hub", "salt").sortWithinPartitions("hub", "salt", "kind")
+    found = keep(rows.transform(map_arrow, _confirm(size, percent), "a long, b long"), "links")
+    discard(stars)
+    return found
+
+
+def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, classes): every row's doc_id, n_shingles and class; the classes of
+    equal word sequences with their smallest doc_id and a number, node."""
+    sk = keep(sketches(docs, size), "sketches")
+    alike = sk.where("n_shingles > 0").groupBy("text_hi", "text_lo").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    # written with its numbers, so they stay the same for all that reads them
+    classes = keep(alike.withColumn("node", F.monotonically_increasing_id()), "classes")
+    rows = keep(sk.drop("registers"), "rows")
+    discard(sk)
+    return rows, classes
 
 
-def near_duplicates(docs: DataFrame, size: int = 2, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text).
+_KEYED = pa.schema([("text_hi", pa.int64()), ("text_lo", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string())])
 
-    Documents are linked if 100 * intersection >= percent * union of their sets
-    of `size`-word shingles.  component_id is the smallest doc_id that links
-    lead to.  A null or empty text has no shingles and is linked with nothing;
-    rows with the same word sequence are linked; rows that repeat a doc_id
-    each give a row; a null doc_id stays null and is kept.  Other columns are
-    ignored, so their names can't clash.
-
-    Equal word sequences are first reduced to their smallest doc_id.  Texts
-    that share a band of registers are compared: all pairs of buckets of up to
-    SMALL_BUCKET texts; in larger ones every text with a few hub texts; a text
-    that isn't in its bucket's largest part then with central texts of that part,
-    and, if it is still outside, with all of them and all others outside, in
-    blocks of bounded size, so no such pair stays uncompared.
-    """
-    sk = keep(sketches(docs, size), "sketches")
-    classes = keep(sk.where("n_shingles > 0 and doc_id is not null").groupBy("text_hi", "text_lo").agg(F.min(F.struct("doc_id", "n_shingles", "registers")).alias("r")).select("text_hi", "text_lo", "r.*"), "classes")
-    ids = keep(sk.drop("registers"), "ids")
-    discard(sk)
+
+def _keyed(it):
+    for batch, texts in batches(it):
+        w = Words(texts, BLANK_WORDS)
+        keys = [sequence_key(w, i) for i in range(len(texts))]
+        yield out_batch(_KEYED, text_hi=[k[0] for k in keys], text_lo=[k[1] for k in keys], doc_id=batch.column("doc_id"), text=texts)
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows, reached): every row's doc_id, n_shingles and class (text_hi,
+    text_lo); every class's component and the smallest doc_id in it."""
+    rows, classes = _classes(docs, size)
     byte = lambda i: F.conv(F.hex(F.substring("registers", i + 1, ROWS)), 16, 10).cast("long")
-    bands = keep(classes.select("doc_id", F.col("n_shingles").alias("size"), F.explode(F.array(*[byte(k * ROWS) + F.lit(k << 8 * ROWS) for k in range(BANDS)])).alias("band")), "bands")
-    order = lambda k: F.struct(F.xxhash64("doc_id", F.lit(k)).alias("h"), "doc_id", "size")
+    bands = keep(classes.select("node", F.col("n").alias("size"), F.explode(F.array(*[byte(k * ROWS) + F.lit(k << 8 * ROWS) for k in range(BANDS)])).alias("band")), "bands")
+    order = lambda k: F.struct(F.xxhash64("node", F.lit(k)).alias("h"), "node", "size")
     hub = F.min(F.when(F.shiftright("band", 8 * ROWS) % HUBS == 0, order(0)).when(F.shiftright("band", 8 * ROWS) % HUBS == 1, order(1)).when(F.shiftright("band", 8 * ROWS) % HUBS == 2, order(2)).otherwise(order(3)))
-    buckets = keep(bands.groupBy("band").agg(hub.alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.size").alias("hub_size")), "buckets")
-    shared = keep(bands.join(buckets, "band").select("band", "doc_id", "size", "hub", "hub_size", "n"), "shared")
+    buckets = keep(bands.groupBy("band").agg(hub.alias("hub"), F.count("*").alias("n")).where("n > 1").select("band", F.col("n").alias("many"), F.col("hub.node").alias("hub"), F.col("hub.size").alias("hub_size")), "buckets")
+    shared = keep(bands.join(buckets, "band").select("band", "node", "size", "hub", "hub_size", "many"), "shared")
     discard(bands, buckets)
-    # at most SMALL_BUCKET ids meet in a list, and so at most that many pairs for each id
-    small = shared.where(F.col("n") <= SMALL_BUCKET).groupBy("band").agg(F.collect_list(F.struct("doc_id", "size")).alias("ids"))
+    # at most SMALL_BUCKET texts meet in a list, and so at most that many pairs for each
+    small = shared.where(F.col("many") <= SMALL_BUCKET).groupBy("band").agg(F.collect_list(F.struct("node", "size")).alias("ids"))
     x, y = F.col("x"), F.col("y")
     alike = lambda s, t: 100 * F.least(s, t) >= percent * F.greatest(s, t)
-    pairs = small.select(F.explode("ids").alias("s"), "ids").select("s", F.explode("ids").alias("t")).where(alike(F.col("s.size"), F.col("t.size"))).select(F.col("s.doc_id").alias("x"), F.col("t.doc_id").alias("y")).where(x < y)
-    pairs = pairs.union(shared.where((F.col("n") > SMALL_BUCKET) & alike(F.col("size"), F.col("hub_size"))).select(F.least("doc_id", "hub").alias("x"), F.greatest("doc_id", "hub").alias("y")).where(x < y))
-    info = classes.select("doc_id", F.col("n_shingles").alias("n"), "registers")
+    pairs = small.select(F.explode("ids").alias("s"), "ids").select("s", F.explode("ids").alias("t")).where(alike(F.col("s.size"), F.col("t.size"))).select(F.col("s.node").alias("x"), F.col("t.node").alias("y")).where(x < y)
+    pairs = pairs.union(shared.where((F.col("many") > SMALL_BUCKET) & alike(F.col("size"), F.col("hub_size"))).select(F.least("node", "hub").alias("x"), F.greatest("node", "hub").alias("y")).where(x < y))
+    info = classes.select("node", "n", "registers")
 
     def likely(pairs: DataFrame) -> DataFrame:
-        left = pairs.distinct().join(info.select(F.col("doc_id").alias("x"), F.col("n").alias("na"), F.col("registers").alias("ra")), "x")
-        full = left.join(info.select(F.col("doc_id").alias("y"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "y")
+        left = pairs.distinct().join(info.select(F.col("node").alias("x"), F.col("n").alias("na"), F.col("registers").alias("ra")), "x")
+        full = left.join(info.select(F.col("node").alias("y"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "y")
         full = full.where(alike(F.col("na"), F.col("nb")))
-        return keep(full.select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb", "ra", "rb").mapInArrow(_likely(percent / 100 - SLACK), "a long, b long"), "likely")
-
-    def texts_of(pairs: DataFrame) -> DataFrame:
-        ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        first = perhaps_in(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null"), ids)
-        # an inner join, as the optimiser would push a semi-join, and its shuffle, below the bitmap's
-        return keep(first.join(ids, "doc_id").dropDuplicates(["doc_id"]), "texts")
+        return keep(full.select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb", "ra", "rb").transform(map_arrow, _likely(percent / 100 - SLACK), "a long, b long"), "likely")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
-        texts = texts_of(pairs)
-        found = keep(_links(pairs, texts, size, percent), "links")
-        discard(texts)
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        wanted = keep(classes.select("node", "doc_id", "text_hi", "text_lo").join(nodes, "node"), "wanted")
+        first = perhaps_in(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null"), wanted.select("doc_id"))
+        # the texts' own keys, as an id may stand for several texts; one text of each class
+        held = first.transform(map_arrow, _keyed, "text_hi long, text_lo long, doc_id long, text string")
+        near = held.join(wanted.select("node", "text_hi", "text_lo", F.col("doc_id").alias("least")), ["text_hi", "text_lo"]).where("doc_id <=> least")
+        texts = keep(near.select("node", "text").dropDuplicates(["node"]), "texts")
+        found = _links(pairs, texts, size, percent)
+        discard(texts, wanted)
+        return found
+
+    done = [likely(pairs)]
+    links = [confirmed(done[0])]
+    labels = components(links[0])
+    large = shared.where(F.col("many") > SMALL_BUCKET)
+
+    def odd() -> DataFrame:
+        """(main, node, label) of texts that share a large bucket with its largest part, main, but aren't in it."""
+        placed = keep(large.join(labels.select("node", "label"), "node", "left").select("band", "node", F.coalesce("label", "node").alias("label")), "placed")
+        parts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
+        main = keep(parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.label").alias("main")), "main")
+        found = keep(placed.join(main, "band").where("label <> main").select("main", "node", "label").distinct(), "odd")
+        discard(placed, main)
         return found
 
-    first = likely(pairs)
-    links = confirmed(first)
-    labels = components(links)
-    large = shared.where(F.col("n") > SMALL_BUCKET)
-    if large.head(1):
-        done = first
-
-        def odd(labels: DataFrame) -> DataFrame:
-            """(main, doc_id, label) of texts that share a large bucket with its largest part, main, but aren't in it."""
-            placed = keep(large.join(labels.select(F.col("node").alias("doc_id"), "label"), "doc_id", "left").select("band", "doc_id", F.coalesce("label", "doc_id").alias("label")), "placed")
-            parts = placed.groupBy("band", "label").agg(F.count("*").alias("n"))
-            main = keep(parts.groupBy("band").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("parts")).where("parts > 1").select("band", F.col("m.label").alias("main")), "main")
-            found = keep(placed.join(main, "band").where("label <> main").select("main", "doc_id", "label").distinct(), "odd")
-            discard(placed, main)
-            return found
-
-        def add(pairs: DataFrame) -> None:
-            nonlocal done, links, labels
-            new = keep(pairs.join(done, ["a", "b"], "left_anti"), "new")
-            if new.head(1):
-                more = confirmed(new)
-                done = done.union(new)
-                if more.head(1):
-                    links = links.union(more)
-                    labels = components(links)
-
-        away = odd(labels)
-        if away.head(1):
-            # the texts with the most links are the likeliest to be near to others of their group
-            degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count("*").alias("d"))
-            spread = F.pmod(F.xxhash64("node"), F.lit(CENTRAL))
-            central = keep(labels.join(degree, "node").groupBy("label", spread).agg(F.max(F.struct("d", "node")).alias("m")).select(F.col("label").alias("main"), F.col("m.node").alias("node")), "central")
-            meet = away.join(central, "main").select(F.least("doc_id", "node").alias("x"), F.greatest("doc_id", "node").alias("y"))
-            add(likely(meet))
-            away = odd(labels)
-        if away.head(1):
-            # what remains is compared with all texts of the part, and with what else remains beside it
-            mains = away.select("main").distinct()
-            inside = labels.select(F.col("label").alias("main"), F.col("node").alias("doc_id"), "label").join(mains, "main", "left_semi")
-            lone = mains.select("main", F.col("main").alias("doc_id"), F.col("main").alias("label"))
-            members = inside.union(lone).union(away).distinct()
-            sizes = members.groupBy("main").agg(F.count("*").alias("nm")).join(away.groupBy("main").agg(F.count("*").alias("no")), "main")
-            sizes = keep(sizes.select("main", F.ceil(F.col("nm") / BLOCK_MEMBERS).cast("int").alias("salts"), F.ceil(F.col("no") / BLOCK_ODD).cast("int").alias("blocks")), "sizes")
-            text = texts_of(members.select(F.col("doc_id").alias("a"), F.col("doc_id").alias("b")))
-            full = keep(members.withColumn("kind", F.lit(1)).union(away.select("main", "doc_id", "label", F.lit(0))).join(sizes, "main").join(info, "doc_id").join(text, "doc_id"), "members")
-            h = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-            cols = ["main", "doc_id", "label", "kind", "n", "registers", "text"]
-            every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-            rows = full.where("kind = 1").select(*cols, h("salts").alias("salt"), every("blocks").alias("part")).unionByName(full.where("kind = 0").select(*cols, every("salts").alias("salt"), h("blocks").alias("part")))
-            met = keep(rows.repartition("main", "salt", "part").sortWithinPartitions("main", "salt", "part", "kind").mapInArrow(_meet(percent / 100 - SLACK, percent, size), "a long, b long"), "met")
-            discard(full, text)
-            if met.head(1):
-                labels = components(links.union(met))
-    reached = keep(classes.join(labels, F.col("doc_id") == F.col("node"), "left").select("text_hi", "text_lo", F.coalesce("label", "doc_id").alias("component")), "reached")
-    discard(classes, shared)
-    return ids.join(reached, ["text_hi", "text_lo"], "left").select(
-        "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), F.coalesce(F.coalesce("component", "doc_id") == F.col("doc_id"), F.lit(True)).alias("kept")
-    )
+    def add(pairs: DataFrame) -> None:
+        nonlocal labels
+        known = done[0]
+        for p in done[1:]:
+            known = known.union(p)
+        new = keep(pairs.join(known, ["a", "b"], "left_anti"), "new")
+        done.append(new)
+        if new.head(1):
+            links.append(confirmed(new))
+            if links[-1].head(1):
+                every = links[0]
+                for p in links[1:]:
+                    every = every.union(p)
+                discard(labels)
+                labels = components(every)
+
+    def met(away: DataFrame, first: int | None) -> DataFrame:
+        """Likely pairs of the texts that are away from a part with all its texts and with each other."""
+        mains = away.select("main").distinct()
+        inside = labels.select(F.col("label").alias("main"), "node", "label").join(mains, "main", "left_semi")
+        lone = mains.select("main", F.col("main").alias("node"), F.col("main").alias("label"))
+        members = inside.union(lone).union(away).distinct()
+        sizes = members.groupBy("main").agg(F.count("*").alias("nm")).join(away.groupBy("main").agg(F.count("*").alias("no")), "main")
+        sizes = keep(sizes.select("main", F.ceil(F.col("nm") / BLOCK).cast("int").alias("salts"), F.ceil(F.col("no") / BLOCK).cast("int").alias("blocks")), "sizes")
+        full = keep(members.withColumn("kind", F.lit(1)).union(away.select("main", "node", "label", F.lit(0))).join(sizes, "main").join(info, "node"), "members")
+        h = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+        cols = ["main", "node", "label", "kind", "n", "registers"]
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        rows = full.where("kind = 1").select(*cols, h("salts").alias("salt"), every("blocks").alias("part")).unionByName(full.where("kind = 0").select(*cols, every("salts").alias("salt"), h("blocks").alias("part")))
+        found = rows.repartition("main", "salt", "part").sortWithinPartitions("main", "salt", "part", "kind").transform(map_arrow, _meet(percent / 100 - SLACK, percent, first), "a long, b long")
+        found = keep(found.distinct(), "met")
+        discard(sizes, full)
+        return found
+
+    away = odd() if large.head(1) else None
+    if away is not None and away.head(1):
+        # the texts with the most links are the likeliest to be near to others of their group
+        degree = links[0].select(F.col("a").alias("node")).union(links[0].select("b")).groupBy("node").agg(F.count("*").alias("d"))
+        spread = F.pmod(F.xxhash64("node"), F.lit(CENTRAL))
+        central = keep(labels.join(degree, "node").groupBy("label", spread).agg(F.max(F.struct("d", "node")).alias("m")).select(F.col("label").alias("main"), F.col("m.node").alias("other")), "central")
+        add(likely(away.join(central, "main").select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"))))
+        discard(central)
+        for first in (FIRST, None):
+            discard(away)
+            away = odd()
+            if not away.head(1):
+                break
+            add(met(away, first))
+    low = classes.join(labels, "node", "left").select("text_hi", "text_lo", "doc_id", F.coalesce("label", "node").alias("component"))
+    least = low.groupBy("component").agg(F.min("doc_id").alias("least"))
+    reached = keep(low.select("text_hi", "text_lo", "component").join(least, "component"), "reached")
+    discard(classes, shared, labels, *links, *done, *([away] if away is not None else []))
+    return rows, reached
+
+
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for docs(doc_id, text).
+
+    Documents are linked if 100 * intersection >= percent * union of their sets
+    of `size`-word shingles.  component_id is the smallest doc_id that links
+    lead to.  A null or empty text has no shingles and is linked with nothing;
+    rows with the same word sequence are linked; rows that repeat a doc_id each
+    give a row, and if their texts differ each is linked by its own; a null
+    doc_id is linked like others, but never is a component's id, and kept only
+    where the component has no other.  Other columns are ignored, so their names
+    can't clash.
+
+    Texts that share a band of registers are compared: all pairs of buckets of
+    up to SMALL_BUCKET texts; in larger ones every text with a few hub texts; a
+    text that isn't in its bucket's largest part then with central texts of that
+    part, and, if it is still outside, with all of them and all others outside,
+    in blocks of bounded size, so no such pair stays uncompared.
+    """
+    rows, reached = _components(docs, size, percent)
+    found = rows.join(reached, ["text_hi", "text_lo"], "left")
+    component = F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("least"))
+    return found.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
+
+
+def _with_keys(it):
+    for batch, texts in batches(it):
+        w = Words(texts, BLANK_WORDS)
+        keys = [sequence_key(w, i) for i in range(len(texts))]
+        cols = [*batch.columns, *(pa.array([k[i] for k in keys], pa.int64()) for i in range(2))]
+        yield pa.RecordBatch.from_arrays(cols, names=[*batch.schema.names, "__text_hi", "__text_lo"])
+
+
+def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """docs(doc_id, text, ...) with one row of each group of near_duplicates():
+    one with the group's smallest doc_id (a null one comes last).  Rows without
+    words stay; rows and columns stay as they are."""
+    rows, reached = _components(docs, size, percent)
+    placed = rows.join(reached, ["text_hi", "text_lo"])
+    # of each component one class stays, and of that one row
+    first = F.min(F.when(F.col("doc_id").eqNullSafe(F.col("least")), F.struct("text_hi", "text_lo")))
+    several = keep(placed.groupBy("component").agg(F.count("*").alias("n"), first.alias("c")).where("n > 1").select("component", "c"), "several")
+    chosen = (F.col("c.text_hi") == F.col("text_hi")) & (F.col("c.text_lo") == F.col("text_lo"))
+    classes = keep(reached.join(several, "component").select(F.col("text_hi").alias("__hi"), F.col("text_lo").alias("__lo"), F.col("least").alias("__least"), chosen.alias("__chosen")), "groups")
+    ids = keep(placed.join(several, "component", "left_semi").select("doc_id").distinct(), "ids")
+    discard(rows, reached, several)
+    marked = perhaps(docs, ids, "__doubt")
+    doubt = marked.where("__doubt").select(docs.columns)
+    keyed = doubt.transform(map_arrow, _with_keys, StructType([*docs.schema, StructField("__text_hi", LongType()), StructField("__text_lo", LongType())]))
+    met = keyed.join(classes, (F.col("__text_hi") == F.col("__hi")) & (F.col("__text_lo") == F.col("__lo")), "left")
+    one = met.where("__chosen and doc_id <=> __least").dropDuplicates(["__text_hi", "__text_lo"])
+    return marked.where("not __doubt").select(docs.columns).unionByName(met.where("__chosen is null").select(docs.columns)).unionByName(one.select(docs.columns))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), size=2)
 
 
 QUERIES = {"op9_near_dedup": op9_near_dedup}

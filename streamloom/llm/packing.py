@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, keep, out_batch, table
+from .common import batches, keep, map_arrow, out_batch, table
 
 CAPACITY = 4096
 END_ID = 1
@@ -119,7 +119,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
                     rows.append((i, k, at // 4, len(own) // 4, zlib.crc32(own)))
             yield out_batch(_PIECE, **dict(zip(_PIECE.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:

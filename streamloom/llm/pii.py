@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, out_batch, table
+from .common import batches, map_arrow, out_batch, table
 
 KINDS = ("email", "ip", "card", "phone")
 WINDOW, STRIDE = 96, 48
@@ -366,7 +366,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             counts = {f"n_{k}": [sum(s[1] == i for s in base) for base, _ in got] for i, k in enumerate(KINDS)}
             yield out_batch(_OUT, doc_id=batch.column("doc_id"), **counts, base_sha256=[hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], spans=[written(s) for _, s in got])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -390,7 +390,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
             valid = batch.column(at).is_valid().to_pylist()
             yield batch.set_column(at, batch.schema.field(at), pa.array([c if v else None for c, v in zip(clean, valid, strict=True)], batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(map_arrow, run, docs.schema)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

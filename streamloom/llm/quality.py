@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, Words, batches, id_bucket, out_batch, table
+from .common import BLANK_WORDS, Words, batches, id_bucket, map_arrow, out_batch, table
 
 #: The classifier is fitted on about so many positives and unlabelled texts.
 POSITIVES, UNLABELLED = 4000, 6000
@@ -146,7 +146,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Da
     least = cut(own.where("not held").count(), UNLABELLED)
     # `trusted` has at most 2 * POSITIVES ids
     marked = own.where("not held").join(F.broadcast(trusted), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).withColumn("unlabelled", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < least)
-    chosen = marked.where("positive or unlabelled").select("positive", "unlabelled", "text").mapInArrow(_extract, "positive boolean, unlabelled boolean, x binary").limit(2 * (POSITIVES + UNLABELLED)).toArrow()
+    chosen = marked.where("positive or unlabelled").select("positive", "unlabelled", "text").transform(map_arrow, _extract, "positive boolean, unlabelled boolean, x binary").limit(2 * (POSITIVES + UNLABELLED)).toArrow()
     x = np.frombuffer(b"".join(chosen["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
     x = x[order := np.lexsort(x.T[-7:])] if len(x) else x
     mark = lambda c: np.array(chosen[c].to_pylist(), bool)[order if len(x) else slice(0)]
@@ -159,7 +159,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Da
             score = np.clip(sigmoid(m.out(features(texts).astype(float))), 0, 1) if m else np.full(len(texts), 0.5)
             yield out_batch(_OUT, doc_id=batch.column("doc_id"), held_out=batch.column("held"), score=score, predicted=(score >= THRESHOLD).astype(np.int32))
 
-    return own.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return own.transform(map_arrow, run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, keep, out_batch, table
+from .common import batches, keep, map_arrow, out_batch, table
 
 #: Payloads of so many bytes or more are stored once.
 LEAST_REVISIT = 100
@@ -120,7 +120,7 @@ def write_archives(pages: DataFrame) -> DataFrame:
     copies = own.where((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
     # only digests with copies, so the table is small next to the pages; a hot digest is one row
     copies = keep(copies.where("first < last").select("digest", "first"), "copies")
-    return keep(own.join(copies, "digest", "left").select("page_id", "url", "html", "digest", "first", "second").mapInArrow(_write, "archive long, block int, data binary"), "archives", "uncompressed")
+    return keep(own.join(copies, "digest", "left").select("page_id", "url", "html", "digest", "first", "second").transform(map_arrow, _write, "archive long, block int, data binary"), "archives", "uncompressed")
 
 
 _CAPTURE = pa.schema([("url_key", pa.string()), ("captured_at", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.int64()), ("block", pa.int32()), ("offset", pa.int64()), ("size", pa.int64())])
@@ -221,8 +221,8 @@ def capture_index(archives: DataFrame) -> DataFrame:
     """All captures of archives(archive, block, data), in the order of URL key,
     timestamp and page_id, within and across partitions.  Payloads are checked
     against their digests; a damaged one is an error."""
-    runs = keep(archives.select("archive", "block", "data").mapInArrow(_read, _CAPTURE_DDL), "runs")
-    return runs.repartitionByRange("url_key", "captured_at", "page_id").mapInArrow(_merge, _CAPTURE_DDL)
+    runs = keep(archives.select("archive", "block", "data").transform(map_arrow, _read, _CAPTURE_DDL), "runs")
+    return runs.repartitionByRange("url_key", "captured_at", "page_id").transform(map_arrow, _merge, _CAPTURE_DDL)
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:

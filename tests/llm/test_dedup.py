@@ -52,8 +52,52 @@ def test_large_group_of_near_copies(spark):
         for k in r.sample(range(120), r.randrange(4, 16)):
             own[k] = f"z{r.randrange(10**6)}"
         rows.append((i, " ".join(own)))
-    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert got == brute_components(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (2, 5):
+        got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(docs, size).collect()}
+        assert got == brute_components(rows, size)
+
+
+def test_five_words_by_default(spark):
+    rows = documents()
+    want = brute_components(rows, 5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    assert got == want and want != brute_components(rows)
+
+
+def test_blocks_lose_no_link(spark, monkeypatch):
+    """Chains of texts that are just alike, in large buckets, with several blocks and stars."""
+    import random
+
+    for name, value in (("SMALL_BUCKET", 2), ("CENTRAL", 1), ("BLOCK", 7), ("STAR", 3), ("FIRST", 1)):
+        monkeypatch.setattr(near_dedup, name, value)
+    r = random.Random(12)
+    words = [f"w{r.randrange(5000)}" for _ in range(100)]
+    rows, met = [], []
+    for i in range(70):
+        own = list(words)
+        for k in r.sample(range(100), r.randrange(4, 14)):
+            own[k] = f"z{r.randrange(40)}"
+        rows.append((i, " ".join(own)))
+    real = near_dedup._meet
+    monkeypatch.setattr(near_dedup, "_meet", lambda *a: met.append(a) or real(*a))
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == brute_components(rows) and met
+    assert len({c for _, c in got.values()}) > 1
+
+
+def test_repeated_ids_are_linked_by_their_texts(spark):
+    a = [f"a{k}" for k in range(60)]
+    b = [f"b{k}" for k in range(60)]
+    rows = [(1, a), (1, b), (2, ["x", *a[1:]]), (3, ["x", *b[1:]]), (4, a), (4, a), (None, b), (None, ["q"] * 3), (None, ["q"] * 3), (7, []), (7, []), (8, ["v", "w"])]
+    docs = spark.createDataFrame([(i, " ".join(t) if t else None, "s") for i, t in rows], "doc_id long, text string, least string")
+    got = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dedup.near_duplicates(docs, 2).collect())
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 1, False), (4, 1, False), (0, 1, False), (0, 0, True), (0, 0, True), (7, 7, True), (7, 7, True), (8, 8, True)])
+    kept = near_dedup.keep_one(docs, 2)
+    assert kept.columns == docs.columns
+    # a and b are two groups; one row of each, one of the rows "q q q"; rows without words stay
+    assert sorted((r.doc_id or 0, (r.text or "")[:2]) for r in kept.collect()) == sorted([(1, "a0"), (1, "b0"), (0, "q "), (7, ""), (7, ""), (8, "v ")])
+    assert near_dedup.keep_one(docs.where("false")).count() == 0
 
 
 def test_near_dedup_hard_rows(spark, hard_docs, no_docs):
@@ -168,12 +212,16 @@ def test_repeated_windows_give_no_pairs():
 def test_perhaps_in_loses_no_id(spark):
     rows = spark.createDataFrame([(i - 500, "x") for i in range(1000)] + [(None, "y"), (3, "z")], "doc_id long, text string")
     ids = rows.where("doc_id % 7 = 3").select("doc_id")
-    for bits in (1 << 15, 1 << 24):
+    for bits in (1 << 15, 1 << 24, None):
         got = common.perhaps_in(rows, ids, bits)
         assert got.columns == rows.columns
         assert got.join(ids.distinct(), "doc_id", "left_semi").count() == ids.count()
         assert got.count() < 250
     assert common.perhaps_in(rows, ids.where("false")).count() == 0
+    none = common.perhaps_in(rows, rows.where("doc_id is null").select("doc_id")).collect()
+    assert [r.text for r in none] == ["y"]
+    marked = common.perhaps(rows, ids, "m")
+    assert marked.count() == rows.count() and marked.where("m").join(ids.distinct(), "doc_id", "left_semi").count() == ids.count()
 
 
 def test_discard_removes_only_the_table(spark):
