@@ -18,19 +18,15 @@ from streamloom.llm import common, decontaminate, language_id, near_dedup, packi
 LEAST_SHARE = 0.4
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in ids, and those without a doc_id."""
-    return docs.where("doc_id is not null").join(ids, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id is null"))
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without letters or without a settled language."""
     return language_id.keep_settled(docs, LEAST_SHARE)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies."""
-    return _only(docs, near_dedup.near_duplicates(docs).where("kept").select("doc_id"))
+    """Keeps one document of each group of near copies (five-word shingles, 80 %
+    alike), that with the smallest doc_id."""
+    return near_dedup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
