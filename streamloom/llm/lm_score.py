@@ -1,39 +1,60 @@
 """Scoring texts by a probabilistic suffix tree over words.
 
-A context is the last one to DEPTH words.  Contexts that make up at least
-MIN_SHARE of the training tokens are candidates; one is retained if its
-next-word distribution diverges from that of its own suffix by more than
-MIN_DIVERGENCE (in nats, less what chance explains).  A retained context stores
-next words with a probability of at least MIN_NEXT; what it doesn't store is
-left to its suffix, with the mass that remains.  The root is the smoothed word
-distribution of the whole training corpus, which stays a distributed table:
-only words above MIN_WORD of the tokens, at most 1 / MIN_WORD of them, are sent
-to the executors, and counts of the rest are joined.  At most 1 / MIN_SHARE
-contexts of each depth can exist, with at most 1 / MIN_NEXT words each.
+A context is the last one to DEPTH words.  Every word sequence that occurs
+MIN_COUNT times in the training text is looked at, whatever its share, so the
+tree grows with the corpus.  A context's next word is stored if it is so much
+likelier after the context than after the context's own suffix that its
+occurrences gain MIN_GAIN nats; a context is retained if the divergence of its
+next-word distribution from its suffix's, times its occurrences, is
+MIN_DIVERGENCE nats or more.  With c occurrences of the word after n of the
+context, its probability there is
+
+    P(w | s) = (c - DISCOUNT) / n  [if stored]  +  left(s) * P(w | next shorter retained suffix)
+
+where left(s) is what the discounts and the words that aren't stored leave, so
+every distribution sums to one.  The root is the smoothed distribution of all
+training words.
+
+So a text's score is a sum of values of its word sequences of up to DEPTH + 1
+words: log P(w | s) over log P(w | suffix) for stored words, log left(s) for
+retained contexts.  The tree is a table of such values.  Counting and look-up
+are columnar shuffles: tasks pack hashes into one binary per bucket of the hash
+space, so the shuffle has few rows and no bucket depends on a hot word.
+Executors get only the values of sequences that make up MIN_WORD of the tokens,
+at most 1 / MIN_WORD for each length, and a bitmap of bounded size that keeps
+sequences without a value out of the shuffle.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, Words, batches, id_bucket, keep, map_arrow, mix, out_batch, table
+from .common import BLANK_WORDS, Words, batches, discard, id_bucket, keep, map_arrow, mix, out_batch, table
 
 U64 = np.uint64
-#: Words of the longest context; the suffixes below are built for two.
+#: Words of the longest context.
 DEPTH = 2
-MIN_WORD, MIN_SHARE, MIN_NEXT = 1e-6, 1e-3, 1e-3
-MIN_DIVERGENCE = 0.02
-#: Stored next words occurred so often after the context at least.
-MIN_COUNT = 5
+MIN_WORD = 1e-6
+#: Sequences that occur more rarely aren't stored, nor are contexts of them.
+MIN_COUNT = 2
+DISCOUNT = 0.6
+#: In nats: of a stored word's occurrences together, of a context's.
+MIN_GAIN, MIN_DIVERGENCE = 3.0, 6.0
 ALPHA = 0.1
 END = U64(0x0E4D0E4D0E4D0E4D)
-GROUP = 2 << 20
-#: A task adds up counts of about so many distinct keys before it passes them on.
+GROUP = 1 << 20
+#: A task adds up so many sequences before it passes them on.
 KEYS = 1 << 20
+#: A bucket has about so many tokens' sequences, or so many values.
+BUCKET_TOKENS, BUCKET_VALUES = 1 << 20, 1 << 19
+#: Bits of the bitmap of sequences: so many for each, up to MOST_BITS (32 MB).
+BITS_PER_KEY, MOST_BITS = 8, 1 << 28
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -45,22 +66,20 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def states(tok: np.ndarray, first: np.ndarray, depth: int) -> np.ndarray:
-    """For each token a hash of the `depth` tokens before it; 0 if the text has fewer."""
-    key = np.zeros(len(tok), U64)
-    back = np.arange(len(tok)) - np.repeat(first[:-1], np.diff(first))
-    for d in range(depth, 0, -1):
-        key[d:] = mix(key[d:] * U64(0x9FB21C651E98DF25) + tok[:-d] + U64(1))
-    return np.where(back >= depth, key, U64(0))
-
-
 def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The state hash of a context followed by a word."""
+    """The hash of a sequence followed by a word."""
     return mix(key * U64(0x9FB21C651E98DF25) + word + U64(1))
 
 
-def entry(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(key ^ mix(word))
+def sequences(tok: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
+    """For each token a hash of the `size` tokens that end with it; 0 if the text has fewer."""
+    key = np.zeros(len(tok), U64)
+    for d in range(size - 1, -1, -1):
+        key[d:] = extend(key[d:], tok[: len(tok) - d])
+    if size > 1:
+        back = np.arange(len(tok)) - np.repeat(first[:-1], np.diff(first))
+        key[back < size - 1] = 0
+    return key
 
 
 def among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -71,203 +90,305 @@ def among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == x, at, -1)
 
 
-def _added(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate(parts)
-    order = np.lexsort(keys.T[::-1]) if keys.ndim == 2 else np.argsort(keys)
-    keys, c = keys[order], np.concatenate(counts)[order]
-    change = (keys[1:] != keys[:-1]).any(1) if keys.ndim == 2 else keys[1:] != keys[:-1]
-    first = np.concatenate([[0], np.flatnonzero(change) + 1]) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(c, first) if len(first) else c
+class Bitmap:
+    """Which hashes may be in a set: one bit each, by the highest bits of the hash."""
+
+    def __init__(self, bits: int, data: np.ndarray | None):
+        self.shift, self.data = U64(64 - bits.bit_length() + 1), data
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        if self.data is None:
+            return np.ones(len(x), bool)
+        at = x >> self.shift
+        return (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+def bitmap(keys: DataFrame, n: int) -> Bitmap:
+    """Of the n hashes `g`; beyond MOST_BITS a bitmap that has everything."""
+    bits = 1 << 20
+    while bits < n * BITS_PER_KEY:
+        bits *= 2
+    if bits > MOST_BITS:
+        return Bitmap(1 << 20, None)
+    place = F.shiftrightunsigned("g", 65 - bits.bit_length()) + 1
+    found = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    data = np.zeros((max(bits // 32768, 1), 4096), np.uint8)
+    for r in found.toLocalIterator():
+        data[r.b - 1] = np.frombuffer(r.m, np.uint8)
+    return Bitmap(bits, data.ravel())
+
+
+def _bucket_bits(n: int, most: int) -> int:
+    return max(0, (-(-n // most) - 1).bit_length())
+
+
+_PACKED = pa.schema([("bucket", pa.int64()), ("g", pa.binary()), ("s", pa.binary()), ("u", pa.binary()), ("c", pa.binary())])
+_COUNTED = pa.schema([(x, pa.int64()) for x in ("g", "s", "u", "c")])
+
 
+def _added(g, s, u, c):
+    """Equal sequences with their counts added, by g."""
+    order = np.argsort(g, kind="stable")
+    g = g[order]
+    first = np.flatnonzero(np.concatenate([[True], g[1:] != g[:-1]])) if len(g) else np.zeros(0, np.int64)
+    return g[first], s[order[first]], u[order[first]], np.add.reduceat(c[order], first) if len(first) else c
 
-def _counting(find, names: list[str]):
-    """A mapInArrow function that counts what find(tokens, first) returns: an
-    array with a row, or a number, for each occurrence."""
-    schema = pa.schema([*((x, pa.int64()) for x in names), ("c", pa.int64())])
 
-    def give(keys, c):
-        cols = keys.reshape(len(keys), len(names)).T
-        return out_batch(schema, c=c, **{x: np.ascontiguousarray(v).view(np.int64) for x, v in zip(names, cols, strict=True)})
+def _count(size: int, bits: int, shorter):
+    """Packs the sequences of `size` words of each text, with the sequences that
+    are left without the last word (s) and without the first (u).  shorter: the
+    bitmap of sequences that are one word shorter, and frequent enough."""
+
+    def packed(parts):
+        g, s, u, c = _added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        cuts = np.searchsorted(g >> U64(64 - bits) if bits else np.zeros(len(g), U64), np.arange((1 << bits) + 1, dtype=U64))
+        at = np.flatnonzero(np.diff(cuts))
+        blob = lambda x, kind: [x[cuts[i] : cuts[i + 1]].astype(kind).tobytes() for i in at]
+        return out_batch(_PACKED, bucket=at, g=blob(g, "<u8"), s=blob(s, "<u8"), u=blob(u, "<u8"), c=blob(c, "<i8"))
 
     def run(it):
-        parts, counts, size = [], [], 0
+        parts, n = [], 0
         for _, texts in batches(it, most=GROUP):
-            got = find(*tokens(Words(texts, BLANK_WORDS)))
-            k, c = _added([got], [np.ones(len(got), np.int64)])
-            parts.append(k)
-            counts.append(c)
-            size += len(k)
-            if size > KEYS:
-                parts, counts = ([x] for x in _added(parts, counts))
-                if len(parts[0]) > KEYS // 2:
-                    yield give(parts[0], counts[0])
-                    parts, counts = [], []
-                size = sum(map(len, parts))
+            tok, first = tokens(Words(texts, BLANK_WORDS))
+            g = sequences(tok, first, size)
+            if size == 1:
+                s = u = np.zeros(len(g), U64)
+            else:
+                u = sequences(tok, first, size - 1)
+                s = np.concatenate([[U64(0)], u[:-1]])
+                may = shorter.value
+                ok = np.flatnonzero((g != 0) & may.has(u) & may.has(s))
+                g, s, u = g[ok], s[ok], u[ok]
+            parts.append(_added(g, s, u, np.ones(len(g), np.int64)))
+            n += len(parts[-1][0])
+            if n > KEYS:
+                yield packed(parts)
+                parts, n = [], 0
         if parts:
-            yield give(*_added(parts, counts))
+            yield packed(parts)
 
     return run
 
 
-class Tree:
-    """What the executors need: frequent words, retained contexts, stored next words."""
-
-    def __init__(self, words, counts, total, distinct):
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.total, self.norm = total, total + ALPHA * (distinct + 1)
-        self.levels: list[dict] = []
-
-    def root(self, place: np.ndarray) -> np.ndarray:
-        """log10 probability of the words at these places of `words`."""
-        return np.log10((self.counts[place] + ALPHA) / self.norm)
-
-    def find(self, depth: int, key: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 probability over the root's, of each word after the context of
-        `depth` words that key stands for (or its longest retained suffix):
-        what a stored entry adds, or the context's and its suffixes' leftovers."""
-        level = self.levels[depth - 1]
-        at = among(level["entries"], entry(key, word))
-        return np.where(at >= 0, level["gain"][at] if len(level["gain"]) else 0.0, np.nan)
-
-    def gains(self, tok: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """For each token the log10 of its probability after the longest retained
-        context over that at the root."""
-        out = np.zeros(len(tok))
-        for d, level in enumerate(self.levels, 1):
-            key = states(tok, first, d)
-            ctx = among(level["contexts"], key)
-            on = np.flatnonzero(ctx >= 0)
-            if len(on):
-                stored = self.find(d, key[on], tok[on])
-                # `out` holds what the suffix says, the longest one so far
-                out[on] = np.where(np.isnan(stored), level["left"][ctx[on]] + out[on], stored)
-        return out
-
-
-def _grow(train: DataFrame, tree: Tree, depth: int, candidates: np.ndarray, frequent) -> DataFrame:
-    """Counts (s, w, c) of frequent words w after the candidate contexts s."""
-
-    def find(tok, first):
-        key, words = states(tok, first, depth), frequent.value.words
-        on = np.flatnonzero((key != 0) & (among(candidates, key) >= 0))
-        on = on[among(words, tok[on]) >= 0]
-        return np.stack([key[on], tok[on]], 1)
-
-    got = train.transform(map_arrow, _counting(find, ["s", "w"]), "s long, w long, c long")
-    return keep(got.groupBy("s", "w").agg(F.sum("c").alias("c")), "nexts")
-
-
-def learn(train: DataFrame) -> tuple[Tree, DataFrame]:
-    """The tree of train(text), and the table (h, c) of all words' counts."""
-    spark = train.sparkSession
-    got = train.transform(map_arrow, _counting(lambda tok, first: tok, ["h"]), "h long, c long")
-    counts = keep(got.groupBy("h").agg(F.sum("c").alias("c")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.col("c") >= MIN_WORD * total).toArrow()
-    tree = Tree(top["h"].to_numpy().view(U64), top["c"].to_numpy(), total, distinct)
-    frequent = spark.sparkContext.broadcast(tree)
-    as_long = lambda x: int(np.array(x, U64).view(np.int64))
-    end = as_long(END)
-    wide = tree.words[(tree.counts >= MIN_SHARE * total) & (tree.words != END)]
-    sizes = {int(k): int(c) for k, c in zip(extend(np.zeros(len(wide), U64), wide), tree.counts[among(tree.words, wide)], strict=True)}
-    suffix: dict[int, int] = {}
-    root = counts.where(F.col("c") >= MIN_WORD * total).select(F.col("h").alias("w"), ((F.col("c") + ALPHA) / tree.norm).alias("q"))
-    below = None
-    for depth in range(1, DEPTH + 1):
-        if not sizes:
-            break
-        cand = np.array(sorted(sizes), U64)
-        nexts = _grow(train, tree, depth, cand, frequent)
-        info = spark.createDataFrame([(as_long(k), sizes[k], as_long(suffix.get(k, 0))) for k in sorted(sizes)], "s long, n long, up long")
-        full = nexts.join(F.broadcast(info), "s").join(root, "w")
-        if below is not None:
-            full = full.join(below.select(F.col("s").alias("up"), "w", F.col("p").alias("r")), ["up", "w"], "left").withColumn("q", F.coalesce("r", "q")).drop("r")
-        full = keep(full.select("s", "w", "c", "n", "up", "q", (F.col("c") / F.col("n")).alias("p")), "full")
-        # the divergence over the counted words, less its mean under chance
-        kl = F.sum(F.col("p") * F.log(F.col("p") / F.col("q"))) - F.count("*") / (2 * F.first("n"))
-        good = {int(np.array(r.s, np.int64).view(U64)) for r in full.groupBy("s").agg(kl.alias("kl")).where(F.col("kl") > MIN_DIVERGENCE).collect()}
-        entries = full.where((F.col("c") >= MIN_COUNT) & (F.col("p") >= MIN_NEXT)).select("s", "w", "c", "n").toArrow()
-        tree.levels.append({"all": entries, "good": good, "sizes": sizes, "suffix": suffix})
-        below = full
-        # contexts one word longer: the candidate followed by a frequent word, frequent as a pair
-        longer = nexts.where((F.col("c") >= MIN_SHARE * total) & (F.col("w") != end)).collect()
-        keys = extend(np.array([r.s for r in longer], np.int64).view(U64), np.array([r.w for r in longer], np.int64).view(U64))
-        sizes = {int(k): r.c for k, r in zip(keys, longer, strict=True)}
-        suffix = {int(k): int(extend(np.zeros(1, U64), np.array([r.w], np.int64).view(U64))[0]) for k, r in zip(keys, longer, strict=True)}
-    # a retained context's suffixes are retained too
-    for d in range(len(tree.levels) - 1, 0, -1):
-        tree.levels[d - 1]["good"] |= {tree.levels[d]["suffix"][k] for k in tree.levels[d]["good"]} & set(tree.levels[d - 1]["sizes"])
-    for d, level in enumerate(tree.levels):
-        good = np.array(sorted(level["good"]), U64)
-        e = level["all"]
-        s, w = e["s"].to_numpy().view(U64), e["w"].to_numpy().view(U64)
-        on = among(good, s) >= 0
-        s, w, c, n = s[on], w[on], e["c"].to_numpy()[on], e["n"].to_numpy()[on]
-        base = 10 ** tree.root(among(tree.words, w))
-        up = base
-        if d:
-            prior = tree.levels[d - 1]
-            parent = np.array([level["suffix"][int(k)] for k in s], U64)
-            at = among(prior["entries"], entry(parent, w))
-            ctx = among(prior["contexts"], parent)
-            gain = np.where(at >= 0, prior["gain"][at] if len(prior["gain"]) else 0.0, prior["left"][ctx] if len(prior["left"]) else 0.0)
-            up = base * 10**gain
-        p = c / (n + 1.0)
-        place = among(good, s)
-        kept = np.bincount(place, p, len(good))
-        given = np.minimum(np.bincount(place, up, len(good)), 1 - 1e-9)
-        key = entry(s, w)
-        order = np.argsort(key)
-        level |= {"contexts": good, "left": np.log10((1 - kept) / (1 - given)), "entries": key[order], "gain": np.log10(p / base)[order]}
-        for x in ("all", "good", "sizes"):
-            del level[x]
-    for level in tree.levels:
-        level.pop("suffix")
-    return tree, counts
-
-
-_PART = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()), ("rare", pa.list_(pa.int64())), ("times", pa.list_(pa.int64()))])
-
-
-def score_documents(docs: DataFrame, held_out: int = 0, modulus: int = 10) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
-    for docs(doc_id, text).
+def _merge(least: int):
+    """Rows come sorted by bucket: adds up what all tasks packed for it."""
 
-    Learns from rows whose crc32(doc_id as text) mod `modulus` isn't `held_out`.
-    base_score: log10 probability by smoothed word counts; score: by the suffix
-    tree.  A null or empty text is the end alone.  Repeated rows each give a
-    row; a null id counts as remainder 0; without training rows every token
-    has the probability that is left to unknown ones; other columns are ignored.
+    def done(parts):
+        g, s, u, c = _added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        ok = np.flatnonzero(c >= least)
+        for i in range(0, len(ok), 1 << 17):
+            k = ok[i : i + (1 << 17)]
+            yield out_batch(_COUNTED, g=g[k].view(np.int64), s=s[k].view(np.int64), u=u[k].view(np.int64), c=c[k])
+
+    def run(it):
+        key, parts = None, []
+        for batch in it:
+            for b, *data in zip(*(batch.column(x).to_pylist() for x in _PACKED.names), strict=True):
+                if b != key and parts:
+                    yield from done(parts)
+                    parts = []
+                key = b
+                parts.append(tuple(np.frombuffer(x, k) for x, k in zip(data, ("<u8", "<u8", "<u8", "<i8"), strict=True)))
+        if parts:
+            yield from done(parts)
+
+    return run
+
+
+def counted(train: DataFrame, size: int, bits: int, least: int, shorter=None) -> DataFrame:
+    """(g, s, u, c): the sequences of `size` words that occur `least` times."""
+    packed = train.transform(map_arrow, _count(size, bits, shorter), "bucket long, g binary, s binary, u binary, c binary")
+    return keep(packed.repartition("bucket").sortWithinPartitions("bucket").transform(map_arrow, _merge(least), "g long, s long, u long, c long"), f"words{size}")
+
+
+_VALUES = ("g", "value", "c", "often", "size")
+
+
+def tree(train: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
+    """(values, tokens, distinct words) of train(text).
+
+    values(g, value, c, often, size): what each word sequence of `size` words adds
+    to a text's log probability, and how often it occurs; rows of one sequence
+    add up.  All words are there, c is their count (0 for longer sequences), and
+    their probability at the root isn't in the value.
     """
-    own = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held", id_bucket("doc_id", modulus) == held_out)
-    tree, counts = learn(own.where("not held").select(F.coalesce("text", F.lit("")).alias("text")))
-    use = own.sparkSession.sparkContext.broadcast(tree)
-    total, norm = tree.total, tree.norm
+    sc = train.sparkSession.sparkContext
+    # about the number of tokens, which says how many buckets there must be
+    guess = train.agg(F.coalesce(F.sum(F.octet_length("text") / 5 + 1), F.lit(0))).first()[0]
+    bits = _bucket_bits(int(guess), BUCKET_TOKENS)
+    words = counted(train, 1, bits, 1)
+    total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    root = (F.col("c") + ALPHA) / F.lit(total + ALPHA * (distinct + 1))
+    # of each sequence its count, its last word's share after its other words (q), and the tree's log probability of it there
+    level = words.select("g", "c", root.alias("q"), F.log(root).alias("logp"))
+    values = [words.select("g", F.lit(0.0), "c", "c", F.lit(1))]
+    frequent, kept = words.where(F.col("c") >= MIN_COUNT).select("g"), [words]
+    for size in range(2, depth + 2):
+        n = frequent.count()
+        if not n:
+            break
+        shorter = sc.broadcast(bitmap(frequent, n))
+        found = counted(train, size, bits, MIN_COUNT, shorter)
+        shorter.unpersist()
+        own = level.select(F.col("g").alias("s"), F.col("c").alias("n"))
+        suffix = level.select(F.col("g").alias("u"), "q", "logp")
+        known = keep(found.join(own, "s").join(suffix, "u").select("g", "s", "c", "n", "q", "logp"), "known")
+        discard(found)
+        gain = F.col("c") * F.log(F.col("c") / (F.col("n") * F.col("q")))
+        sums = known.withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN).groupBy("s").agg(F.first("n").alias("n"), F.sum("c").alias("sc"), F.sum("q").alias("sq"), F.sum("gain").alias("sg"), F.count("*").alias("k"))
+        # the words that aren't stored count as one
+        rest = F.col("n") - F.col("sc")
+        other = F.when(rest > 0, rest * F.log(rest / (F.col("n") * F.greatest(1 - F.col("sq"), F.lit(1e-12))))).otherwise(0.0)
+        context = keep(sums.where(F.col("sg") + other >= MIN_DIVERGENCE).select("s", "n", ((rest + F.col("k") * DISCOUNT) / F.col("n")).alias("left")), "contexts")
+        after = known.join(context.select("s", "left"), "s", "left").withColumn("stored", (gain >= MIN_GAIN) & F.col("left").isNotNull())
+        here = F.log(F.when(F.col("stored"), (F.col("c") - DISCOUNT) / F.col("n")).otherwise(0.0) + F.coalesce("left", F.lit(1.0)) * F.exp("logp"))
+        level = keep(after.select("g", "c", (F.col("c") / F.col("n")).alias("q"), here.alias("logp"), F.when(F.col("stored"), here - F.col("logp") - F.log("left")).alias("value")), "level")
+        discard(known)
+        values += [context.select("s", F.log("left"), F.lit(0).cast("long"), "n", F.lit(size - 1)), level.where("value is not null").select("g", "value", F.lit(0).cast("long"), "c", F.lit(size))]
+        kept += [context, level]
+        frequent = level.select("g")
+    every = values[0]
+    for x in values[1:]:
+        every = every.union(x)
+    out = keep(every.toDF(*_VALUES), "tree")
+    discard(*kept)
+    return out, total, distinct
+
+
+class Frequent:
+    """What executors get of the tree: values(g, value, c, size) of frequent
+    sequences, and the bitmaps of the others of two words and more."""
+
+    def __init__(self, rows: pa.Table, maps: list[Bitmap], norm: float, bits: int):
+        self.levels, self.maps, self.norm, self.bits = [], maps, norm, bits
+        size = rows["size"].to_numpy()
+        for k in range(1, len(maps) + 2):
+            own = size == k
+            g = rows["g"].to_numpy()[own].view(U64)
+            order = np.argsort(g)
+            self.levels.append((g[order], rows["c"].to_numpy()[own][order], rows["value"].to_numpy()[own][order]))
+
+
+_MIXED = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
+_MIXED_DDL = "kind int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, bucket long, keys binary, docs binary"
+_SUMS = pa.schema([("row", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
+
+
+def _features(use):
+    """Rows of kind 0 for each text, with what frequent sequences add, and of kind
+    1 for each bucket: hashes of other sequences, and the texts that hold them."""
 
     def run(it):
         t, row = use.value, (TaskContext.get().partitionId() << 36)
         for batch, texts in batches(it, most=GROUP):
             tok, first = tokens(Words(texts, BLANK_WORDS))
-            place = among(t.words, tok)
-            base = np.where(place >= 0, t.root(place) if len(t.words) else 0.0, 0.0)
-            gain = t.gains(tok, first)
+            doc = np.repeat(np.arange(len(texts)), np.diff(first))
             sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731
-            rare, times = [], []
-            for a, b in zip(first[:-1], first[1:], strict=True):
-                r, n = np.unique(tok[a:b][place[a:b] < 0], return_counts=True)
-                rare.append(r.view(np.int64))
-                times.append(n)
-            yield out_batch(_PART, row=row + np.arange(len(texts)), doc_id=batch.column("doc_id"), held_out=batch.column("held"), n_tokens=np.diff(first), n_known=sums((place >= 0).astype(np.int64)), base=sums(base), gain=sums(gain), rare=rare, times=times)
+            g, c, v = t.levels[0]
+            key = sequences(tok, first, 1)
+            at = among(g, key)
+            known = (at >= 0).astype(np.int64)
+            # as if all others were unknown
+            base = np.log10((np.where(at >= 0, c[at], 0) + ALPHA) / t.norm) if len(g) else np.full(len(tok), math.log10(ALPHA / t.norm))
+            gain = np.where(at >= 0, v[at], 0.0) if len(g) else np.zeros(len(tok))
+            keys, docs = [key[at < 0]], [doc[at < 0]]
+            for size, may in enumerate(t.maps, 2):
+                key = sequences(tok, first, size)
+                g, _, v = t.levels[size - 1]
+                at = among(g, key)
+                if len(g):
+                    gain += np.where(at >= 0, v[at], 0.0)
+                rare = np.flatnonzero((at < 0) & (key != 0) & may.has(key))
+                keys.append(key[rare])
+                docs.append(doc[rare])
+            n = len(texts)
+            none = lambda kind: pa.nulls(n, kind)  # noqa: B023, E731
+            yield out_batch(_MIXED, kind=np.zeros(n, np.int32), row=row + np.arange(n), doc_id=batch.column("doc_id"), held_out=batch.column("held"), n_tokens=np.diff(first), n_known=sums(known), base=sums(base), gain=sums(gain), bucket=none(pa.int64()), keys=none(pa.binary()), docs=none(pa.binary()))
+            keys, docs = np.concatenate(keys), np.concatenate(docs)
+            bucket = (keys >> U64(64 - t.bits)).astype(np.int64) if t.bits else np.zeros(len(keys), np.int64)
+            order = np.argsort(bucket, kind="stable")
+            keys, docs, bucket = keys[order], docs[order], bucket[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
+            at = cuts[:-1]
+            n = len(at)
+            blob = lambda x, kind: [x[a:b].astype(kind).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]  # noqa: B023, E731
+            yield out_batch(_MIXED, kind=np.ones(n, np.int32), row=np.full(n, row), doc_id=none(pa.int64()), held_out=none(pa.bool_()), n_tokens=none(pa.int64()), n_known=none(pa.int64()), base=none(pa.float64()), gain=none(pa.float64()), bucket=bucket[at], keys=blob(keys, "<u8"), docs=blob(docs, "<u4"))
             row += len(texts)
 
-    parts = keep(own.select("doc_id", "text", "held").transform(map_arrow, run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, rare array<long>, times array<long>"), "parts")
-    each = parts.select("row", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("row", F.col("x.rare").alias("h"), F.col("x.times").alias("n"))
-    seen = each.join(counts, "h", "left")
+    return run
+
+
+def _look_up(it):
+    """Rows come sorted by (bucket, kind): the bucket's values (kind 0), then the
+    packed sequences of groups of texts (kind 1).  Gives what they add to each text."""
+    key, parts, g = None, [], None
+    for batch in it:
+        kind, bucket = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
+        cuts = np.concatenate([[0], np.flatnonzero((bucket[1:] != bucket[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(kind)]]) if len(kind) else []
+        for x, y in zip(cuts, cuts[1:], strict=False):
+            if bucket[x] != key:
+                key, parts, g = int(bucket[x]), [], None
+            if kind[x] == 0:
+                cols = [batch.column(c).slice(x, y - x).to_numpy(zero_copy_only=False).copy() for c in ("g", "value", "c")]
+                parts.append((cols[0].view(U64), *cols[1:]))
+                continue
+            if g is None:
+                g, value, c = _values(parts)
+            for r, k, d in zip(*(batch.column(n).slice(x, y - x).to_pylist() for n in ("row", "keys", "docs")), strict=True):
+                k, d = np.frombuffer(k, "<u8"), np.frombuffer(d, "<u4").astype(np.int64)
+                at = among(g, k)
+                k, d = at[at >= 0], d[at >= 0]
+                some, place = np.unique(d, return_inverse=True)
+                add = lambda z: np.bincount(place, z, len(some))  # noqa: B023, E731
+                yield out_batch(_SUMS, row=r + some, n_known=add(c[k] > 0).astype(np.int64), base=add(np.log10((c[k] + ALPHA) / ALPHA)), gain=add(value[k]))
+
+
+def _values(parts: list[tuple]) -> list[np.ndarray]:
+    """Sequences with their values and counts added up, in order."""
+    if not parts:
+        return [np.zeros(0, U64), np.zeros(0), np.zeros(0, np.int64)]
+    g, value, c = (np.concatenate(p) for p in zip(*parts, strict=True))
+    order = np.argsort(g, kind="stable")
+    new = np.flatnonzero(np.concatenate([[True], g[order][1:] != g[order][:-1]]))
+    return [g[order][new], np.add.reduceat(value[order], new), np.add.reduceat(c[order], new)]
+
+
+def scored(docs: DataFrame, values: DataFrame, total: int, distinct: int) -> DataFrame:
+    """docs(doc_id, text, held) scored with the tree's values."""
+    norm = total + ALPHA * (distinct + 1)
+    often = F.col("often") >= MIN_WORD * total
+    top = values.where(often).groupBy("g", "size").agg(F.sum("value").alias("value"), F.sum("c").alias("c")).toArrow()
+    rare = values.where(~often)
+    many = {r["size"]: r["count"] for r in rare.groupBy("size").count().collect()}
+    longest = values.agg(F.max("size")).first()[0] or 1
+    maps = [bitmap(rare.where(F.col("size") == k).select("g"), many.get(k, 0)) for k in range(2, longest + 1)]
+    bits = _bucket_bits(sum(many.values()), BUCKET_VALUES)
+    use = docs.sparkSession.sparkContext.broadcast(Frequent(top, maps, norm, bits))
+    mixed = keep(docs.select("doc_id", "text", "held").transform(map_arrow, _features(use), _MIXED_DDL), "features")
     none = lambda kind: F.lit(None).cast(kind)
-    added = seen.select("row", none("long").alias("doc_id"), none("boolean").alias("held_out"), F.lit(0).cast("long").alias("n_tokens"), F.when(F.col("c") > 0, F.col("n")).otherwise(0).alias("n_known"), (F.col("n") * F.log10((F.coalesce("c", F.lit(0)) + ALPHA) / norm)).alias("base"), F.lit(0.0).alias("gain"))
-    whole = parts.drop("rare", "times").union(added).groupBy("row").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")], F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain")).alias("score"))
+    bucket = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")
+    model = rare.select(bucket.alias("bucket"), F.lit(0).alias("kind"), "g", "value", "c", none("long").alias("row"), none("binary").alias("keys"), none("binary").alias("docs"))
+    packed = mixed.where("kind = 1").select("bucket", "kind", none("long"), none("double"), none("long"), "row", "keys", "docs")
+    sums = model.union(packed).repartition("bucket").sortWithinPartitions("bucket", "kind").transform(map_arrow, _look_up, "row long, n_known long, base double, gain double")
+    own = mixed.where("kind = 0").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "gain")
+    added = sums.select("row", none("long"), none("boolean"), none("long"), "n_known", "base", "gain")
+    whole = own.union(added).groupBy("row").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")], F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
+    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain") / math.log(10)).alias("score"))
+
+
+def score_documents(docs: DataFrame, held_out: int = 0, modulus: int = 10, depth: int = DEPTH) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
+    for docs(doc_id, text).
+
+    Learns from rows whose crc32(doc_id as text) mod `modulus` isn't `held_out`.
+    base_score: log10 probability by smoothed word counts; score: by the suffix
+    tree.  A null or empty text is the end alone.  Repeated rows each give a
+    row; a null id counts as remainder 0; without training rows every token
+    has the probability that is left to unknown ones; other columns are ignored.
+    """
+    own = docs.select(F.col("doc_id").cast("long"), "text").withColumn("held", id_bucket("doc_id", modulus) == held_out)
+    values, total, distinct = tree(own.where("not held").select(F.coalesce("text", F.lit("")).alias("text")), depth)
+    return scored(own, values, total, distinct)
 
 
 def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -374,23 +374,69 @@ def test_base_score_equals_brute_force(spark):
     assert sum(better) > 0
 
 
-def test_tree_is_normalised(spark):
-    r = random.Random(5)
-    text = lambda: " ".join(r.choice(("a b c", "a b d", "x y", "q", "c a")) for _ in range(200))
-    train = spark.createDataFrame([(text(),) for _ in range(30)], "text string")
-    tree, counts = lm_score.learn(train)
-    assert tree.levels and len(tree.levels[0]["contexts"])
-    known = {x: tree.words[i] for i, x in enumerate(tree.words.tolist())}
-    words = np.array(list(known), np.uint64)
-    for context in ("a", "x", "a b"):
-        w = lm_score.Words([context], lm_score.BLANK_WORDS)
-        total = 0.0
-        for x in words:
-            tok = np.concatenate([w.hash, [x]]).astype(np.uint64)
-            gain = tree.gains(tok, np.array([0, len(tok)]))[-1]
-            total += 10 ** (tree.root(lm_score.among(tree.words, np.array([x], np.uint64)))[0] + gain)
-        unseen = 1 - sum(10 ** tree.root(np.arange(len(words))))
-        assert 0.9 < total <= 1.0 + 1e-9 and unseen < 0.05
+def brute_tree(texts, depth):
+    """A function that gives a word's probability after others, by plain dictionaries."""
+    count = Counter()
+    for own in texts:
+        for i in range(len(own)):
+            for d in range(min(depth, i) + 1):
+                count[tuple(own[i - d : i + 1])] += 1
+    total, words = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    root = lambda w: (count[(w,)] + 0.1) / (total + 0.1 * (words + 1))
+    share = lambda g: count[g] / count[g[:-1]] if len(g) > 1 else root(g[0])
+    contexts = {}
+    for g, c in count.items():
+        if len(g) > 1 and c >= lm_score.MIN_COUNT and (gain := c * math.log(share(g) / share(g[1:]))) >= lm_score.MIN_GAIN:
+            contexts.setdefault(g[:-1], {})[g[-1]] = gain
+    for s, stored in list(contexts.items()):
+        n, mass, before = count[s], sum(count[s + (w,)] for w in stored), sum(share(s[1:] + (w,)) for w in stored)
+        rest = (n - mass) * math.log((n - mass) / (n * max(1 - before, 1e-12))) if n > mass else 0.0
+        if sum(stored.values()) + rest < lm_score.MIN_DIVERGENCE:
+            del contexts[s]
+
+    def probability(before, w):
+        if not before:
+            return root(w)
+        s, shorter = tuple(before), probability(before[1:], w)
+        if s not in contexts:
+            return shorter
+        n, stored = count[s], contexts[s]
+        left = (n - sum(count[s + (x,)] - lm_score.DISCOUNT for x in stored)) / n
+        return ((count[s + (w,)] - lm_score.DISCOUNT) / n if w in stored else 0.0) + left * shorter
+
+    return probability, contexts, [g[0] for g in count if len(g) == 1]
+
+
+@pytest.mark.parametrize(("depth", "wide"), [(2, True), (3, False)])
+def test_scores_equal_a_plain_suffix_tree(spark, monkeypatch, depth, wide):
+    if wide:  # several buckets, several packs of a task, few frequent words
+        for name, value in (("BUCKET_TOKENS", 900), ("BUCKET_VALUES", 300), ("KEYS", 700), ("GROUP", 1 << 12), ("MIN_WORD", 0.01)):
+            monkeypatch.setattr(lm_score, name, value)
+    rows = [(i, t or "") for i, t, _ in documents()]
+    toks = {i: [*t.encode().translate(lm_score.BLANK_WORDS).split(), None] for i, t in rows}
+    probability, contexts, words = brute_tree([own for i, own in toks.items() if crc(i) % 10], depth)
+    assert len({len(s) for s in contexts}) == depth
+    got = {r.doc_id: r for r in lm_score.score_documents(spark.createDataFrame(rows, "doc_id long, text string"), depth=depth).collect()}
+    base, held = 0.0, 0.0
+    for i, own in toks.items():
+        want = sum(math.log10(probability(own[max(0, k - depth) : k], w)) for k, w in enumerate(own))
+        assert math.isclose(got[i].score, want, rel_tol=1e-9), i
+        if got[i].held_out:
+            base, held = base + got[i].base_score, held + got[i].score
+    assert held > base
+    # every distribution sums to one, but for the root's share of unknown words
+    for s in list(contexts)[:: max(1, len(contexts) // 20)]:
+        total = sum(probability(s, w) for w in words)
+        assert total <= 1 + 1e-9 and total > 1 - 0.05
+
+
+def test_contexts_grow_with_the_corpus(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").selectExpr("doc_id", "coalesce(text, '') as text")
+    n = []
+    for part in (docs.where("doc_id % 4 = 0"), docs):
+        values, total, _ = lm_score.tree(part)
+        n.append((values.where("size = 3 or (size = 2 and c = 0)").count(), total))
+    assert n[1][0] / n[0][0] > 0.7 * n[1][1] / n[0][1]
 
 
 # -- all ------------------------------------------------------------------------------
