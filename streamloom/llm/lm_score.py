@@ -43,9 +43,9 @@ DEPTH = 2
 MIN_WORD = 1e-6
 #: Sequences that occur more rarely aren't stored, nor are contexts of them.
 MIN_COUNT = 2
-DISCOUNT = 0.6
+DISCOUNT = 0.75
 #: In nats: of a stored word's occurrences together, of a context's.
-MIN_GAIN, MIN_DIVERGENCE = 3.0, 6.0
+MIN_GAIN, MIN_DIVERGENCE = 6.0, 9.0
 ALPHA = 0.1
 END = U64(0x0E4D0E4D0E4D0E4D)
 GROUP = 1 << 20
@@ -54,7 +54,7 @@ KEYS = 1 << 20
 #: A bucket has about so many tokens' sequences, or so many values.
 BUCKET_TOKENS, BUCKET_VALUES = 1 << 20, 1 << 19
 #: Bits of the bitmap of sequences: so many for each, up to MOST_BITS (32 MB).
-BITS_PER_KEY, MOST_BITS = 8, 1 << 28
+BITS_PER_KEY, MOST_BITS = 12, 1 << 28
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -66,20 +66,21 @@ def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
     return out, first
 
 
-def extend(key: np.ndarray, word: np.ndarray) -> np.ndarray:
-    """The hash of a sequence followed by a word."""
-    return mix(key * U64(0x9FB21C651E98DF25) + word + U64(1))
+def combine(s: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The hash of a sequence from those of its words but the last, and but the first."""
+    return mix(s * U64(0x9FB21C651E98DF25) + u + U64(1))
 
 
-def sequences(tok: np.ndarray, first: np.ndarray, size: int) -> np.ndarray:
-    """For each token a hash of the `size` tokens that end with it; 0 if the text has fewer."""
-    key = np.zeros(len(tok), U64)
-    for d in range(size - 1, -1, -1):
-        key[d:] = extend(key[d:], tok[: len(tok) - d])
-    if size > 1:
-        back = np.arange(len(tok)) - np.repeat(first[:-1], np.diff(first))
-        key[back < size - 1] = 0
-    return key
+def sequences(tok: np.ndarray, first: np.ndarray, size: int) -> list[np.ndarray]:
+    """For each token a hash of the 1, 2, ... `size` tokens that end with it; 0 if the text has fewer."""
+    back = np.arange(len(tok)) - np.repeat(first[:-1], np.diff(first))
+    out = [combine(np.zeros(len(tok), U64), tok)]
+    for n in range(2, size + 1):
+        key = np.zeros(len(tok), U64)
+        key[1:] = combine(out[-1][:-1], out[-1][1:])
+        key[back < n - 1] = 0
+        out.append(key)
+    return out
 
 
 def among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -122,7 +123,7 @@ def _bucket_bits(n: int, most: int) -> int:
     return max(0, (-(-n // most) - 1).bit_length())
 
 
-_PACKED = pa.schema([("bucket", pa.int64()), ("g", pa.binary()), ("s", pa.binary()), ("u", pa.binary()), ("c", pa.binary())])
+_PACKED = pa.schema([("bucket", pa.int64()), ("s", pa.binary()), ("u", pa.binary()), ("c", pa.binary())])
 _COUNTED = pa.schema([(x, pa.int64()) for x in ("g", "s", "u", "c")])
 
 
@@ -135,29 +136,29 @@ def _added(g, s, u, c):
 
 
 def _count(size: int, bits: int, shorter):
-    """Packs the sequences of `size` words of each text, with the sequences that
-    are left without the last word (s) and without the first (u).  shorter: the
-    bitmap of sequences that are one word shorter, and frequent enough."""
+    """Packs the sequences of `size` words of each text as those that are left
+    without the last word (s) and without the first (u); of one word as u and
+    nothing.  shorter: the bitmap of sequences that are one word shorter, and
+    frequent enough."""
 
     def packed(parts):
         g, s, u, c = _added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         cuts = np.searchsorted(g >> U64(64 - bits) if bits else np.zeros(len(g), U64), np.arange((1 << bits) + 1, dtype=U64))
         at = np.flatnonzero(np.diff(cuts))
-        blob = lambda x, kind: [x[cuts[i] : cuts[i + 1]].astype(kind).tobytes() for i in at]
-        return out_batch(_PACKED, bucket=at, g=blob(g, "<u8"), s=blob(s, "<u8"), u=blob(u, "<u8"), c=blob(c, "<i8"))
+        blob = lambda x: [x[cuts[i] : cuts[i + 1]].tobytes() for i in at]
+        return out_batch(_PACKED, bucket=at, s=blob(s.astype("<u8")) if size > 1 else [b""] * len(at), u=blob(u.astype("<u8")), c=blob(c.astype("<u4")))
 
     def run(it):
         parts, n = [], 0
         for _, texts in batches(it, most=GROUP):
             tok, first = tokens(Words(texts, BLANK_WORDS))
-            g = sequences(tok, first, size)
-            if size == 1:
-                s = u = np.zeros(len(g), U64)
-            else:
-                u = sequences(tok, first, size - 1)
+            *_, g = keys = sequences(tok, first, size)
+            s = u = g
+            if size > 1:
+                u = keys[-2]
                 s = np.concatenate([[U64(0)], u[:-1]])
-                may = shorter.value
-                ok = np.flatnonzero((g != 0) & may.has(u) & may.has(s))
+                may = shorter.value.has(u)
+                ok = np.flatnonzero((g != 0) & may & np.concatenate([[False], may[:-1]]))
                 g, s, u = g[ok], s[ok], u[ok]
             parts.append(_added(g, s, u, np.ones(len(g), np.int64)))
             n += len(parts[-1][0])
@@ -170,14 +171,16 @@ def _count(size: int, bits: int, shorter):
     return run
 
 
-def _merge(least: int):
+def _merge(size: int, least: int):
     """Rows come sorted by bucket: adds up what all tasks packed for it."""
 
     def done(parts):
-        g, s, u, c = _added(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        s, u, c = (np.frombuffer(b"".join(x), k) for x, k in zip(zip(*parts, strict=True), ("<u8", "<u8", "<u4"), strict=True))
+        s = s if size > 1 else u
+        g, s, u, c = _added(combine(s, u) if size > 1 else u, s, u, c.astype(np.int64))
         ok = np.flatnonzero(c >= least)
-        for i in range(0, len(ok), 1 << 17):
-            k = ok[i : i + (1 << 17)]
+        for i in range(0, len(ok), 1 << 16):
+            k = ok[i : i + (1 << 16)]
             yield out_batch(_COUNTED, g=g[k].view(np.int64), s=s[k].view(np.int64), u=u[k].view(np.int64), c=c[k])
 
     def run(it):
@@ -188,7 +191,7 @@ def _merge(least: int):
                     yield from done(parts)
                     parts = []
                 key = b
-                parts.append(tuple(np.frombuffer(x, k) for x, k in zip(data, ("<u8", "<u8", "<u8", "<i8"), strict=True)))
+                parts.append(data)
         if parts:
             yield from done(parts)
 
@@ -197,8 +200,9 @@ def _merge(least: int):
 
 def counted(train: DataFrame, size: int, bits: int, least: int, shorter=None) -> DataFrame:
     """(g, s, u, c): the sequences of `size` words that occur `least` times."""
-    packed = train.transform(map_arrow, _count(size, bits, shorter), "bucket long, g binary, s binary, u binary, c binary")
-    return keep(packed.repartition("bucket").sortWithinPartitions("bucket").transform(map_arrow, _merge(least), "g long, s long, u long, c long"), f"words{size}")
+    packed = train.transform(map_arrow, _count(size, bits, shorter), "bucket long, s binary, u binary, c binary")
+    found = packed.repartition("bucket").sortWithinPartitions("bucket").transform(map_arrow, _merge(size, least), "g long, s long, u long, c long")
+    return keep(found if size > 1 else found.select("g", "c"), f"words{size}")
 
 
 _VALUES = ("g", "value", "c", "often", "size")
@@ -240,7 +244,9 @@ def tree(train: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
         rest = F.col("n") - F.col("sc")
         other = F.when(rest > 0, rest * F.log(rest / (F.col("n") * F.greatest(1 - F.col("sq"), F.lit(1e-12))))).otherwise(0.0)
         context = keep(sums.where(F.col("sg") + other >= MIN_DIVERGENCE).select("s", "n", ((rest + F.col("k") * DISCOUNT) / F.col("n")).alias("left")), "contexts")
-        after = known.join(context.select("s", "left"), "s", "left").withColumn("stored", (gain >= MIN_GAIN) & F.col("left").isNotNull())
+        # what isn't stored is looked up by longer sequences only
+        after = (known if size <= depth else known.where(gain >= MIN_GAIN)).join(context.select("s", "left"), "s", "left" if size <= depth else "inner")
+        after = after.withColumn("stored", (gain >= MIN_GAIN) & F.col("left").isNotNull())
         here = F.log(F.when(F.col("stored"), (F.col("c") - DISCOUNT) / F.col("n")).otherwise(0.0) + F.coalesce("left", F.lit(1.0)) * F.exp("logp"))
         level = keep(after.select("g", "c", (F.col("c") / F.col("n")).alias("q"), here.alias("logp"), F.when(F.col("stored"), here - F.col("logp") - F.log("left")).alias("value")), "level")
         discard(known)
@@ -269,58 +275,62 @@ class Frequent:
             self.levels.append((g[order], rows["c"].to_numpy()[own][order], rows["value"].to_numpy()[own][order]))
 
 
-_MIXED = pa.schema([("kind", pa.int32()), ("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64()), ("bucket", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary())])
-_MIXED_DDL = "kind int, row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, gain double, bucket long, keys binary, docs binary"
-_SUMS = pa.schema([("row", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())])
+_TEXT = (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("gain", "double"))
+_MIXED_DDL = ", ".join(f"{n} {t}" for n, t in (("bucket", "long"), ("kind", "int"), ("row", "long"), *_TEXT, ("keys", "binary"), ("docs", "binary"), ("g", "long"), ("value", "double"), ("c", "long")))
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
+_MIXED = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in _MIXED_DDL.split(", ")])
+_SUMS = pa.schema([("row", pa.int64()), *((n, _ARROW[t]) for n, t in _TEXT)])
+_SUMS_DDL = "row long, " + ", ".join(f"{n} {t}" for n, t in _TEXT)
+
+
+def _rows(schema: pa.Schema, n: int, **cols) -> pa.RecordBatch:
+    """A batch of n rows; columns that aren't given are null."""
+    return out_batch(schema, **{f.name: cols.get(f.name, pa.nulls(n, f.type)) for f in schema})
 
 
 def _features(use):
-    """Rows of kind 0 for each text, with what frequent sequences add, and of kind
-    1 for each bucket: hashes of other sequences, and the texts that hold them."""
+    """Rows of kind 1 for each bucket: hashes of sequences, and the texts that
+    hold them; and of kind 2 for each text, with what frequent sequences add."""
 
     def run(it):
         t, row = use.value, (TaskContext.get().partitionId() << 36)
         for batch, texts in batches(it, most=GROUP):
             tok, first = tokens(Words(texts, BLANK_WORDS))
-            doc = np.repeat(np.arange(len(texts)), np.diff(first))
+            doc, n = np.repeat(np.arange(len(texts)), np.diff(first)), len(texts)
             sums = lambda x: np.add.reduceat(x, first[:-1])  # noqa: B023, E731
+            levels = sequences(tok, first, 1 + len(t.maps))
             g, c, v = t.levels[0]
-            key = sequences(tok, first, 1)
-            at = among(g, key)
-            known = (at >= 0).astype(np.int64)
+            at = among(g, levels[0])
+            known = at >= 0
             # as if all others were unknown
-            base = np.log10((np.where(at >= 0, c[at], 0) + ALPHA) / t.norm) if len(g) else np.full(len(tok), math.log10(ALPHA / t.norm))
-            gain = np.where(at >= 0, v[at], 0.0) if len(g) else np.zeros(len(tok))
-            keys, docs = [key[at < 0]], [doc[at < 0]]
-            for size, may in enumerate(t.maps, 2):
-                key = sequences(tok, first, size)
-                g, _, v = t.levels[size - 1]
+            base = np.log10((np.where(known, c[at], 0) + ALPHA) / t.norm) if len(g) else np.full(len(tok), math.log10(ALPHA / t.norm))
+            gain = np.where(known, v[at], 0.0) if len(g) else np.zeros(len(tok))
+            keys, docs = [levels[0][~known]], [doc[~known]]
+            for key, may, (g, _, v) in zip(levels[1:], t.maps, t.levels[1:], strict=True):
                 at = among(g, key)
                 if len(g):
                     gain += np.where(at >= 0, v[at], 0.0)
                 rare = np.flatnonzero((at < 0) & (key != 0) & may.has(key))
                 keys.append(key[rare])
                 docs.append(doc[rare])
-            n = len(texts)
-            none = lambda kind: pa.nulls(n, kind)  # noqa: B023, E731
-            yield out_batch(_MIXED, kind=np.zeros(n, np.int32), row=row + np.arange(n), doc_id=batch.column("doc_id"), held_out=batch.column("held"), n_tokens=np.diff(first), n_known=sums(known), base=sums(base), gain=sums(gain), bucket=none(pa.int64()), keys=none(pa.binary()), docs=none(pa.binary()))
+            yield _rows(_MIXED, n, bucket=np.full(n, (row // 64) & ((1 << t.bits) - 1)), kind=np.full(n, 2, np.int32), row=row + np.arange(n), doc_id=batch.column("doc_id"), held_out=batch.column("held"), n_tokens=np.diff(first), n_known=sums(known.astype(np.int64)), base=sums(base), gain=sums(gain))
             keys, docs = np.concatenate(keys), np.concatenate(docs)
             bucket = (keys >> U64(64 - t.bits)).astype(np.int64) if t.bits else np.zeros(len(keys), np.int64)
             order = np.argsort(bucket, kind="stable")
-            keys, docs, bucket = keys[order], docs[order], bucket[order]
+            keys, docs, bucket = keys[order].astype("<u8"), docs[order].astype("<u4"), bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
-            at = cuts[:-1]
-            n = len(at)
-            blob = lambda x, kind: [x[a:b].astype(kind).tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]  # noqa: B023, E731
-            yield out_batch(_MIXED, kind=np.ones(n, np.int32), row=np.full(n, row), doc_id=none(pa.int64()), held_out=none(pa.bool_()), n_tokens=none(pa.int64()), n_known=none(pa.int64()), base=none(pa.float64()), gain=none(pa.float64()), bucket=bucket[at], keys=blob(keys, "<u8"), docs=blob(docs, "<u4"))
-            row += len(texts)
+            blob = lambda x: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]  # noqa: B023, E731
+            k = len(cuts) - 1
+            yield _rows(_MIXED, k, bucket=bucket[cuts[:-1]], kind=np.ones(k, np.int32), row=np.full(k, row), keys=blob(keys), docs=blob(docs))
+            row += n
 
     return run
 
 
 def _look_up(it):
     """Rows come sorted by (bucket, kind): the bucket's values (kind 0), then the
-    packed sequences of groups of texts (kind 1).  Gives what they add to each text."""
+    packed sequences of groups of texts (kind 1), of which it gives what they add
+    to each text; and texts (kind 2), which pass."""
     key, parts, g = None, [], None
     for batch in it:
         kind, bucket = batch.column("kind").to_numpy(), batch.column("bucket").to_numpy()
@@ -332,6 +342,9 @@ def _look_up(it):
                 cols = [batch.column(c).slice(x, y - x).to_numpy(zero_copy_only=False).copy() for c in ("g", "value", "c")]
                 parts.append((cols[0].view(U64), *cols[1:]))
                 continue
+            if kind[x] == 2:
+                yield batch.slice(x, y - x).select(_SUMS.names)
+                continue
             if g is None:
                 g, value, c = _values(parts)
             for r, k, d in zip(*(batch.column(n).slice(x, y - x).to_pylist() for n in ("row", "keys", "docs")), strict=True):
@@ -340,7 +353,7 @@ def _look_up(it):
                 k, d = at[at >= 0], d[at >= 0]
                 some, place = np.unique(d, return_inverse=True)
                 add = lambda z: np.bincount(place, z, len(some))  # noqa: B023, E731
-                yield out_batch(_SUMS, row=r + some, n_known=add(c[k] > 0).astype(np.int64), base=add(np.log10((c[k] + ALPHA) / ALPHA)), gain=add(value[k]))
+                yield _rows(_SUMS, len(some), row=r + some, n_known=add(c[k] > 0).astype(np.int64), base=add(np.log10((c[k] + ALPHA) / ALPHA)), gain=add(value[k]))
 
 
 def _values(parts: list[tuple]) -> list[np.ndarray]:
@@ -364,15 +377,12 @@ def scored(docs: DataFrame, values: DataFrame, total: int, distinct: int) -> Dat
     maps = [bitmap(rare.where(F.col("size") == k).select("g"), many.get(k, 0)) for k in range(2, longest + 1)]
     bits = _bucket_bits(sum(many.values()), BUCKET_VALUES)
     use = docs.sparkSession.sparkContext.broadcast(Frequent(top, maps, norm, bits))
-    mixed = keep(docs.select("doc_id", "text", "held").transform(map_arrow, _features(use), _MIXED_DDL), "features")
-    none = lambda kind: F.lit(None).cast(kind)
+    packed = docs.select("doc_id", "text", "held").transform(map_arrow, _features(use), _MIXED_DDL)
     bucket = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")
-    model = rare.select(bucket.alias("bucket"), F.lit(0).alias("kind"), "g", "value", "c", none("long").alias("row"), none("binary").alias("keys"), none("binary").alias("docs"))
-    packed = mixed.where("kind = 1").select("bucket", "kind", none("long"), none("double"), none("long"), "row", "keys", "docs")
-    sums = model.union(packed).repartition("bucket").sortWithinPartitions("bucket", "kind").transform(map_arrow, _look_up, "row long, n_known long, base double, gain double")
-    own = mixed.where("kind = 0").select("row", "doc_id", "held_out", "n_tokens", "n_known", "base", "gain")
-    added = sums.select("row", none("long"), none("boolean"), none("long"), "n_known", "base", "gain")
-    whole = own.union(added).groupBy("row").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")], F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
+    given = {"bucket": bucket, "kind": F.lit(0), "g": F.col("g"), "value": F.col("value"), "c": F.col("c")}
+    model = rare.select(*[given.get(x.name, F.lit(None).cast(x.dataType)).alias(x.name) for x in packed.schema])
+    sums = model.union(packed).repartition("bucket").sortWithinPartitions("bucket", "kind").transform(map_arrow, _look_up, _SUMS_DDL)
+    whole = sums.groupBy("row").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")], F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
     return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain") / math.log(10)).alias("score"))
 
 
