@@ -1,48 +1,57 @@
 """Packing documents into training sequences by bin completion.
 
 Documents become token ids; lengths beyond the capacity are cut.  Pieces are
-dealt at random (by a hash) into shards of bounded size, and every shard is
-packed on its own: around the largest remaining piece the fillings that no
-other filling dominates are enumerated, best-fit first, and the one with the
-least waste is taken.  A shard loses at most part of a sequence against one
-packing of everything.
+dealt at random (by a hash of their row) into shards of bounded size, and every
+shard is packed on its own by branch and bound: best fit is the incumbent; bin
+by bin, the fillings around the largest remaining piece that no other filling
+dominates are enumerated, and branches that can't beat the incumbent, by the
+waste so far or a lower bound of the bins for the rest, are cut.  A shard loses
+at most part of a sequence against one packing of everything.
 """
 
 from __future__ import annotations
 
 import os
+import random
 import re
 import zlib
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches, keep, map_arrow, out_batch, table
+from .common import Words, batches, keep, map_arrow, out_batch, table
 
 CAPACITY = 4096
 END_ID = 1
 SHARD_PIECES = 8192
-#: Fillings looked at around one piece.
-NODES = 200
-#: Ids of so many distinct strings are remembered by a worker.
-MEMORY = 800_000
+#: Pieces that the search of a shard may place, in all branches, before the incumbent stands.
+NODES = 400_000
+#: A search is over so many pieces at a time, and may place so many; around one piece so many for a first packing.
+SEARCHED, PART_NODES, FIRST_NODES = 150, 6_000, 60
+#: Fillings of a bin that are looked at together, to branch on the fullest first.
+AHEAD = 12
+#: Ids of so many distinct strings are remembered by a worker, in 16 bytes and 4 for each id.
+MEMORY = 1 << 20
 
 _PLAIN = re.compile("[!-~\xa1-\xff]+")
 _RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
-_known: dict[str, tuple] = {}
+_known: dict[str, Tokens] = {}
+_SEPARATED = bytes(32 if c in b"\t\n\r" else c for c in range(256))
 
 
 class Tokens:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes.
+    """Ids of whole texts.
 
     The vocabulary's pre-tokenizer drops white space and never joins what
     stands on both sides of it, so ids are looked up for each blank-free
-    string, and for Latin-1 strings (where lower case and composition are plain)
-    for each of the runs that the pre-tokenizer makes.
+    string by its hash, and for Latin-1 strings (where lower case and
+    composition are plain) learned for each of the runs that the pre-tokenizer
+    makes.
     """
 
     def __init__(self, path: str):
@@ -54,15 +63,16 @@ class Tokens:
         ends = [x for x in range(tok.get_vocab_size()) if (t := tok.id_to_token(x)) and t.endswith("</w>")]
         self.ends = np.zeros(tok.get_vocab_size(), bool)
         self.ends[ends] = True
-        self.memory: dict[str, bytes] = {"": b""}
+        self.forget()
+
+    def forget(self) -> None:
         self.runs: dict[str, bytes] = {}
+        self.keys, self.at, self.size, self.data = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
 
-    def learn(self, new: list[str]) -> None:
-        plain: dict[str, list[str]] = {}
-        for x in new:
-            if _PLAIN.fullmatch(x) and "<|" not in x:
-                plain[x] = _RUN.findall(x.lower())
-        if runs := list({r for p in plain.values() for r in p if r not in self.runs}):
+    def learn(self, new: list[str]) -> list[bytes]:
+        """The ids of some strings, as little-endian unsigned 32-bit bytes."""
+        plain = [_RUN.findall(x.lower()) if _PLAIN.fullmatch(x) and "<|" not in x else None for x in new]
+        if runs := list({r for p in plain if p for r in p if r not in self.runs}):
             blocks = [runs[i : i + 512] for i in range(0, len(runs), 512)]
             for block, e in zip(blocks, self.encode([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
                 ids = np.array(e.ids, "<u4")
@@ -73,25 +83,27 @@ class Tokens:
                 for r, to in zip(block, cuts, strict=True):
                     self.runs[r] = data[at:to]
                     at = to
-        for x, p in plain.items():
-            self.memory[x] = b"".join([self.runs[r] for r in p])
-        if other := [x for x in new if x not in plain]:
-            for x, e in zip(other, self.encode(other, add_special_tokens=False), strict=True):
-                self.memory[x] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        parts = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        if len(self.memory) > MEMORY:
-            self.memory = {"": b""}
-        if len(self.runs) > MEMORY:
-            self.runs = {}
-        memory = self.memory
-        new = set()
-        for p in parts:
-            new.update(p)
-        if new := new.difference(memory):
-            self.learn(list(new))
-        return [b"".join([memory[x] for x in p]) for p in parts]
+        other = iter(self.encode(odd, add_special_tokens=False) if (odd := [x for x, p in zip(new, plain, strict=True) if p is None]) else [])
+        return [np.array(next(other).ids, "<u4").tobytes() if p is None else b"".join([self.runs[r] for r in p]) for p in plain]
+
+    def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and each text's first, one entry more than texts."""
+        if len(self.keys) > MEMORY:
+            self.forget()
+        w = Words(texts, _SEPARATED)
+        hashes, index, back = np.unique(w.hash, return_index=True, return_inverse=True)
+        new = index[~np.isin(hashes, self.keys)]
+        if len(new):
+            found = self.learn([w.word(i).decode("utf-8", "surrogatepass") for i in new.tolist()])
+            size = np.array([len(x) // 4 for x in found])
+            keys, at = np.concatenate([self.keys, w.hash[new]]), np.concatenate([self.at, len(self.data) + np.cumsum(size) - size])
+            order = np.argsort(keys)
+            self.keys, self.at, self.size = keys[order], at[order], np.concatenate([self.size, size])[order]
+            self.data = np.concatenate([self.data, np.frombuffer(b"".join(found), "<u4")])
+        place = np.searchsorted(self.keys, hashes)[back]
+        n = self.size[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        return self.data[np.repeat(self.at[place] - ends[:-1], n) + np.arange(ends[-1])], ends[w.first]
 
 
 def tokens(path: str) -> Tokens:
@@ -100,26 +112,29 @@ def tokens(path: str) -> Tokens:
     return _known[path]
 
 
-_PIECE = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECE = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
+_PIECE_DDL = "row long, doc_id long, piece int, start long, length long, ids_crc32 long"
 _end = np.array([END_ID], "<u4").tobytes()
 
 
 def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32) of every whole text's ids and
-    the end id; a null or empty text is the end id alone."""
+    """(row, doc_id, piece, start, length, ids_crc32) of every whole text's ids
+    and the end id; a null or empty text is the end id alone.  row: a number."""
 
     def run(it):
-        tok = tokens(path)
+        tok, row = tokens(path), TaskContext.get().partitionId() << 36
         for batch, texts in batches(it):
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for i, data in zip(ids, tok.ids(texts), strict=True):
-                data += _end
-                for k, at in enumerate(range(0, len(data), 4 * capacity)):
-                    own = data[at : at + 4 * capacity]
-                    rows.append((i, k, at // 4, len(own) // 4, zlib.crc32(own)))
+            data, first = tok.ids(texts)
+            data, rows = data.tobytes(), []
+            for i, a, b in zip(batch.column("doc_id").to_pylist(), (4 * first[:-1]).tolist(), (4 * first[1:]).tolist(), strict=True):
+                own = data[a:b] + _end
+                for k, at in enumerate(range(0, len(own), 4 * capacity)):
+                    part = own[at : at + 4 * capacity]
+                    rows.append((row, i, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                    row += 1
             yield out_batch(_PIECE, **dict(zip(_PIECE.names, map(list, zip(*rows, strict=True)), strict=True)))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, _PIECE_DDL)
 
 
 def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
@@ -139,77 +154,243 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def bin_completion(lengths: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Bins as lists of indices, never more than best fit makes.
+def least_bins(count: np.ndarray, capacity: int) -> int:
+    """A lower bound of the bins for count[length] pieces (Martello and Toth): for
+    every a, pieces above capacity - a share a bin with no piece from a on, and
+    those of a to half the capacity must fit beside the others above half."""
+    if not count.any():
+        return 0
+    length = np.arange(capacity + 1)
+    number, total = np.cumsum(count), np.cumsum(count * length)
+    half = capacity // 2
+    a = np.arange(half + 1)
+    large, middle = number[capacity] - number[capacity - a], number[capacity - a] - number[half]
+    room = middle * capacity - (total[capacity - a] - total[half])
+    small = total[half] - np.where(a > 0, total[a - 1], 0)
+    return int((large + middle + np.maximum(0, -(-(small - room) // capacity))).max())
+
+
+class _Stock:
+    """How many pieces of each length are left, and which lengths those are."""
+
+    def __init__(self, lengths: list[int], capacity: int):
+        self.count = np.bincount(np.array(lengths, np.int64), minlength=capacity + 1)
+        self.n = self.count.tolist()
+        self.have = [x for x in range(1, capacity + 1) if self.n[x]]
+
+    def take(self, x: int) -> None:
+        self.n[x] -= 1
+        self.count[x] -= 1
+        if not self.n[x]:
+            self.have.pop(bisect_left(self.have, x))
+
+    def give(self, x: int) -> None:
+        self.n[x] += 1
+        self.count[x] += 1
+        if self.n[x] == 1:
+            insort(self.have, x)
+
+    def largest(self, most: int) -> int:
+        """The largest length up to `most` that is left, else 0."""
+        at = bisect_right(self.have, most)
+        return self.have[at - 1] if at else 0
+
+
+def fillings(stock: _Stock, rest: int, waste: int, budget: list[int]):
+    """(waste, lengths) of the undominated fillings of `rest` that waste at most
+    `waste`, largest pieces first.
+
+    A piece that fills the rest exactly dominates all other fillings.  A filling
+    is dominated if a further piece fits, or if one of its pieces or the sum of
+    two gives way to a larger piece within its waste.
+    """
+    if stock.largest(rest) == rest:
+        yield 0, ((rest,) if rest else ())
+        return
+    total = np.cumsum(stock.count * np.arange(len(stock.count)))
+    path: list[int] = []
+    used: dict[int, int] = {}
+
+    def left(most: int) -> int:
+        x = stock.largest(most)
+        while x and used.get(x, 0) >= stock.n[x]:
+            x = stock.largest(x - 1)
+        return x
+
+    def dominated() -> bool:
+        if left(rest):
+            return True
+        if rest:
+            sums = set(path)
+            sums.update(path[i] + path[j] for i in range(len(path)) for j in range(i) if len(path) <= 16)
+            return any(left(x + rest) > x or (left(x + rest) == x and x not in used) for x in sums)
+        return False
+
+    top = rest
+    while budget[0] > 0:
+        y = left(min(rest, top))
+        # all that may still come can't fill enough
+        if y and total[y] >= rest - waste:
+            budget[0] -= 1
+            path.append(y)
+            used[y] = used.get(y, 0) + 1
+            rest, top = rest - y, y
+            continue
+        if rest <= waste and not dominated():
+            yield rest, tuple(path)
+        if not path:
+            return
+        y = path.pop()
+        used[y] -= 1
+        if not used[y]:
+            del used[y]
+        rest, top = rest + y, y - 1
+
+
+def _fullest_first(found, ahead: int = AHEAD):
+    """The fillings in order, but of each few the fullest first; one without waste at once."""
+    some: list = []
+    for x in found:
+        if x[0] == 0:
+            yield x
+            continue
+        some.append(x)
+        if len(some) == ahead:
+            yield from sorted(some)
+            some = []
+    yield from sorted(some)
+
+
+def _search(lengths: list[int], capacity: int, fewest: int, bound: int, budget: list[int]) -> list[tuple[int, ...]] | None:
+    """Bins as lists of lengths, fewer than `fewest`, and as few as can be unless
+    the budget of pieces to place ends before the search; None without any.
+
+    Depth first over bins: a bin gets the largest piece that is left and one of
+    the undominated fillings around it.  A branch is cut if its waste is more
+    than a packing with fewer bins than the incumbent can have, or if its bins
+    and the lower bound for the rest are no fewer.
+    """
+    stock, total, best = _Stock(lengths, capacity), sum(lengths), None
+    bins: list[tuple[int, ...]] = []
+    wastes: list[int] = [0]
+    open_: list = []
+    allowed = lambda: (fewest - 1) * capacity - total - wastes[-1]
+    deeper = True
+    while budget[0] > 0 and fewest > bound:
+        if deeper and not stock.have:
+            best, fewest, deeper = list(bins), len(bins), False
+        elif deeper and (allowed() < 0 or len(bins) + least_bins(stock.count, capacity) >= fewest):
+            deeper = False
+        elif deeper:
+            x = stock.have[-1]
+            stock.take(x)
+            open_.append((x, _fullest_first(fillings(stock, capacity - x, allowed(), budget))))
+        if not deeper:
+            # back to the last bin with another filling; its own is taken back first
+            if len(bins) < len(open_):
+                stock.give(open_.pop()[0])
+            if not open_:
+                break
+            for x in bins.pop():
+                stock.give(x)
+            wastes.pop()
+            stock.take(open_[-1][0])
+        x, choices = open_[-1]
+        got = next(choices, None)
+        deeper = False
+        if got is not None and got[0] <= allowed():
+            for y in got[1]:
+                stock.take(y)
+            bins.append((x, *got[1]))
+            wastes.append(wastes[-1] + got[0])
+            deeper = True
+    return best
+
+
+def _first_packing(lengths: list[int], capacity: int, budget: list[int]) -> list[tuple[int, ...]]:
+    """Bin after bin the fullest of the first fillings around the largest piece."""
+    stock, bins = _Stock(lengths, capacity), []
+    while stock.have:
+        x = stock.have[-1]
+        stock.take(x)
+        left = [FIRST_NODES]
+        # the first filling is what best fit does, however many pieces it takes
+        best = None
+        for got in fillings(stock, capacity - x, capacity, left):
+            best = got if best is None else min(best, got)
+            if best[0] == 0:
+                break
+        if best is None:
+            rest, path = capacity - x, []
+            while y := stock.largest(rest):
+                path.append(y)
+                stock.take(y)
+                rest -= y
+            bins.append((x, *path))
+        else:
+            for y in best[1]:
+                stock.take(y)
+            bins.append((x, *best[1]))
+        budget[0] -= FIRST_NODES - left[0]
+    return bins
+
+
+def bin_completion(lengths: list[int], capacity: int, nodes: int | None = None) -> list[list[int]]:
+    """Bins as lists of indices, never more than best fit makes, and as few as
+    can be for up to SEARCHED pieces if the search ends within `nodes`.
 
-    Branch and bound at each bin: the largest piece is fixed, fillings of the
-    rest are enumerated depth first with the largest fitting piece first (so
-    the first leaf is the best-fit one, the incumbent), smaller first pieces
-    later.  One piece that fills the rest exactly dominates all other fillings;
-    a filling that another piece could be added to is dominated by the larger
-    one; branches that can't waste less than the incumbent are cut.
+    The incumbent is best fit, or a packing of the fullest fillings if that has
+    fewer bins.  While the incumbent is above the lower bound, groups of its bins
+    with about SEARCHED pieces, those with the most waste first, are searched for
+    packings with fewer bins.
     """
     plain = best_fit(lengths, capacity)
-    bound = -(-sum(lengths) // capacity)
+    bound = least_bins(np.bincount(np.array(lengths, np.int64), minlength=capacity + 1), capacity)
     if len(plain) <= bound:
         return plain
-    stock: list[list[int]] = [[] for _ in range(capacity + 1)]
-    for i in sorted(range(len(lengths)), reverse=True):
-        stock[lengths[i]].append(i)
-    below = list(range(capacity + 1))
-    for x in range(1, capacity + 1):
-        if not stock[x]:
-            below[x] = x - 1
-
-    def largest(x: int) -> int:
-        """The largest length up to x that is left, else 0."""
-        top = x
-        while below[x] != x:
-            x = below[x]
-        while below[top] != x:
-            below[top], top = x, below[top]
-        return x
-
-    def take(x: int) -> int:
-        i = stock[x].pop()
-        if not stock[x]:
-            below[x] = x - 1
-        return i
-
-    smallest = min(lengths, default=0)
-    bins = []
-    while (x := largest(capacity)) > 0:
-        bins.append([take(x)])
-        rest = capacity - x
-        best: tuple[int, tuple[int, ...]] = (rest, ())
-        left = nodes
-
-        def search(rest: int, top: int, path: tuple[int, ...]) -> None:
-            nonlocal best, left
-            y = largest(min(rest, top))
-            while y > 0 and left > 0 and best[0] > 0:
-                if len(stock[y]) > path.count(y):
-                    left -= 1
-                    if rest - y < best[0]:
-                        best = (rest - y, (*path, y))
-                    if rest - y >= smallest:
-                        search(rest - y, y, (*path, y))
-                y = largest(y - 1)
-                if rest - y >= best[0] and rest - y < smallest:  # alone it wastes too much, and nothing fits beside it
-                    y = largest(rest - smallest)
-
-        search(rest, rest, ())
-        bins[-1].extend(take(y) for y in best[1])
-    return bins if len(bins) < len(plain) else plain
+    budget = [NODES if nodes is None else nodes]
+    bins = [tuple(lengths[i] for i in b) for b in plain]
+    first = _first_packing(lengths, capacity, budget)
+    bins = first if len(first) < len(bins) else bins
+    draw, idle = random.Random(len(lengths)), 0
+    while len(bins) > bound and budget[0] > 0 and idle < 2 + len(bins) // 4:
+        # the fuller a bin, the later its turn
+        order = sorted(range(len(bins)), key=lambda i: draw.random() * (1 + capacity - sum(bins[i])), reverse=True)
+        group, n = [], 0
+        for i in order:
+            if group and n + len(bins[i]) > SEARCHED:
+                break
+            group.append(i)
+            n += len(bins[i])
+        own = [x for i in group for x in bins[i]]
+        least = least_bins(np.bincount(np.array(own, np.int64), minlength=capacity + 1), capacity)
+        whole = len(group) == len(bins)
+        left = [budget[0] if whole else min(budget[0], PART_NODES)]
+        given = left[0]
+        got = _search(own, capacity, len(group), least, left) if least < len(group) else None
+        budget[0] -= max(given - left[0], 50)
+        idle = 0 if got else idle + 1
+        if got:
+            chosen = set(group)
+            bins = [b for i, b in enumerate(bins) if i not in chosen] + got
+        if whole:
+            break
+    if len(bins) >= len(plain):
+        return plain
+    places: dict[int, list[int]] = {}
+    for i, x in enumerate(lengths):
+        places.setdefault(x, []).append(i)
+    return [[places[x].pop() for x in b] for b in bins]
 
 
 def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """found(doc_id, piece, start, length, ids_crc32) with sequence_id and offset."""
+    """found(row, doc_id, piece, start, length, ids_crc32) with sequence_id and offset, without row."""
+    # written once, so a piece's row is the same whatever is computed again
     found = keep(found, "pieces")
     n = max(1, -(-found.count() // SHARD_PIECES))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"]).reset_index(drop=True)
+        rows = rows.sort_values(["length", "row"]).reset_index(drop=True)
         lengths = rows["length"].tolist()
         sequence, offset = np.zeros(len(rows), np.int64), np.zeros(len(rows), np.int64)
         for b, own in enumerate(bin_completion(lengths, capacity)):
@@ -220,7 +401,7 @@ def pack(found: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         rows["sequence_id"], rows["offset"] = rows["shard"].astype("int64") * (1 << 32) + sequence, offset
         return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]].astype({"doc_id": "Int64"})
 
-    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n)))
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(n)))
     return dealt.groupBy("shard").applyInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

@@ -140,8 +140,11 @@ def test_tokens_of_odd_strings():
 
     t = packing.Tokens(str(public_tokenizers.path("word_bpe_49k.json")))
     texts = ["<|endoftext|> a\x1cb \x85 é é ΑΣ Σ's don't I'LL\tx\r\ny", "a<|startoftext|>b İ ǅ", "", " ", "½²ºµ×÷ÿÀ\xa0z", "x" * 5000, "\U0001f600é́"]
-    for x, got in zip(texts, t.ids(texts), strict=True):
-        assert np.frombuffer(got, "<u4").tolist() == t.encode([x], add_special_tokens=False)[0].ids
+    for _ in range(2):
+        data, first = t.ids(texts)
+        for x, a, b in zip(texts, first, first[1:], strict=False):
+            assert data[a:b].tolist() == t.encode([x], add_special_tokens=False)[0].ids
+        t.forget()
 
 
 @pytest.mark.parametrize("seed", range(6))
@@ -153,6 +156,60 @@ def test_bin_completion_is_valid_and_no_worse(seed):
     assert len(bins) <= len(packing.best_fit(lengths, 100))
 
 
+def fewest_bins(lengths, capacity):
+    """By trying everything."""
+    best = [len(lengths)]
+    items = sorted(lengths, reverse=True)
+
+    def place(i, gaps):
+        if len(gaps) >= best[0]:
+            return
+        if i == len(items):
+            best[0] = len(gaps)
+            return
+        for g in set(gaps):
+            if g >= items[i]:
+                rest = list(gaps)
+                rest.remove(g)
+                place(i + 1, [*rest, g - items[i]])
+        place(i + 1, [*gaps, capacity - items[i]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_bin_completion_is_optimal_on_small_cases():
+    r, better = random.Random(7), 0
+    for _ in range(250):
+        capacity = r.choice((20, 30, 100))
+        lengths = [r.randrange(1 + capacity // 8, capacity * r.choice((5, 7, 10)) // 10) for _ in range(r.randrange(1, 11))]
+        got, want = packing.bin_completion(lengths, capacity), fewest_bins(lengths, capacity)
+        assert sorted(i for b in got for i in b) == list(range(len(lengths))) and len(got) == want
+        assert packing.least_bins(np.bincount(lengths, minlength=capacity + 1), capacity) <= want
+        better += len(packing.best_fit(lengths, capacity)) > want
+    assert better >= 3
+
+
+def test_search_beats_best_fit_on_document_lengths(monkeypatch):
+    """Pieces of a few hundred to a few thousand ids, so that bins are filled by a few."""
+    r, calls, won = random.Random(3), [], 0
+    real = packing.fillings
+    monkeypatch.setattr(packing, "fillings", lambda *a: calls.append(1) or real(*a))
+    for _ in range(6):
+        lengths = [min(4096, max(700, int(r.lognormvariate(7.2, 0.5)))) for _ in range(600)]
+        bins, plain = packing.bin_completion(lengths, 4096, 30_000), packing.best_fit(lengths, 4096)
+        assert sorted(i for b in bins for i in b) == list(range(600)) and all(sum(lengths[i] for i in b) <= 4096 for b in bins)
+        assert len(bins) <= len(plain)
+        won += len(bins) < len(plain)
+    assert calls and won >= 3
+
+
+def test_bin_completion_of_odd_lengths():
+    assert packing.bin_completion([], 10) == []
+    assert len(packing.bin_completion([1] * 5000 + [10] * 3, 10)) == 503
+    assert len(packing.bin_completion([10] * 4, 10)) == 4
+
+
 def test_bin_completion_beats_best_fit():
     lengths = [6, 3, 3, 2, 2, 2, 2] * 3
     assert len(packing.bin_completion([44, 6, 24, 24, 3, 22, 21, 8, 17, 14, 17], 100)) == 2
