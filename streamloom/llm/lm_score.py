@@ -1,8 +1,9 @@
 """Scoring texts by a probabilistic suffix tree over words.
 
-A context is the last one to DEPTH words.  Every word sequence that occurs
-MIN_COUNT times in the training text is looked at, whatever its share, so the
-tree grows with the corpus.  A context's next word is stored if it is so much
+A context is the last one to DEPTH words.  Word sequences that occur MIN_COUNT
+times in the training text are looked at, whatever their share, so the tree
+grows with the corpus; those of three words and more if the tree stores what is
+left without their last and without their first word.  A context's next word is stored if it is so much
 likelier after the context than after the context's own suffix that its
 occurrences gain MIN_GAIN nats; a context is retained if the divergence of its
 next-word distribution from its suffix's, times its occurrences, is
@@ -205,6 +206,21 @@ def counted(train: DataFrame, size: int, bits: int, least: int, shorter=None) ->
     return keep(found if size > 1 else found.select("g", "c"), f"words{size}")
 
 
+def _parts(found: DataFrame, level: DataFrame, least: float) -> DataFrame:
+    """found(g, s, u, c) with the count of s (n) and the probabilities of u (q, logp).
+    What is frequent is broadcast, `least` bounds how much, so only the rest is shuffled."""
+
+    def joined(rows: DataFrame, at: DataFrame, how: str, wrap=lambda x: x) -> DataFrame:
+        own = wrap(at.select(F.col("g").alias("s"), F.col("c").alias("n")))
+        return rows.join(own, "s", how).join(wrap(at.select(F.col("g").alias("u"), "q", "logp")), "u", how)
+
+    near = joined(found, level.where(F.col("c") >= least), "left", F.broadcast)
+    both = F.col("n").isNotNull() & F.col("q").isNotNull()
+    rest = joined(near.where(~both).select("g", "s", "u", "c"), level, "inner")
+    cols = ["g", "s", "c", "n", "q", "logp"]
+    return near.where(both).select(cols).union(rest.select(cols))
+
+
 _VALUES = ("g", "value", "c", "often", "size")
 
 
@@ -234,23 +250,19 @@ def tree(train: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
         shorter = sc.broadcast(bitmap(frequent, n))
         found = counted(train, size, bits, MIN_COUNT, shorter)
         shorter.unpersist()
-        own = level.select(F.col("g").alias("s"), F.col("c").alias("n"))
-        suffix = level.select(F.col("g").alias("u"), "q", "logp")
-        known = keep(found.join(own, "s").join(suffix, "u").select("g", "s", "c", "n", "q", "logp"), "known")
-        discard(found)
         gain = F.col("c") * F.log(F.col("c") / (F.col("n") * F.col("q")))
-        sums = known.withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN).groupBy("s").agg(F.first("n").alias("n"), F.sum("c").alias("sc"), F.sum("q").alias("sq"), F.sum("gain").alias("sg"), F.count("*").alias("k"))
+        known = keep(_parts(found, level, MIN_WORD * total).withColumn("gain", gain).where(F.col("gain") >= MIN_GAIN), "known")
+        discard(found)
+        sums = known.groupBy("s").agg(F.first("n").alias("n"), F.sum("c").alias("sc"), F.sum("q").alias("sq"), F.sum("gain").alias("sg"), F.count("*").alias("k"))
         # the words that aren't stored count as one
         rest = F.col("n") - F.col("sc")
         other = F.when(rest > 0, rest * F.log(rest / (F.col("n") * F.greatest(1 - F.col("sq"), F.lit(1e-12))))).otherwise(0.0)
         context = keep(sums.where(F.col("sg") + other >= MIN_DIVERGENCE).select("s", "n", ((rest + F.col("k") * DISCOUNT) / F.col("n")).alias("left")), "contexts")
-        # what isn't stored is looked up by longer sequences only
-        after = (known if size <= depth else known.where(gain >= MIN_GAIN)).join(context.select("s", "left"), "s", "left" if size <= depth else "inner")
-        after = after.withColumn("stored", (gain >= MIN_GAIN) & F.col("left").isNotNull())
-        here = F.log(F.when(F.col("stored"), (F.col("c") - DISCOUNT) / F.col("n")).otherwise(0.0) + F.coalesce("left", F.lit(1.0)) * F.exp("logp"))
-        level = keep(after.select("g", "c", (F.col("c") / F.col("n")).alias("q"), here.alias("logp"), F.when(F.col("stored"), here - F.col("logp") - F.log("left")).alias("value")), "level")
+        here = F.log((F.col("c") - DISCOUNT) / F.col("n") + F.col("left") * F.exp("logp"))
+        stored = known.join(context.select("s", "left"), "s")
+        level = keep(stored.select("g", "c", (F.col("c") / F.col("n")).alias("q"), here.alias("logp"), (here - F.col("logp") - F.log("left")).alias("value")), "level")
         discard(known)
-        values += [context.select("s", F.log("left"), F.lit(0).cast("long"), "n", F.lit(size - 1)), level.where("value is not null").select("g", "value", F.lit(0).cast("long"), "c", F.lit(size))]
+        values += [context.select("s", F.log("left"), F.lit(0).cast("long"), "n", F.lit(size - 1)), level.select("g", "value", F.lit(0).cast("long"), "c", F.lit(size))]
         kept += [context, level]
         frequent = level.select("g")
     every = values[0]
@@ -275,22 +287,24 @@ class Frequent:
             self.levels.append((g[order], rows["c"].to_numpy()[own][order], rows["value"].to_numpy()[own][order]))
 
 
-_TEXT = (("doc_id", "long"), ("held_out", "boolean"), ("n_tokens", "long"), ("n_known", "long"), ("base", "double"), ("gain", "double"))
-_MIXED_DDL = ", ".join(f"{n} {t}" for n, t in (("bucket", "long"), ("kind", "int"), ("row", "long"), *_TEXT, ("keys", "binary"), ("docs", "binary"), ("g", "long"), ("value", "double"), ("c", "long")))
-_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "binary": pa.binary()}
-_MIXED = pa.schema([(x.split()[0], _ARROW[x.split()[1]]) for x in _MIXED_DDL.split(", ")])
-_SUMS = pa.schema([("row", pa.int64()), *((n, _ARROW[t]) for n, t in _TEXT)])
-_SUMS_DDL = "row long, " + ", ".join(f"{n} {t}" for n, t in _TEXT)
+_MIXED = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("row", pa.int64()), ("keys", pa.binary()), ("docs", pa.binary()), ("g", pa.int64()), ("value", pa.float64()), ("c", pa.int64())])
+_MIXED_DDL = "bucket long, kind int, row long, keys binary, docs binary, g long, value double, c long"
+_ADDED = pa.schema([("row", pa.int64()), ("kind", pa.int32()), ("data", pa.binary())])
+_TEXT = np.dtype([("doc_id", "<i8"), ("null", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("gain", "<f8")])
+_ADD = np.dtype([("doc", "<u4"), ("n_known", "<i8"), ("base", "<f8"), ("gain", "<f8")])
 
 
-def _rows(schema: pa.Schema, n: int, **cols) -> pa.RecordBatch:
-    """A batch of n rows; columns that aren't given are null."""
-    return out_batch(schema, **{f.name: cols.get(f.name, pa.nulls(n, f.type)) for f in schema})
+def _records(kind: np.dtype, **cols) -> bytes:
+    out = np.empty(len(next(iter(cols.values()))), kind)
+    for name, x in cols.items():
+        out[name] = x
+    return out.tobytes()
 
 
 def _features(use):
-    """Rows of kind 1 for each bucket: hashes of sequences, and the texts that
-    hold them; and of kind 2 for each text, with what frequent sequences add."""
+    """For each group of texts, by the number of its first, rows of kind 1 for
+    each bucket: hashes of sequences, and the texts that hold them; and one of
+    kind 2 with all its texts and what frequent sequences add."""
 
     def run(it):
         t, row = use.value, (TaskContext.get().partitionId() << 36)
@@ -313,7 +327,8 @@ def _features(use):
                 rare = np.flatnonzero((at < 0) & (key != 0) & may.has(key))
                 keys.append(key[rare])
                 docs.append(doc[rare])
-            yield _rows(_MIXED, n, bucket=np.full(n, (row // 64) & ((1 << t.bits) - 1)), kind=np.full(n, 2, np.int32), row=row + np.arange(n), doc_id=batch.column("doc_id"), held_out=batch.column("held"), n_tokens=np.diff(first), n_known=sums(known.astype(np.int64)), base=sums(base), gain=sums(gain))
+            ids = batch.column("doc_id")
+            own = _records(_TEXT, doc_id=ids.fill_null(0).to_numpy(), null=ids.is_null().to_numpy(zero_copy_only=False), held_out=batch.column("held").to_numpy(zero_copy_only=False), n_tokens=np.diff(first), n_known=sums(known.astype(np.int64)), base=sums(base), gain=sums(gain))
             keys, docs = np.concatenate(keys), np.concatenate(docs)
             bucket = (keys >> U64(64 - t.bits)).astype(np.int64) if t.bits else np.zeros(len(keys), np.int64)
             order = np.argsort(bucket, kind="stable")
@@ -321,7 +336,8 @@ def _features(use):
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             blob = lambda x: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]  # noqa: B023, E731
             k = len(cuts) - 1
-            yield _rows(_MIXED, k, bucket=bucket[cuts[:-1]], kind=np.ones(k, np.int32), row=np.full(k, row), keys=blob(keys), docs=blob(docs))
+            none = lambda kind: pa.nulls(k + 1, kind)  # noqa: B023, E731
+            yield out_batch(_MIXED, bucket=[*bucket[cuts[:-1]], int(mix(np.array([row], U64))[0] & U64((1 << t.bits) - 1))], kind=[1] * k + [2], row=[row] * (k + 1), keys=[*blob(keys), own], docs=[*blob(docs), None], g=none(pa.int64()), value=none(pa.float64()), c=none(pa.int64()))
             row += n
 
     return run
@@ -338,22 +354,49 @@ def _look_up(it):
         for x, y in zip(cuts, cuts[1:], strict=False):
             if bucket[x] != key:
                 key, parts, g = int(bucket[x]), [], None
+            own = batch.slice(x, y - x)
             if kind[x] == 0:
-                cols = [batch.column(c).slice(x, y - x).to_numpy(zero_copy_only=False).copy() for c in ("g", "value", "c")]
+                cols = [own.column(c).to_numpy(zero_copy_only=False).copy() for c in ("g", "value", "c")]
                 parts.append((cols[0].view(U64), *cols[1:]))
                 continue
+            rows, keys = own.column("row").to_pylist(), own.column("keys").to_pylist()
             if kind[x] == 2:
-                yield batch.slice(x, y - x).select(_SUMS.names)
+                yield out_batch(_ADDED, row=rows, kind=[0] * len(rows), data=keys)
                 continue
             if g is None:
-                g, value, c = _values(parts)
-            for r, k, d in zip(*(batch.column(n).slice(x, y - x).to_pylist() for n in ("row", "keys", "docs")), strict=True):
-                k, d = np.frombuffer(k, "<u8"), np.frombuffer(d, "<u4").astype(np.int64)
-                at = among(g, k)
+                (g, value, c), parts = _values(parts), []
+            out = []
+            for k, d in zip(keys, own.column("docs").to_pylist(), strict=True):
+                at, d = among(g, np.frombuffer(k, "<u8")), np.frombuffer(d, "<u4").astype(np.int64)
                 k, d = at[at >= 0], d[at >= 0]
                 some, place = np.unique(d, return_inverse=True)
                 add = lambda z: np.bincount(place, z, len(some))  # noqa: B023, E731
-                yield _rows(_SUMS, len(some), row=r + some, n_known=add(c[k] > 0).astype(np.int64), base=add(np.log10((c[k] + ALPHA) / ALPHA)), gain=add(value[k]))
+                out.append(_records(_ADD, doc=some, n_known=add(c[k] > 0), base=add(np.log10((c[k] + ALPHA) / ALPHA)), gain=add(value[k])))
+            yield out_batch(_ADDED, row=rows, kind=[1] * len(rows), data=out)
+
+
+_SCORED = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())])
+
+
+def _added_up(it):
+    """Rows come sorted by (row, kind): a group's texts, then what is added to them."""
+
+    def done(texts):
+        yield out_batch(_SCORED, doc_id=pa.array(texts["doc_id"], mask=texts["null"]), held_out=texts["held_out"], n_tokens=texts["n_tokens"], n_known=texts["n_known"], base_score=texts["base"], score=texts["base"] + texts["gain"] / math.log(10))
+
+    texts = None
+    for batch in it:
+        for k, data in zip(batch.column("kind").to_pylist(), batch.column("data").to_pylist(), strict=True):
+            if k == 0:
+                if texts is not None:
+                    yield from done(texts)
+                texts = np.frombuffer(data, _TEXT).copy()
+                continue
+            more = np.frombuffer(data, _ADD)
+            for name in ("n_known", "base", "gain"):
+                texts[name][more["doc"]] += more[name]
+    if texts is not None:
+        yield from done(texts)
 
 
 def _values(parts: list[tuple]) -> list[np.ndarray]:
@@ -379,11 +422,11 @@ def scored(docs: DataFrame, values: DataFrame, total: int, distinct: int) -> Dat
     use = docs.sparkSession.sparkContext.broadcast(Frequent(top, maps, norm, bits))
     packed = docs.select("doc_id", "text", "held").transform(map_arrow, _features(use), _MIXED_DDL)
     bucket = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")
-    given = {"bucket": bucket, "kind": F.lit(0), "g": F.col("g"), "value": F.col("value"), "c": F.col("c")}
-    model = rare.select(*[given.get(x.name, F.lit(None).cast(x.dataType)).alias(x.name) for x in packed.schema])
-    sums = model.union(packed).repartition("bucket").sortWithinPartitions("bucket", "kind").transform(map_arrow, _look_up, _SUMS_DDL)
-    whole = sums.groupBy("row").agg(*[F.max(x).alias(x) for x in ("doc_id", "held_out", "n_tokens")], F.sum("n_known").alias("n_known"), F.sum("base").alias("base_score"), F.sum("gain").alias("gain"))
-    return whole.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", (F.col("base_score") + F.col("gain") / math.log(10)).alias("score"))
+    none = lambda kind: F.lit(None).cast(kind)
+    model = rare.select(bucket, F.lit(0), none("long"), none("binary"), none("binary"), "g", "value", "c").toDF(*_MIXED.names)
+    added = model.union(packed).repartition("bucket").sortWithinPartitions("bucket", "kind").transform(map_arrow, _look_up, "row long, kind int, data binary")
+    found = added.repartition("row").sortWithinPartitions("row", "kind").transform(map_arrow, _added_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
 def score_documents(docs: DataFrame, held_out: int = 0, modulus: int = 10, depth: int = DEPTH) -> DataFrame:

@@ -441,15 +441,19 @@ def brute_tree(texts, depth):
     total, words = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
     root = lambda w: (count[(w,)] + 0.1) / (total + 0.1 * (words + 1))
     share = lambda g: count[g] / count[g[:-1]] if len(g) > 1 else root(g[0])
-    contexts = {}
-    for g, c in count.items():
-        if len(g) > 1 and c >= lm_score.MIN_COUNT and (gain := c * math.log(share(g) / share(g[1:]))) >= lm_score.MIN_GAIN:
-            contexts.setdefault(g[:-1], {})[g[-1]] = gain
-    for s, stored in list(contexts.items()):
-        n, mass, before = count[s], sum(count[s + (w,)] for w in stored), sum(share(s[1:] + (w,)) for w in stored)
-        rest = (n - mass) * math.log((n - mass) / (n * max(1 - before, 1e-12))) if n > mass else 0.0
-        if sum(stored.values()) + rest < lm_score.MIN_DIVERGENCE:
-            del contexts[s]
+    contexts, kept = {}, {g for g, c in count.items() if len(g) == 1 and c >= lm_score.MIN_COUNT}
+    for size in range(2, depth + 2):
+        level = {}
+        for g, c in count.items():
+            if len(g) == size and c >= lm_score.MIN_COUNT and g[1:] in kept and g[:-1] in kept and (gain := c * math.log(share(g) / share(g[1:]))) >= lm_score.MIN_GAIN:
+                level.setdefault(g[:-1], {})[g[-1]] = gain
+        for s, stored in list(level.items()):
+            n, mass, before = count[s], sum(count[s + (w,)] for w in stored), sum(share(s[1:] + (w,)) for w in stored)
+            rest = (n - mass) * math.log((n - mass) / (n * max(1 - before, 1e-12))) if n > mass else 0.0
+            if sum(stored.values()) + rest < lm_score.MIN_DIVERGENCE:
+                del level[s]
+        kept = {s + (w,) for s, stored in level.items() for w in stored}
+        contexts |= level
 
     def probability(before, w):
         if not before:
