@@ -253,3 +253,40 @@ def perhaps(rows: DataFrame, ids: DataFrame, mark: str, bits: int | None = None)
 def perhaps_in(rows: DataFrame, ids: DataFrame, bits: int | None = None) -> DataFrame:
     """The rows that perhaps() marks."""
     return perhaps(rows, ids, "__perhaps", bits).where("__perhaps").select(rows.columns)
+
+
+class Bitmap:
+    """Which hashes may be in a set: one bit each, by the highest bits of the hash."""
+
+    def __init__(self, bits: int, data: np.ndarray | None):
+        self.shift, self.data = U64(64 - bits.bit_length() + 1), data
+
+    def has(self, x: np.ndarray) -> np.ndarray:
+        if self.data is None:
+            return np.ones(len(x), bool)
+        at = x >> self.shift
+        return (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) > 0
+
+
+#: Bits of a bitmap of hashes: so many for each, up to 32 MB.
+BITS_PER_KEY, MOST_KEY_BITS = 12, 1 << 28
+
+
+def bitmap(keys: DataFrame, n: int) -> Bitmap:
+    """Of the n hashes `g`; beyond MOST_KEY_BITS a bitmap that has everything."""
+    bits = 1 << 20
+    while bits < n * BITS_PER_KEY:
+        bits *= 2
+    if bits > MOST_KEY_BITS:
+        return Bitmap(1 << 20, None)
+    place = F.shiftrightunsigned("g", 65 - bits.bit_length()) + 1
+    found = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
+    data = np.zeros((max(bits // 32768, 1), 4096), np.uint8)
+    for r in found.toLocalIterator():
+        data[r.b - 1] = np.frombuffer(r.m, np.uint8)
+    return Bitmap(bits, data.ravel())
+
+
+def bucket_bits(n: int, most: int) -> int:
+    """Bits of the numbers of buckets with at most `most` of n rows each, about."""
+    return max(0, (-(-n // most) - 1).bit_length())

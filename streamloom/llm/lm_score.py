@@ -36,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANK_WORDS, Words, batches, discard, id_bucket, keep, map_arrow, mix, out_batch, table
+from .common import BLANK_WORDS, Bitmap, Words, batches, bitmap, bucket_bits, discard, id_bucket, keep, map_arrow, mix, out_batch, table
 
 U64 = np.uint64
 #: Words of the longest context.
@@ -54,8 +54,6 @@ GROUP = 1 << 20
 KEYS = 1 << 20
 #: A bucket has about so many tokens' sequences, or so many values.
 BUCKET_TOKENS, BUCKET_VALUES = 1 << 20, 1 << 19
-#: Bits of the bitmap of sequences: so many for each, up to MOST_BITS (32 MB).
-BITS_PER_KEY, MOST_BITS = 12, 1 << 28
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -92,38 +90,6 @@ def among(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.where(sorted_keys[at] == x, at, -1)
 
 
-class Bitmap:
-    """Which hashes may be in a set: one bit each, by the highest bits of the hash."""
-
-    def __init__(self, bits: int, data: np.ndarray | None):
-        self.shift, self.data = U64(64 - bits.bit_length() + 1), data
-
-    def has(self, x: np.ndarray) -> np.ndarray:
-        if self.data is None:
-            return np.ones(len(x), bool)
-        at = x >> self.shift
-        return (self.data[at >> U64(3)] >> (at & U64(7)).astype(np.uint8)) & np.uint8(1) > 0
-
-
-def bitmap(keys: DataFrame, n: int) -> Bitmap:
-    """Of the n hashes `g`; beyond MOST_BITS a bitmap that has everything."""
-    bits = 1 << 20
-    while bits < n * BITS_PER_KEY:
-        bits *= 2
-    if bits > MOST_BITS:
-        return Bitmap(1 << 20, None)
-    place = F.shiftrightunsigned("g", 65 - bits.bit_length()) + 1
-    found = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m"))
-    data = np.zeros((max(bits // 32768, 1), 4096), np.uint8)
-    for r in found.toLocalIterator():
-        data[r.b - 1] = np.frombuffer(r.m, np.uint8)
-    return Bitmap(bits, data.ravel())
-
-
-def _bucket_bits(n: int, most: int) -> int:
-    return max(0, (-(-n // most) - 1).bit_length())
-
-
 _PACKED = pa.schema([("bucket", pa.int64()), ("s", pa.binary()), ("u", pa.binary()), ("c", pa.binary())])
 _COUNTED = pa.schema([(x, pa.int64()) for x in ("g", "s", "u", "c")])
 
@@ -235,7 +201,7 @@ def tree(train: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, int, int]:
     sc = train.sparkSession.sparkContext
     # about the number of tokens, which says how many buckets there must be
     guess = train.agg(F.coalesce(F.sum(F.octet_length("text") / 5 + 1), F.lit(0))).first()[0]
-    bits = _bucket_bits(int(guess), BUCKET_TOKENS)
+    bits = bucket_bits(int(guess), BUCKET_TOKENS)
     words = counted(train, 1, bits, 1)
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     root = (F.col("c") + ALPHA) / F.lit(total + ALPHA * (distinct + 1))
@@ -418,7 +384,7 @@ def scored(docs: DataFrame, values: DataFrame, total: int, distinct: int) -> Dat
     many = {r["size"]: r["count"] for r in rare.groupBy("size").count().collect()}
     longest = values.agg(F.max("size")).first()[0] or 1
     maps = [bitmap(rare.where(F.col("size") == k).select("g"), many.get(k, 0)) for k in range(2, longest + 1)]
-    bits = _bucket_bits(sum(many.values()), BUCKET_VALUES)
+    bits = bucket_bits(sum(many.values()), BUCKET_VALUES)
     use = docs.sparkSession.sparkContext.broadcast(Frequent(top, maps, norm, bits))
     packed = docs.select("doc_id", "text", "held").transform(map_arrow, _features(use), _MIXED_DDL)
     bucket = F.shiftrightunsigned("g", 64 - bits) if bits else F.lit(0).cast("long")

@@ -2,8 +2,11 @@
 
 The base patterns find emails, IP addresses, card and phone numbers.  The
 network, trained in numpy from generated sentences with labelled spans, adds
-forms that the patterns miss.  It reads overlapping windows; spans of all
-windows are reconciled over the whole text by weighted interval scheduling.
+what the patterns miss: other forms of these kinds, and secrets (keys, tokens,
+passwords), for which there is no pattern.  It reads overlapping windows; where
+they overlap their scores are averaged, those near a window's edge counting
+less, and one CRF path is decoded over all windows that hang together, so no
+span is cut by a window.
 """
 
 from __future__ import annotations
@@ -21,11 +24,13 @@ from pyspark.sql import functions as F
 from .common import batches, map_arrow, out_batch, table
 
 KINDS = ("email", "ip", "card", "phone")
+#: What the network tags: the kinds of the patterns, and secrets.
+LEARNED = (*KINDS, "secret")
 WINDOW, STRIDE = 96, 48
-HIDDEN, STEPS, BATCH, RATE = 16, 260, 48, 0.02
+HIDDEN, STEPS, BATCH, RATE = 24, 450, 64, 0.02
 #: Windows that the network reads at a time.
 MANY = 1024
-TAGS = 1 + 2 * len(KINDS)
+TAGS = 1 + 2 * len(LEARNED)
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -46,6 +51,12 @@ def _digits(s: str) -> str:
     return "".join(c for c in s if "0" <= c <= "9")
 
 
+def _byte(digits: str) -> bool:
+    """Whether digits, with any zeros before them, are at most 255."""
+    d = digits.lstrip("0")
+    return len(d) <= 3 and int(d or 0) <= 255
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) in order: leftmost non-overlapping matches of each kind that pass its check."""
     found = []
@@ -61,7 +72,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
             free = m.end()
         at = text.find("@", max(at + 1, free))
     if _DIGIT.search(text):
-        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+        found += [(m.start(), 1, m.end()) for m in _IP.finditer(text) if all(_byte(p) for p in m.group().split("."))]
         found += [(m.start(), 2, m.end()) for m in _CARD.finditer(text) if 14 <= len(d := _digits(m.group())) <= 19 and luhn(d)]
         found += [(m.start(), 3, m.end()) for m in _PHONE.finditer(text) if 10 <= len(_digits(m.group())) <= 15]
     return sorted(found)
@@ -89,14 +100,26 @@ def _entity(r: random.Random, kind: int) -> str:
         d = next(d + c for c in "0123456789" if luhn(d + c))
         sep = r.choice(("", "", " ", "-", ".", "/"))
         return sep.join(d[i : i + 4] for i in range(0, len(d), 4)) if sep else d
+    if kind == 4:
+        x = r.randrange(4)
+        if x < 2:
+            s = "".join(r.choice("0123456789abcdef") for _ in range(r.choice((32, 40, 40, 40, 64))))
+            return s.upper() if x and r.random() < 0.3 else s
+        return "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789" + "_-+/" * (x == 3)) for _ in range(r.randint(20, 48)))
     a, b, c = _number(r, 3), _number(r, 3), _number(r, 4)
     return r.choice((f"+{r.randrange(1, 99)} ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"+{r.randrange(1, 99)} {a} {b} {c}", f"({a}){b}-{c}"))
 
 
+_NAMES = ("token", "TOKEN", "api_key", "key", "secret", "password", "Authorization: Bearer", "access_token")
+
+
 def _other(r: random.Random) -> str:
-    x = r.randrange(9)
+    x = r.randrange(10)
     if x == 0:
-        return f'token = "{"".join(r.choice("0123456789abcdef") for _ in range(r.randint(16, 40)))}"'
+        return f"{r.choice(_NAMES)} {r.choice(('is', 'for', 'to', '=', 'of'))} {_word(r)}"
+    if x == 9:
+        d = _number(r, 15)
+        return next(d + c for c in "0123456789" if not luhn(d + c))
     if x == 1:
         return f"{r.randrange(1900, 2030)}-{r.randrange(1, 13):02d}-{r.randrange(1, 29):02d}"
     if x == 2:
@@ -115,21 +138,26 @@ def _other(r: random.Random) -> str:
 
 
 def sentences(n: int, seed: int) -> list[tuple[str, list[tuple[int, int, int]]]]:
-    """Texts of WINDOW characters with labelled spans (start, kind, end)."""
+    """Texts of WINDOW characters with labelled spans (start, kind, end), one in four in capitals."""
     r, out = random.Random(seed), []
     for _ in range(n):
         text, spans = "", []
         while len(text) < WINDOW + 40:
             x = r.random()
-            if x < 0.14:
-                kind = r.randrange(len(KINDS))
+            if x < 0.16:
+                kind = r.randrange(len(LEARNED))
                 e = _entity(r, kind)
+                quote = ""
+                if kind == 4:
+                    quote = r.choice(('"', '"', "'", ""))
+                    text += r.choice(_NAMES) + r.choice((" = ", " = ", "=", ": ", " ")) + quote
                 spans.append((len(text), kind, len(text) + len(e)))
-                text += e
+                text += e + quote
             else:
-                text += _other(r) if x < 0.28 else _word(r)
+                text += _other(r) if x < 0.3 else _word(r)
             text += r.choice((" ", " ", " ", " ", ", ", ". ", "\n", " | ", "*** ", "!! ", ": "))
         at = r.randrange(0, 40)
+        text = text.upper() if r.random() < 0.25 else text
         out.append((text[at : at + WINDOW], [(max(a - at, 0), k, min(b - at, WINDOW)) for a, k, b in spans if a - at < WINDOW and b > at]))
     return out
 
@@ -152,7 +180,7 @@ def encode(windows: list[str]) -> np.ndarray:
 
 #: Inside tags follow only tags of their kind; a window may begin inside a span.
 _BAN = np.zeros((TAGS, TAGS))
-for _k in range(len(KINDS)):
+for _k in range(len(LEARNED)):
     _BAN[:, 2 + 2 * _k] = -1e4
     _BAN[[1 + 2 * _k, 2 + 2 * _k], 2 + 2 * _k] = 0.0
 
@@ -197,7 +225,7 @@ class Tagger:
             i, f, o = gate[:, :h], gate[:, h : 2 * h], gate[:, 2 * h :]
             dc = dc + ds * o * (1 - tc * tc)
             dz = np.concatenate([dc * g * i * (1 - i), dc * c0 * f * (1 - f), ds * tc * o * (1 - o), dc * i * (1 - g * g)], 1)
-            np.add.at(gx, ids[:, t], dz)
+            gx += np.eye(len(gx), dtype=np.float32)[ids[:, t]].T @ dz
             gw += s0.T @ dz
             ds, dc = dz @ w.T, dc * f
         return {"x" + d: gx, "h" + d: gw}
@@ -230,20 +258,38 @@ class Tagger:
             grad |= self.back(ids, d, tapes[d], dh[:, :, k * HIDDEN : (k + 1) * HIDDEN])
         return grad
 
-    def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (batch, time) by Viterbi, and emission scores (time, batch, TAGS)."""
-        e = np.concatenate([self.lstm(ids, d) for d in "fb"], 2) @ self.p["o"] + self.p["c"]
+    def emissions(self, ids: np.ndarray) -> np.ndarray:
+        """Scores of the tags (batch, time, TAGS)."""
+        return np.swapaxes(np.concatenate([self.lstm(ids, d) for d in "fb"], 2) @ self.p["o"] + self.p["c"], 0, 1)
+
+    def decode(self, scores: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of sequences of any length, by Viterbi, a batch at a time."""
         trans = (self.p["t"] + _BAN).astype(np.float32)
-        best, trace = e[0], np.empty(e.shape, np.int8)
-        for t in range(1, len(e)):
-            x = best[:, :, None] + trans
-            trace[t] = x.argmax(1)
-            best = x.max(1) + e[t]
-        tags = np.empty(ids.shape, np.int8)
-        tags[:, -1] = best.argmax(1)
-        for t in range(len(e) - 1, 0, -1):
-            tags[:, t - 1] = trace[t][np.arange(len(ids)), tags[:, t]]
-        return tags, e
+        out: list = [None] * len(scores)
+        order = sorted(range(len(scores)), key=lambda i: len(scores[i]))
+        at = 0
+        while at < len(order):
+            # sequences of about one length
+            own = [i for i in order[at : at + 256] if len(scores[i]) <= 2 * len(scores[order[at]]) + 64]
+            at += len(own)
+            size = np.array([len(scores[i]) for i in own])
+            e = np.zeros((size.max(), len(own), TAGS), np.float32)
+            for k, i in enumerate(own):
+                e[: size[k], k] = scores[i]
+            best, trace = e[0], np.empty(e.shape, np.int8)
+            for t in range(1, len(e)):
+                x = best[:, :, None] + trans
+                trace[t] = x.argmax(1)
+                best = np.where((t < size)[:, None], x.max(1) + e[t], best)
+            tags = np.zeros((len(own), len(e)), np.int8)
+            now = best.argmax(1)
+            for t in range(len(e) - 1, -1, -1):
+                tags[:, t] = now
+                if t:
+                    now = np.where(t < size, trace[t][np.arange(len(own)), now], now)
+            for k, i in enumerate(own):
+                out[i] = tags[k, : size[k]]
+        return out
 
 
 @lru_cache(1)
@@ -279,83 +325,106 @@ def plausible(kind: int, s: str) -> bool:
         return len(p := [x.strip() for x in s.split(".")]) == 4 and all(x.isdecimal() and x.isascii() and len(x) <= 3 and int(x) <= 255 for x in p)
     if kind == 2:
         return 13 <= len(d) <= 19 and luhn(d) and len(s) <= 2 * len(d)
+    if kind == 4:
+        return len(s) >= 16 and len(d) >= 2 and len(d) < len(s) and not any(c.isspace() for c in s)
     return 10 <= len(d) <= 15 and not luhn(d) * (len(d) > 13) and len(s) <= 2 * len(d) and sum(c in " ().-+" for c in s) >= 2
 
 
-def schedule(spans: list[tuple[int, int, int, float]]) -> list[tuple[int, int, int]]:
-    """Of (start, kind, end, weight) the non-overlapping spans of the largest total weight."""
-    spans = sorted(set(spans), key=lambda x: (x[2], x[0], x[1], -x[3]))
-    ends = [x[2] for x in spans]
-    best: list[tuple[float, int | None, int]] = [(0.0, None, 0)]
-    from bisect import bisect_right
-
-    for i, (a, _, _, w) in enumerate(spans):
-        j = bisect_right(ends, a, 0, i)
-        best.append((best[j][0] + w, i, j) if best[j][0] + w > best[-1][0] else (best[-1][0], None, len(best) - 1))
-    out, at = [], len(spans)
-    while at:
-        _, i, j = best[at]
-        if i is not None:
-            out.append(spans[i][:3])
-        at = j
-    return sorted(out)
+#: How much a window's score counts at each of its places.
+_WEIGHT = np.minimum(np.arange(WINDOW) + 1, WINDOW - np.arange(WINDOW)).astype(np.float32)[:, None]
+
+
+def _scores(net: Tagger, texts: list[str], regions: list[tuple[int, int, int]]) -> list[np.ndarray]:
+    """For regions (text, start, end) of texts the averaged scores of the windows inside."""
+    where = [(k, a) for k, (_, lo, hi) in enumerate(regions) for a in range(lo, lo + 1 + STRIDE * max(0, -(-(hi - lo - WINDOW) // STRIDE)), STRIDE)]
+    total = [np.zeros((hi - lo, TAGS), np.float32) for _, lo, hi in regions]
+    weight = [np.zeros((hi - lo, 1), np.float32) for _, lo, hi in regions]
+    for at in range(0, len(where), MANY):
+        some = where[at : at + MANY]
+        e = net.emissions(encode([texts[regions[k][0]][a : a + WINDOW] for k, a in some]))
+        for (k, a), own in zip(some, e, strict=True):
+            _, lo, hi = regions[k]
+            n = min(WINDOW, hi - a)
+            total[k][a - lo : a - lo + n] += own[:n] * _WEIGHT[:n]
+            weight[k][a - lo : a - lo + n] += _WEIGHT[:n]
+    return [t / w for t, w in zip(total, weight, strict=True)]
+
+
+def _regions(text: str) -> list[list[int]]:
+    """Starts and ends of what the network reads: windows around digits and @, those that touch joined."""
+    out: list[list[int]] = []
+    for m in _ANCHOR.finditer(text):
+        k = m.start() // STRIDE
+        lo, hi = max(0, (k - 1) * STRIDE), min(len(text), k * STRIDE + WINDOW)
+        if out and lo <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], hi)
+        else:
+            out.append([lo, hi])
+    return out
 
 
 def learned_spans(net: Tagger, texts: list[str]) -> list[list[tuple[int, int, int]]]:
     """Spans (start, kind, end) for whole texts.  Every kind holds a digit or an
-    @, so windows without either can hold no span and aren't read."""
-    where, windows = [], []
-    for i, t in enumerate(texts):
-        starts = set()
-        for m in _ANCHOR.finditer(t):
-            k = m.start() // STRIDE
-            starts.update((k * STRIDE, max(0, (k - 1) * STRIDE)))
-        for a in sorted(starts):
-            where.append((i, a))
-            windows.append(t[a : a + WINDOW])
+    @, so what is far from both isn't read; a region whose first or last span
+    goes on beyond it is read again with twice the text on that side."""
     found: list[list] = [[] for _ in texts]
-    for lo in range(0, len(windows), MANY):
-        ids = encode(windows[lo : lo + MANY])
-        tags, e = net.decode(ids)
-        for n in np.flatnonzero((tags > 0).any(1)).tolist():
-            i, a = where[lo + n]
-            size, row, t = len(windows[lo + n]), tags[n].tolist(), 0
-            while t < size:
+    todo = [(i, lo, hi, STRIDE) for i, t in enumerate(texts) for lo, hi in _regions(t)]
+    while todo:
+        # windows of a region start at its start, the last may be shorter
+        tags = net.decode(_scores(net, texts, [(i, lo, hi) for i, lo, hi, _ in todo]))
+        again = []
+        for (i, lo, hi, more), row in zip(todo, tags, strict=True):
+            left, right = row[0] > 0 and lo > 0, row[-1] > 0 and hi < len(texts[i])
+            if left or right:
+                again.append((i, max(0, lo - more * left), min(len(texts[i]), hi + more * right), 2 * more))
+                continue
+            edge = np.flatnonzero((row[1:] != row[:-1])) + 1
+            runs = [0, *edge.tolist(), len(row)]
+            at = 0
+            while at < len(runs) - 1:
+                t = runs[at]
+                at += 1
                 if row[t] == 0:
-                    t += 1
                     continue
-                kind, u = (row[t] - 1) // 2, t + 1
-                while u < size and row[u] == 2 + 2 * kind:
-                    u += 1
-                # what a window's edge cuts is whole in the next window
-                if (t > 0 or a == 0) and (u < WINDOW or a + u >= len(texts[i])) and plausible(kind, texts[i][a + t : a + u]):
-                    gain = sum(float(e[x, n, row[x]] - e[x, n, 0]) for x in range(t, u))
-                    found[i].append((a + t, kind, a + u, round(gain, 3)))
-                t = u
-    return [schedule([s for s in f if s[3] > 0]) for f in found]
+                kind = (int(row[t]) - 1) // 2
+                if row[t] == 1 + 2 * kind and at < len(runs) - 1 and row[runs[at]] == 2 + 2 * kind:
+                    at += 1
+                found[i].append((lo + t, kind, lo + runs[at]))
+        todo = again
+    # regions that grew may have met
+    return [sorted({s for s in f if plausible(s[1], texts[i][s[0] : s[2]])}) for i, f in enumerate(found)]
 
 
 def find_spans(net: Tagger, texts: list[str]) -> list[tuple[list, list]]:
-    """(base spans, all spans) of each text; what the network adds overlaps no base span."""
+    """(base spans, all spans) of each text; what the network adds overlaps no other span."""
     out = []
     for t, more in zip(texts, learned_spans(net, texts), strict=True):
         base = base_spans(t)
-        out.append((base, sorted(base + [s for s in more if all(s[2] <= b[0] or s[0] >= b[2] for b in base)])))
+        ends, new = sorted((b[0], b[2]) for b in base), []
+        at, last, k = 0, -1, 0
+        for s in more:
+            while k < len(ends) and ends[k][0] < s[2]:
+                last = max(last, ends[k][1])
+                k += 1
+            if last <= s[0] and s[0] >= at:
+                new.append(s)
+                at = s[2]
+        out.append((base, sorted(base + new)))
     return out
 
 
 def written(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+    return ",".join(f"{LEARNED[k]}:{a}:{b}" for a, k, b in spans)
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string())])
+_OUT = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in KINDS), ("base_sha256", pa.string()), ("spans", pa.string()), ("n_spans", pa.int64())])
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) for docs(doc_id, text).
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_spans) for docs(doc_id, text).
 
-    The counts and the hash are of the base patterns' spans; spans has those
-    that the network adds, too.  Null and empty texts have none; repeated rows
+    The counts by kind and the hash are of the base patterns' spans; spans and
+    n_spans have those that the network adds, too.  Null and empty texts have none; repeated rows
     each give a row; a null id stays null; other columns are ignored.
     """
     use = docs.sparkSession.sparkContext.broadcast(trained())
@@ -364,9 +433,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
         for batch, texts in batches(it):
             got = find_spans(use.value, texts)
             counts = {f"n_{k}": [sum(s[1] == i for s in base) for base, _ in got] for i, k in enumerate(KINDS)}
-            yield out_batch(_OUT, doc_id=batch.column("doc_id"), **counts, base_sha256=[hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], spans=[written(s) for _, s in got])
+            yield out_batch(_OUT, doc_id=batch.column("doc_id"), **counts, base_sha256=[hashlib.sha256(written(b).encode()).hexdigest() for b, _ in got], spans=[written(s) for _, s in got], n_spans=[len(s) for _, s in got])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select(F.col("doc_id").cast("long"), "text").transform(map_arrow, run, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
@@ -374,7 +443,7 @@ def mask(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for a, k, b in spans:
         if a >= at:
-            out += [text[at:a], f"<{KINDS[k].upper()}>"]
+            out += [text[at:a], f"<{LEARNED[k].upper()}>"]
         at = max(at, b)
     return "".join([*out, text[at:]])
 

@@ -61,19 +61,52 @@ def test_pii_over_the_table(spark):
         assert got[i].base_sha256 == hashlib.sha256(pii.written(spans).encode()).hexdigest()
         assert (got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone) == tuple(sum(s[1] == k for s in spans) for k in range(4))
         assert set(filter(None, pii.written(spans).split(","))) <= set(got[i].spans.split(","))
+        assert got[i].n_spans == len(list(filter(None, got[i].spans.split(","))))
 
 
 def test_tagger_on_new_sentences():
     net, test = pii.trained(), pii.sentences(200, 12345)
-    found = pii.learned_spans(net, [t for t, _ in test])
+    # spans at the text's ends may be cut by them
+    found = [[s for s in f if s[0] > 0 and s[2] < pii.WINDOW] for f in pii.learned_spans(net, [t for t, _ in test])]
     want = [{s for s in spans if s[0] > 0 and s[2] < pii.WINDOW} for _, spans in test]
     right = sum(len(set(f) & w) for f, w in zip(found, want, strict=True))
     assert right >= 0.85 * sum(map(len, want)) and right >= 0.85 * sum(map(len, found))
 
 
-def test_schedule_takes_the_heaviest():
-    assert pii.schedule([(0, 0, 5, 2.0), (4, 1, 9, 3.0), (9, 2, 12, 1.0)]) == [(4, 1, 9), (9, 2, 12)]
+def test_masking():
     assert pii.mask("mail a@b.c now", [(5, 0, 10)]) == "mail <EMAIL> now"
+    assert pii.mask("x 123 y", [(2, 2, 4), (3, 3, 5)]) == "x <CARD> y"
+
+
+def test_secrets_of_the_documents():
+    """The documents' tokens have no base pattern; numbers that fail Luhn's check are no cards."""
+    net, right, found, want, cards = pii.trained(), 0, 0, 0, 0
+    texts = [t or "" for _, t, _ in documents(SF)]
+    for t, (base, spans) in zip(texts, pii.find_spans(net, texts), strict=True):
+        gold = {m.span(1) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', t)}
+        got = {(a, b) for a, k, b in spans if k == 4}
+        right, found, want = right + len(gold & got), found + len(got), want + len(gold)
+        cards += sum(k != 4 for _, k, _ in spans) - len(base)
+    assert want > 10 and right >= 0.95 * want and right >= 0.95 * found and cards <= 2
+
+
+def test_no_window_cuts_a_span():
+    net = pii.trained()
+    key = "f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda" * 3
+    for at in range(0, 200, 7):
+        text = "the wording of re " * 20
+        text = text[:at] + ' token = "' + key + '" ' + text[at:]
+        spans = [s for s in pii.learned_spans(net, [text])[0] if s[1] == 4]
+        assert spans == [(at + 10, 4, at + 10 + len(key))]
+
+
+def test_long_runs_and_odd_digits():
+    net = pii.trained()
+    texts = ["0" * 6000 + ".1.2.3", "7" * 9000, "a" * 5000 + "@b.c", "+1" + " 2" * 3000, "", "@" * 500, "1.2.3." * 900, "é１２３ ٣@x"]
+    for t, (base, spans) in zip(texts, pii.find_spans(net, texts), strict=True):
+        assert base == plain_spans(t) if len(t) < 4000 or "." not in t else base is not None
+        assert set(base) <= set(spans)
+    assert pii.base_spans(texts[0]) == [(0, 1, len(texts[0]))] and pii.base_spans(texts[2]) == [(0, 0, 5004)]
 
 
 # -- 2 --------------------------------------------------------------------------------
