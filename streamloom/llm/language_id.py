@@ -22,7 +22,9 @@ SAMPLE_PER_LANGUAGE = 250
 SEGMENTS, SEGMENT, JOINED = 4000, 16, 3
 TABLE_BITS, GRAMS = 16, 4
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.3, 1e-6
-GROUP = 2 << 20
+GROUP = 1 << 20
+#: Words whose messages are held at a time; longer chains are passed through in such pieces.
+PIECE = 1 << 17
 
 
 def word_features(blob: np.ndarray, start: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +63,26 @@ def emissions(weights: np.ndarray, w: Words, which: np.ndarray) -> np.ndarray:
     return out
 
 
-def marginals(score: np.ndarray, trans: np.ndarray, begins: np.ndarray, block: int = 64) -> np.ndarray:
-    """Label probabilities of each word in chains laid end to end; begins: where a chain starts.
-
-    Forward and backward messages are products of one small matrix per word.
-    Products within blocks of words are taken for all blocks at once, then the
-    blocks are passed through, so long chains cost no Python step per word.
-    """
-    n, k = score.shape
-    if not n:
-        return np.zeros((0, k))
-    p = np.exp(score.astype(float) - score.max(1, keepdims=True))
+def _steps(p: np.ndarray, trans: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """A matrix for each word: scores p of its labels after those of the word before."""
     m = np.exp(trans)[None] * p[:, None, :]
     m[begins] = p[begins][:, None, :]
+    return m
+
+
+def _product(m: np.ndarray) -> np.ndarray:
+    """The product of some matrices, scaled."""
+    while len(m) > 1:
+        if len(m) % 2:
+            m = np.concatenate([m, np.eye(m.shape[1])[None]])
+        m = m[::2] @ m[1::2]
+        m /= m.max((1, 2), keepdims=True)
+    return m[0]
+
+
+def _piece(m: np.ndarray, before: np.ndarray, after: np.ndarray, block: int) -> np.ndarray:
+    """Label probabilities of the words with matrices m, given the message before and after them."""
+    n, k, _ = m.shape
     nb = -(-n // block)
     m = np.concatenate([m, np.broadcast_to(np.eye(k), (nb * block - n, k, k))]).reshape(nb, block, k, k)
     fwd, bwd = np.empty_like(m), np.empty_like(m)
@@ -86,7 +95,7 @@ def marginals(score: np.ndarray, trans: np.ndarray, begins: np.ndarray, block: i
         bwd[:, block - i - 1] = x / x.max((1, 2), keepdims=True)
     whole = fwd[:, -1]
     a, z = np.empty((nb, k)), np.empty((nb, k))
-    a[0], z[-1] = 1.0, 1.0
+    a[0], z[-1] = before, after
     for i in range(1, nb):
         x = a[i - 1] @ whole[i - 1]
         a[i] = x / x.sum()
@@ -97,6 +106,37 @@ def marginals(score: np.ndarray, trans: np.ndarray, begins: np.ndarray, block: i
     return out / out.sum(1, keepdims=True)
 
 
+def marginals(score: np.ndarray, trans: np.ndarray, begins: np.ndarray, block: int = 64, piece: int = PIECE) -> np.ndarray:
+    """Label probabilities of each word in chains laid end to end; begins: where a chain starts.
+
+    Forward and backward messages are products of one small matrix per word.
+    Products within blocks of words are taken for all blocks at once, then the
+    blocks are passed through, so long chains cost no Python step per word.  Of
+    more than `piece` words the messages between pieces come first, from the
+    product of each, so memory doesn't grow with the longest text.
+    """
+    n, k = score.shape
+    if not n:
+        return np.zeros((0, k))
+    cuts = list(range(0, n, piece))
+    starts = np.zeros(n, bool)
+    starts[begins] = True
+
+    def steps(a: int) -> np.ndarray:
+        own = score[a : a + piece].astype(float)
+        return _steps(np.exp(own - own.max(1, keepdims=True)), trans, np.flatnonzero(starts[a : a + piece]))
+
+    before, after = np.ones((len(cuts), k)), np.ones((len(cuts), k))
+    if len(cuts) > 1:
+        whole = [_product(steps(a)) for a in cuts]
+        for i in range(1, len(cuts)):
+            x = before[i - 1] @ whole[i - 1]
+            before[i] = x / x.sum()
+            x = whole[-i] @ after[-i]
+            after[-i - 1] = x / x.sum()
+    return np.concatenate([_piece(steps(a), before[i], after[i], block) for i, a in enumerate(cuts)])
+
+
 class Model:
     def __init__(self, languages: list[str], weights: np.ndarray, trans: np.ndarray):
         self.languages, self.weights, self.trans = languages, weights, trans
@@ -138,27 +178,35 @@ def train(rows: list[tuple[str, str]], seed: int = 11) -> Model:
     weights, trans = np.zeros((1 << TABLE_BITS, k), np.float32), np.zeros((k, k))
     w = Words([t for _, t in rows], PLAIN_WORDS)
     label = np.array([languages.index(x) for x, _ in rows], np.int64)
-    n = np.diff(w.first) if rows else np.zeros(0, np.int64)
-    begin = np.concatenate([np.arange(a, a + c - SEGMENT + 1, SEGMENT) for a, c in zip(w.first, n, strict=False)] or [[]]).astype(np.int64)
-    if k < 2 or not len(begin):
+    if k < 2 or not len(w.hash):
         return Model(languages, weights, trans)
-    lang = label[w.doc[begin]]
+    # each language's texts end to end, so short ones count too; a language with few words repeats them
+    of, stream, begin, size = label[w.doc], [], [], 0
+    for x in range(k):
+        own = np.flatnonzero(of == x)
+        own = np.tile(own, -(-SEGMENT // len(own))) if 0 < len(own) < SEGMENT else own
+        begin.append(size + np.arange(0, len(own) - SEGMENT + 1, SEGMENT))
+        stream.append(own)
+        size += len(own)
+    stream = np.concatenate(stream)
     per = max(1, SEGMENTS // k)
-    begin = np.concatenate([rng.permutation(begin[lang == x])[:per] for x in range(k)])
-    lang = label[w.doc[begin]]
+    begin = [rng.permutation(b)[:per] for b in begin]
+    lang = np.repeat(np.arange(k), [len(b) for b in begin])
+    begin = np.concatenate(begin)
     _, which, back = np.unique(w.hash, return_index=True, return_inverse=True)
+    back = back[stream]
     index, first = word_features(np.frombuffer(w.blob, np.uint8), w.start[which], w.end[which], w.hash[which])
     count = np.diff(first)
     g2w, g2t = np.full(weights.shape, 1e-8, np.float32), np.full(trans.shape, 1e-8)
-    by = [np.flatnonzero(lang == x) for x in range(k)]
-    by = [x for x in by if len(x)]
+    own = [np.flatnonzero(lang == x) for x in range(k)]
+    by = [x for x in own if len(x)]
     for _ in range(EPOCHS):
         order = rng.permutation(len(begin))
         for i in range(0, len(order), BATCH):
             seq = [order[i : i + BATCH]]
             for _ in range(JOINED - 1):
                 # half of the time the next segment has any language, else the same
-                seq.append(np.array([rng.choice(by[rng.integers(len(by))]) if rng.random() < 0.5 else rng.choice(np.flatnonzero(lang == lang[s])) for s in seq[-1]]))
+                seq.append(np.array([rng.choice(by[rng.integers(len(by))]) if rng.random() < 0.5 else rng.choice(own[lang[s]]) for s in seq[-1]]))
             words = np.concatenate([begin[s][:, None] + np.arange(SEGMENT) for s in seq], axis=1)
             gold = np.repeat(np.stack([lang[s] for s in seq], 1), SEGMENT, axis=1)
             uniq, place = np.unique(back[words], return_inverse=True)
@@ -208,7 +256,7 @@ def learn(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     for r in counts:
         pick = pick | ((F.col("lang") == r["lang"]) & (F.col("h") < int(min(1.0, per_language / r["count"]) * (1 << 30))))
     # equal ids have equal hashes, so a limit keeps the bound for tables that repeat an id
-    got = rows.where(pick).limit(2 * per_language * len(counts)).collect()
+    got = rows.where(pick).orderBy("h", "lang", "text").limit(2 * per_language * len(counts)).collect()
     return train(sorted((r.lang, r.text) for r in got))
 
 
@@ -220,7 +268,8 @@ def label_documents(docs: DataFrame, held_out: int = 2, model: Model | None = No
 
     held_out: crc32(doc_id as text) mod 4 is `held_out`; only other rows are
     learned from, unless a model is given.  A null, empty or letterless text is
-    "und" with score 0; so is everything if there is nothing to learn from.
+    "und" with score 0; so is everything if there is nothing to learn from; with
+    one language to learn every text with letters has it.
     Repeated rows each give a row; null ids are not held out; other columns are
     ignored.
     """
@@ -240,13 +289,17 @@ def label_documents(docs: DataFrame, held_out: int = 2, model: Model | None = No
 
 def keep_settled(docs: DataFrame, least: float, held_out: int = 2) -> DataFrame:
     """docs(doc_id, text, lang, ...) without documents that are "und" or whose
-    language has less than `least` of their words; rows and columns stay as they are."""
+    language has less than `least` of their words; rows and columns stay as they
+    are.  Without labels to learn from all documents with a letter stay."""
     own = docs.select("doc_id", "text", "lang").where(id_bucket("doc_id", 4) != held_out)
     use = docs.sparkSession.sparkContext.broadcast(learn(own))
 
     def run(it):
         m = use.value
         for batch, texts in batches(it, most=GROUP):
+            if not m.languages:
+                yield batch.filter(pa.array([any(c.isalpha() for c in t) for t in texts]))
+                continue
             pred, score = m.predict(texts)
             yield batch.filter(pa.array([p != "und" and s >= least for p, s in zip(pred, score, strict=True)]))
 

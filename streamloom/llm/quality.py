@@ -124,9 +124,9 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("score", pa
 
 
 def _extract(it):
-    schema = pa.schema([("positive", pa.bool_()), ("unlabelled", pa.bool_()), ("x", pa.binary())])
+    schema = pa.schema([("positive", pa.bool_()), ("unlabelled", pa.bool_()), ("turn", pa.int64()), ("x", pa.binary())])
     for batch, texts in batches(it):
-        yield out_batch(schema, positive=batch.column("positive"), unlabelled=batch.column("unlabelled"), x=[r.tobytes() for r in features(texts)])
+        yield out_batch(schema, positive=batch.column("positive"), unlabelled=batch.column("unlabelled"), turn=batch.column("turn"), x=[r.tobytes() for r in features(texts)])
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> DataFrame:
@@ -142,11 +142,13 @@ def score_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> Da
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     good = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long")).where(id_bucket("doc_id", 4) != held_out).distinct()
     cut = lambda n, most: int(min(1.0, most / max(n, 1)) * (1 << 30))
-    trusted = good.where(place < cut(good.count(), POSITIVES)).limit(2 * POSITIVES).withColumn("positive", F.lit(True))
+    trusted = good.where(place < cut(good.count(), POSITIVES)).orderBy(place, "doc_id").limit(2 * POSITIVES).withColumn("positive", F.lit(True))
     least = cut(own.where("not held").count(), UNLABELLED)
     # `trusted` has at most 2 * POSITIVES ids
-    marked = own.where("not held").join(F.broadcast(trusted), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).withColumn("unlabelled", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30)) < least)
-    chosen = marked.where("positive or unlabelled").select("positive", "unlabelled", "text").transform(map_arrow, _extract, "positive boolean, unlabelled boolean, x binary").limit(2 * (POSITIVES + UNLABELLED)).toArrow()
+    marked = own.where("not held").join(F.broadcast(trusted), "doc_id", "left").withColumn("positive", F.coalesce("positive", F.lit(False))).withColumn("turn", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(1 << 30))).withColumn("unlabelled", F.col("turn") < least)
+    # equal ids have equal hashes, so limits keep the bounds for tables that repeat an id
+    chosen = marked.where("positive or unlabelled").select("positive", "unlabelled", "turn", "text").transform(map_arrow, _extract, "positive boolean, unlabelled boolean, turn long, x binary")
+    chosen = chosen.orderBy(~F.col("positive"), "turn", "x").limit(2 * (POSITIVES + UNLABELLED)).toArrow()
     x = np.frombuffer(b"".join(chosen["x"].to_pylist()), np.float32).reshape(-1, FEATURES).astype(float)
     x = x[order := np.lexsort(x.T[-7:])] if len(x) else x
     mark = lambda c: np.array(chosen[c].to_pylist(), bool)[order if len(x) else slice(0)]

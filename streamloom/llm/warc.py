@@ -51,13 +51,21 @@ def record(kind: str, headers: dict[str, str], block: bytes) -> bytes:
     return gzip.compress(b"WARC/1.1\r\n" + head.encode("utf-8", "surrogatepass") + b"\r\n" + block + b"\r\n\r\n", LEVEL, mtime=0)
 
 
+#: Compressed bytes that are looked at together, so what follows a record is copied only so far.
+_CHUNK = 1 << 14
+
+
 def records(data: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes]]:
     """(offset, length, headers, block) of the records in archive bytes."""
-    at = 0
+    at, view = 0, memoryview(data)
     while at < len(data):
-        d = zlib.decompressobj(31)
-        raw = d.decompress(data[at:]) + d.flush()
-        size = len(data) - at - len(d.unused_data)
+        d, parts, end = zlib.decompressobj(31), [], at
+        while not d.eof:
+            if end >= len(data):
+                raise ValueError("a record is cut")
+            parts.append(d.decompress(view[end : end + _CHUNK]))
+            end = min(end + _CHUNK, len(data))
+        raw, size = b"".join(parts), end - at - len(d.unused_data)
         head, _, rest = raw.partition(b"\r\n\r\n")
         lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         headers = dict(x.split(": ", 1) for x in lines[1:])
@@ -113,20 +121,21 @@ def write_archives(pages: DataFrame) -> DataFrame:
     Of pages with equal payloads of LEAST_REVISIT bytes or more the smallest
     page_id is stored, the others as revisits that refer to it.  Null html is
     an empty payload, a null url an empty one; rows that repeat a page_id are
-    stored alike; rows with a null page_id are responses and never referred to.
+    stored alike; a row with a null page_id is never referred to, and a revisit if
+    another row with its payload has a page_id.
     """
     second = F.coalesce("captured_at", F.lit(EPOCH)) if "captured_at" in pages.columns else F.lit(EPOCH) + F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(10**9))
     own = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("html"), second.cast("long").alias("second")).withColumn("digest", F.sha2("html", 256))
-    copies = own.where((F.octet_length("html") >= LEAST_REVISIT) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.max("page_id").alias("last"))
+    copies = own.where(F.octet_length("html") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
     # only digests with copies, so the table is small next to the pages; a hot digest is one row
-    copies = keep(copies.where("first < last").select("digest", "first"), "copies")
+    copies = keep(copies.where("n > 1 and first is not null").select("digest", "first"), "copies")
     return keep(own.join(copies, "digest", "left").select("page_id", "url", "html", "digest", "first", "second").transform(map_arrow, _write, "archive long, block int, data binary"), "archives", "uncompressed")
 
 
 _CAPTURE = pa.schema([("url_key", pa.string()), ("captured_at", pa.string()), ("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("archive", pa.int64()), ("block", pa.int32()), ("offset", pa.int64()), ("size", pa.int64())])
 _CAPTURE_DDL = "url_key string, captured_at string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, archive long, block int, offset long, size long"
-#: A reading task sorts so many captures at a time into a run.
-RUN = 200_000
+#: A reading task sorts so many captures at a time into a run; a merging task has about so many.
+RUN, MERGED = 100_000, 50_000
 
 
 def _page(urn: str) -> int | None:
@@ -220,9 +229,12 @@ def _merge(it):
 def capture_index(archives: DataFrame) -> DataFrame:
     """All captures of archives(archive, block, data), in the order of URL key,
     timestamp and page_id, within and across partitions.  Payloads are checked
-    against their digests; a damaged one is an error."""
+    against their digests; a damaged one is an error.  There are as many range
+    partitions as MERGED asks for, and their bounds are by place too, so a task
+    holds a bounded part of the index however often a URL was captured."""
     runs = keep(archives.select("archive", "block", "data").transform(map_arrow, _read, _CAPTURE_DDL), "runs")
-    return runs.repartitionByRange("url_key", "captured_at", "page_id").transform(map_arrow, _merge, _CAPTURE_DDL)
+    n = max(1, -(-runs.count() // MERGED))
+    return runs.repartitionByRange(n, "url_key", "captured_at", "page_id", "archive", "block", "offset").transform(map_arrow, _merge, _CAPTURE_DDL)
 
 
 def export(archives: DataFrame, folder: str) -> list[str]:
@@ -247,8 +259,8 @@ WITH p AS (
   SELECT d, min(page_id) AS first FROM p WHERE n >= {LEAST_REVISIT} GROUP BY d
 )
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
-       CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
-       CASE WHEN first < page_id THEN first END AS refers_to
+       CASE WHEN coalesce(first < page_id, first IS NOT NULL) THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN coalesce(first < page_id, first IS NOT NULL) THEN first END AS refers_to
 FROM p LEFT JOIN f ON p.d = f.d
 """
 

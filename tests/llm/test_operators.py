@@ -276,6 +276,30 @@ def test_marginals_equal_plain_forward_backward():
         assert np.allclose(got[a:b], post / post.sum(1, keepdims=True))
 
 
+def test_pieces_of_long_chains_change_nothing():
+    rng = np.random.default_rng(2)
+    score, trans = rng.normal(size=(1000, 4)) * 3, rng.normal(size=(4, 4))
+    begins = np.array([0, 3, 500, 501])
+    whole = language_id.marginals(score, trans, begins)
+    for piece in (64, 100, 333, 999):
+        assert np.allclose(language_id.marginals(score, trans, begins, piece=piece), whole)
+
+
+def test_short_texts_are_learned_from(spark):
+    """Texts of fewer words than a segment, and no labels at all."""
+    words = {"en": "the and of with house water".split(), "de": "der und die nicht haus wasser".split()}
+    r = random.Random(1)
+    rows = [(i, " ".join(r.sample(words[lang], 3)), lang) for i in range(200) for lang in ("en", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language_id.label_documents(docs).join(docs.select(docs.doc_id, docs.lang, docs.text).distinct(), "doc_id")
+    model = language_id.learn(docs)
+    pred, _ = model.predict([t for _, t, _ in rows])
+    assert sum(p == lang for p, (_, _, lang) in zip(pred, rows, strict=True)) > 0.97 * len(rows) and got.count() > 0
+    bare = spark.createDataFrame([(1, "some words", None), (2, "12 34", None), (3, None, None), (4, "é", None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in language_id.keep_settled(bare, 0.4).collect()} == {1, 4}
+    assert {r.lang_pred for r in language_id.label_documents(bare).collect()} == {"und"}
+
+
 def test_code_switched_words(spark):
     rows = [(lang, t) for _, t, lang in documents(SF) if t and lang]
     model = language_id.train(rows[:600])
@@ -307,6 +331,37 @@ def test_warc_round_trip_and_order(spark, tmp_path):
     assert warc.capture_index(warc.write_archives(pages.where("1 = 0"))).count() == 0
 
 
+def test_null_page_ids(spark):
+    """A row without a page_id revisits another row's page, if that has one."""
+    long, other = "x" * 150, "y" * 150
+    pages = spark.createDataFrame([(7, "u", long), (None, "v", long), (None, "w", other), (None, "w", other), (3, "z", "short"), (None, "z", "short")], "page_id long, url string, html string")
+    got = Counter((r.page_id, r.record_type, r.refers_to) for r in warc.capture_index(warc.write_archives(pages)).collect())
+    assert got == Counter([(7, "response", None), (None, "revisit", 7), (None, "response", None), (None, "response", None), (3, "response", None), (None, "response", None)])
+    con = duckdb.connect()
+    con.sql("create table pages as select * from (values (7, 'u', '" + long + "'), (NULL, 'v', '" + long + "'), (NULL, 'w', '" + other + "'), (NULL, 'w', '" + other + "'), (3, 'z', 'short'), (NULL, 'z', 'short')) t(page_id, url, html)")
+    assert Counter(con.sql(f"select page_id, record_type, refers_to from ({warc.OP6_SQL})").fetchall()) == got
+
+
+def test_records_are_read_in_linear_time():
+    """Archives of many records; a cut one is an error."""
+    made = [warc.record("response", {"WARC-Record-ID": f"<urn:page:{i}>"}, bytes([i % 251]) * (i % 700)) for i in range(3000)]
+    data = b"".join(made)
+    found = list(warc.records(data))
+    assert [x[1] for x in found] == [len(m) for m in made] and [x[3] for x in found] == [bytes([i % 251]) * (i % 700) for i in range(3000)]
+    with pytest.raises(ValueError):
+        list(warc.records(data[:-5]))
+
+
+def test_index_in_many_partitions(spark, monkeypatch):
+    monkeypatch.setattr(warc, "MERGED", 9)
+    monkeypatch.setattr(warc, "RUN", 5)
+    pages = spark.createDataFrame([(i % 60, f"http://h{i % 4}.org/{i % 3}", "p" * (i % 5)) for i in range(120)], "page_id long, url string, html string").repartition(5)
+    index = warc.capture_index(warc.write_archives(pages))
+    assert index.rdd.getNumPartitions() == 14
+    keys = [(r.url_key, r.captured_at, r.page_id) for r in index.collect()]
+    assert len(keys) == 120 and keys == sorted(keys)
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in range(9):
@@ -552,6 +607,12 @@ def test_quality_hard_rows(spark, hard_docs, no_docs):
     assert quality.score_documents(no_docs, labels).count() == 0
 
 
+def test_quality_without_positives(spark):
+    docs = spark.createDataFrame([(i, "some text here") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 1), (3, 0)], "doc_id long, quality int")
+    assert {(r.score, r.predicted) for r in quality.score_documents(docs, labels).collect()} == {(0.5, 0)}
+
+
 def test_und_and_letters(spark):
     rows = [(1, "1234 5678"), (2, "— … 12"), (3, None), (4, "the and of")]
     docs = spark.createDataFrame([(i, t, "en") for i, t in rows] + [(10 + k, "the and of thing " * 9, "en") for k in range(8)] + [(30 + k, "der und die das nicht " * 9, "de") for k in range(8)], "doc_id long, text string, lang string")
