@@ -122,6 +122,12 @@ def test_media_round_trip(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.media_bytes) == (len(raw), size, len(stored))
         assert (r.payload_sha256, r.media_sha256) == (hashlib.sha256(payload).hexdigest(), hashlib.sha256(stored).hexdigest())
+        # the page's items by hand: lines that aren't blank, and the figure after the first half of the lines
+        lines = [" ".join(x.split()) for x in (t or "").split("\n")]
+        half = (len(lines) + 1) // 2
+        items = [("text", x, None, None) for x in lines[:half] if x] + [("media", None, f"sha256:{r.media_sha256}", f"{len(raw)} bytes")] + [("text", x, None, None) for x in lines[half:] if x]
+        assert r.n_items == len(items) and r.position == [x[0] for x in items].index("media")
+        assert r.sequence_sha256 == media.sequence_sha256([(0, *x) for x in items])
         assert r.tail_crc32 == zlib.crc32(payload[-64:]) and r.caption == f"{len(raw)} bytes" and r.feature == media.feature(media.from_media(stored))
 
 
@@ -131,6 +137,47 @@ def test_parse_keeps_order_and_captions():
     assert media.parse(None) == []
 
 
+def test_end_tags_may_be_left_out():
+    page = '<html><head><title>no</title><meta x><p>one<li>two<figure><img src=a><figcaption>cap <b>tion</b><p>more</figure>three<figure><img src=b><figcaption>last'
+    assert media.parse(page) == [(0, "text", "one", None, None), (1, "text", "two", None, None), (2, "media", None, "a", "cap tion more"), (3, "text", "three", None, None), (4, "media", None, "b", "last")]
+    assert media.parse("<head><script>x</script>plain text") == [(0, "text", "plain text", None, None)]
+    assert media.parse("<figure><figcaption>before</figcaption><img src=a alt=x></figure>") == [(0, "media", None, "a", "before")]
+    assert media.parse("<figcaption>alone</figcaption><img src=a alt=x>") == [(0, "media", None, "a", "x")]
+
+
+def plain_items(source):
+    """A page's items by regular expressions."""
+    import html
+
+    source = re.sub(r"(?s)<!--.*?-->|<!DOCTYPE[^>]*>|<(script|style)\b.*?</\1>|<title>.*?</title>", "", source)
+    out, media_tag = [], re.compile(r'<img src="([^"]*)"(?: alt="([^"]*)")?>')
+    for part in re.split(r"(<img[^>]*>)|</?(?:p|div|br|li|ul|ol|table|tr|td|th|h[1-6]|article|section|blockquote|pre)\b[^>]*>", source):
+        if part and (m := media_tag.fullmatch(part)):
+            out.append(("media", None, m[1], m[2] or None))
+        elif part and (text := " ".join(html.unescape(re.sub(r"<[^>]*>", "", part)).split())):
+            out.append(("text", text, None, None))
+    return [(i, *x) for i, x in enumerate(out)]
+
+
+def test_pages_as_sequences(spark):
+    """All pages, with media put into some of them, against regular expressions; resolved by digest."""
+    r = random.Random(4)
+    rows = []
+    for i, source in duckdb.sql(f"select page_id, html from '{DATA}/pages.parquet'").fetchall():
+        parts = source.split("</p>")
+        for _ in range(r.randrange(3)):
+            parts.insert(r.randrange(1, len(parts) + 1), f'x<img src="d{r.randrange(5)}" alt="a{i}">y')
+        rows.append((i, "</p>".join(parts)))
+    pages = spark.createDataFrame(rows, "page_id long, html string")
+    sequences = media.interleave(pages, "page_id", "html")
+    want = {i: plain_items(t) for i, t in rows}
+    assert {x.id: [tuple(y) for y in x["items"]] for x in sequences.collect()} == want
+    store = spark.createDataFrame([(f"d{k}", bytes([k]), "c", k) for k in range(4)], "digest string, payload binary, caption string, position int")
+    got = sorted((x.id, x.position, x.kind, x.text, x.reference, x.caption, x.payload and bytes(x.payload), x.media_caption, x.media_position) for x in media.resolve(sequences, store).collect())
+    assert got == sorted((i, *x, *((bytes([int(x[3][1])]), "c", int(x[3][1])) if x[3] and x[3] != "d4" else (None, None, None))) for i, own in want.items() for x in own)
+    assert sum(x[2] == "media" for x in got) > 20
+
+
 def test_resolve_joins_digests(spark):
     pages = spark.createDataFrame([(1, '<img src="x"><img src="gone">'), (2, None)], "page_id long, html string")
     store = spark.createDataFrame([("x", b"data")], "digest string, payload binary")
