@@ -10,6 +10,7 @@ import hmac
 import json
 import re
 import struct
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -122,7 +123,7 @@ class _Bits:
 
 
 #: The profiles whose parameter sets carry chroma and scaling fields.
-HIGH_PROFILES = (100, 110, 122, 244, 44, 83, 86, 118, 128, 138, 139, 134, 135)
+HIGH_PROFILES = (100, 110, 122, 244, 44, 83, 86, 118, 128)
 
 
 def _dimensions(sps: bytes) -> tuple[int, int] | None:
@@ -185,6 +186,12 @@ def dimensions(sps: bytes) -> tuple[int, int] | None:
         return None
 
 
+def dimensions_of_config(config: bytes | None) -> tuple[int, int]:
+    """Width and height by a configuration record; zeros if it doesn't tell."""
+    sets = sets_of_config(config) if config else None
+    return (dimensions(sets[0]) if sets else None) or (0, 0)
+
+
 def decode_tag(kind: int, ts: int, body: bytes) -> dict | None:
     """A container tag's body as a configuration or a packet; other codecs and kinds are None."""
     if kind == 9 and len(body) >= 5 and body[0] & 15 == 7:
@@ -326,12 +333,26 @@ def digest_at(block: bytes, key: bytes) -> int | None:
     return None
 
 
+@lru_cache(1)
+def _lcg_steps() -> tuple[np.ndarray, np.ndarray]:
+    """The generator's multiplier and addend for 1, 2, ... steps at once."""
+    mul, add, out = 1, 0, []
+    for _ in range(BLOCK):
+        mul, add = mul * LCG_MUL & _MASK, (add * LCG_MUL + LCG_ADD) & _MASK
+        out.append((mul, add))
+    return tuple(np.array(x, np.uint64) for x in zip(*out, strict=True))
+
+
+def filler(seed: int, n: int) -> bytes:
+    """n bytes of the generator."""
+    mul, add = _lcg_steps()
+    with np.errstate(over="ignore"):
+        x = np.uint64(seed & _MASK) * mul[:n] + add[:n]
+    return ((x >> np.uint64(33)) & np.uint64(0xFF)).astype(np.uint8).tobytes()
+
+
 def plain_block(time: int, seed: int) -> bytes:
-    out, x = bytearray(struct.pack(">I", time & 0xFFFFFFFF) + bytes(4)), seed & _MASK
-    for _ in range(BLOCK - 8):
-        x = (x * LCG_MUL + LCG_ADD) & _MASK
-        out.append((x >> 33) & 0xFF)
-    return bytes(out)
+    return struct.pack(">I", time & 0xFFFFFFFF) + bytes(4) + filler(seed, BLOCK - 8)
 
 
 def signed_block(time: int, seed: int, key: bytes, place: int = PLACES[0]) -> bytes:
@@ -353,6 +374,23 @@ def reply_block(block: bytes, key: bytes) -> bytes:
     return bytes(out)
 
 
+def server_block(time: int, seed: int, signed: bool = False) -> bytes:
+    """A server's first block: the time and filler, or one that is signed."""
+    if signed:
+        return signed_block(time, seed, SERVER_KEY)
+    return struct.pack(">I", time & 0xFFFFFFFF) + bytes(4) + filler(seed ^ SEED_MIX, BLOCK - 8)
+
+
+def server_reply(client: bytes) -> bytes:
+    """A server's second block, which echoes the client's first."""
+    return reply_block(client, CLIENT_KEY)
+
+
+def client_reply(server: bytes) -> bytes:
+    """A client's second block, which echoes the server's first."""
+    return reply_block(server, SERVER_KEY)
+
+
 def hmac_sha256(key: bytes, data: bytes) -> bytes:
     return hmac.digest(key, data, hashlib.sha256)
 
@@ -376,6 +414,15 @@ class SplitMix:
         return (self.integers(n) >> np.uint64(11)).astype(float) / float(1 << 53)
 
 
+def first_doubles(seeds: np.ndarray) -> np.ndarray:
+    """The first double of a stream for each of many seeds."""
+    with np.errstate(over="ignore"):
+        z = seeds.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15)
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
+
+
 def jittered(delay: float, u: float) -> float:
     """Half of the delay, and a random share of the other half."""
     return delay / 2 + delay / 2 * u
@@ -470,8 +517,8 @@ split_prefixed_col = column(split_prefixed, "array<binary>")
 config_of_col = column(config_of, "binary")
 sets_of_config_col = column(lambda c: dict(zip(("sps", "pps"), s, strict=True)) if (s := sets_of_config(c)) else None, "struct<sps: binary, pps: binary>")
 dimensions_col = column(lambda s: dict(zip(("width", "height"), d, strict=True)) if (d := dimensions(s)) else None, "struct<width: long, height: long>")
+size_of_config_col = column(lambda c: dict(zip(("width", "height"), dimensions_of_config(c), strict=True)), "struct<width: long, height: long>")
 decode_tag_col = column(decode_tag, "struct<what: string, kind: string, dts: long, pts: long, is_key: boolean, data: binary>")
 values_json_col = column(values_json, "string")
-hmac_col = column(hmac_sha256, "binary")
 metadata_col = column(metadata, "binary")
 init_segment_col = column(lambda c, w, h, a, r, n, b: init_segment((c, w, h) if c else None, (a, r, n, b) if a else None), "binary")

@@ -39,6 +39,20 @@ def sample_flags(depends_on: Column, sync: Column) -> Column:
     return F.shiftleft(depends_on.bitwiseAND(F.lit(3)).cast("long"), 24) + F.when(sync, 0).otherwise(65536)
 
 
+def wall_clock() -> Column:
+    """The time of the query in milliseconds."""
+    return F.unix_millis(F.current_timestamp())
+
+
+def hmac_sha256(key: bytes, data: Column) -> Column:
+    """A keyed hash with a fixed key, as two nested hashes."""
+    import hashlib
+
+    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
+    inner, outer = (bytes(b ^ pad for b in block) for pad in (0x36, 0x5C))
+    return F.unhex(F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), data), 256))), 256))
+
+
 def packed_language(code: Column) -> Column:
     """A three-letter code as three 5-bit numbers."""
     bits = [F.ascii(F.substring(code, i, 1)).cast("long").bitwiseAND(F.lit(31)) for i in (1, 2, 3)]
@@ -114,6 +128,14 @@ def audio_body(payload: Column) -> Column:
     return F.concat(F.unhex(F.lit("AF01")), payload)
 
 
+def video_config_tag(ts: Column, config: Column) -> Column:
+    return tag(F.lit(VIDEO), ts, F.concat(F.unhex(F.lit("1700000000")), config))
+
+
+def audio_config_tag(ts: Column, config: Column) -> Column:
+    return tag(F.lit(AUDIO), ts, F.concat(F.unhex(F.lit("AF00")), config))
+
+
 def message(cid: int, kind: Column, stream: Column, ts: Column, payload: Column, chunk: int = 128) -> Column:
     """A message as chunks: a full header, then headers of one byte.  Times of 24
     bits or more are extended, in the first chunk only."""
@@ -180,6 +202,14 @@ def audio_config_fields(data: Column) -> Column:
     return F.when(F.octet_length(data) >= 2, fields)
 
 
+def audio_params(config: Column) -> Column:
+    """struct(rate, channels) of two configuration bytes, at least one channel;
+    null if they are too short or name no rate."""
+    fields = audio_config_fields(config)
+    rate = sample_rate(fields["rate_index"])
+    return F.when(rate.isNotNull(), F.struct(rate.alias("rate"), F.greatest(fields["channels"], F.lit(1)).alias("channels")))
+
+
 def without_adts(data: Column) -> Column:
     head = adts(data)
     return F.when(head.isNotNull(), F.call_function("substring", data, head["header_length"] + 1, F.octet_length(data))).otherwise(data)

@@ -57,20 +57,21 @@ def ordered_fold(df: DataFrame, keys: list[str], order: list[str], init: Callabl
     return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
-def spaced(df: DataFrame, keys: list[str], order: list[str], value: str, least: int, first: bool) -> DataFrame:
+def spaced(df: DataFrame, keys: list[str], order: list[str], value: str, least: int, first: bool, carry: tuple[str, ...] = (), start: int | None = None) -> DataFrame:
     """The rows whose `value` is at least `least` above that of the row taken
-    before.  The first row of a key counts as taken; it is given out if `first`.
+    before.  The first row of a key counts as taken, and is given out if `first`;
+    or `start` counts as taken before it.  The columns `carry` come along.
     Greedy, so it isn't a tumbling window."""
-    cols = [*keys, *order, value]
+    cols = list(dict.fromkeys([*keys, *order, value, *carry]))
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{c} {kinds[c]}" for c in dict.fromkeys(cols))
+    schema = ", ".join(f"{c} {kinds[c]}" for c in cols)
 
     def step(last, row):
         now = getattr(row, value)
         if last is None:
-            return now, [tuple(getattr(row, c) for c in dict.fromkeys(cols))] if first else []
+            return now, [tuple(getattr(row, c) for c in cols)] if first else []
         if now - last >= least:
-            return now, [tuple(getattr(row, c) for c in dict.fromkeys(cols))]
+            return now, [tuple(getattr(row, c) for c in cols)]
         return last, []
 
-    return ordered_fold(df.select(*dict.fromkeys(cols)), keys, order, lambda: None, step, schema)
+    return ordered_fold(df.select(*cols), keys, order, lambda: start, step, schema)

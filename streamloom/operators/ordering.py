@@ -28,6 +28,14 @@ BUDGET = {"ultra_low": 30, "balanced": 120, "quality": 480}
 CUT_AT = {"ultra_low": 15, "balanced": 120, "quality": None}
 
 
+def by_profile(values: dict, profile: Column) -> Column:
+    """The value of a latency profile's name; null for other names."""
+    out = F.lit(None).cast("int")
+    for name, value in values.items():
+        out = F.when(profile == name, F.lit(value).cast("int")).otherwise(out)
+    return out
+
+
 def video_key() -> Column:
     return (F.col("kind") == "video") & F.col("is_key")
 

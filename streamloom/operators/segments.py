@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.codecs import media_segment
 from .fold import ordered_fold
 from .timebase import TOLERANCE_MS
 
@@ -18,16 +19,21 @@ def cut(df: DataFrame, target_ms: int = TARGET_MS, tolerance: int = TOLERANCE_MS
 
     A stream starts like start_gate says.  A video key closes the open segment
     if its packets so far span the target, which leaves the key's own time out;
-    without video every audio packet may.  Times are made monotonic on the way.
+    without video every audio packet may.  The first segment's end fixes the
+    tracks: a track that no packet was seen of by then is dropped for good.
+    Times are made monotonic on the way.
     """
 
     def step(s, row):
-        saw, started, origin, last, number, start = s
+        seen, tracks, started, origin, last, number, start = s
         video = row.kind == "video"
-        saw = saw or video
+        seen |= 1 if video else 2
+        saw = bool(seen & 1)
+        if tracks and not tracks & (1 if video else 2):
+            return (seen, tracks, started, origin, last, number, start), []
         if not started:
             if (video and not row.is_key) or (not video and saw):
-                return (saw, False, origin, last, number, start), []
+                return (seen, tracks, False, origin, last, number, start), []
             started = True
         origin = row.dts if origin is None else origin
         before, ts = last, row.dts - origin
@@ -38,11 +44,11 @@ def cut(df: DataFrame, target_ms: int = TARGET_MS, tolerance: int = TOLERANCE_MS
             else:
                 ts = last
         if start is not None and before - start >= target_ms and (row.is_key if video else not saw):
-            number, start = number + 1, None
+            number, start, tracks = number + 1, None, tracks or seen
         start = ts if start is None else start
-        return (saw, started, origin, ts, number, start), [(row.stream_id, row.seq, row.kind, row.is_key, row.pts - row.dts, ts, number)]
+        return (seen, tracks, started, origin, ts, number, start), [(row.stream_id, row.seq, row.kind, row.is_key, row.pts - row.dts, ts, number)]
 
-    return ordered_fold(df.select("stream_id", "seq", "kind", "is_key", "pts", "dts"), ["stream_id"], ["seq"], lambda: (False, False, None, None, 0, None), step, "stream_id long, seq long, kind string, is_key boolean, cts long, ndts long, segment_no long")
+    return ordered_fold(df.select("stream_id", "seq", "kind", "is_key", "pts", "dts"), ["stream_id"], ["seq"], lambda: (0, 0, False, None, None, 0, None), step, "stream_id long, seq long, kind string, is_key boolean, cts long, ndts long, segment_no long")
 
 
 def samples(segmented: DataFrame, audio_rate: int = 44_100) -> DataFrame:
@@ -89,3 +95,37 @@ def retired(segs: DataFrame, window: int = WINDOW) -> DataFrame:
     """(stream_id, segment_no) of the segments that fell out of the window."""
     last = F.max("segment_no").over(Window.partitionBy("stream_id"))
     return segs.withColumn("last", last).where(F.col("segment_no") <= F.col("last") - max(window, 1)).select("stream_id", "segment_no")
+
+
+def segment_bytes(sampled: DataFrame, grid: DataFrame) -> DataFrame:
+    """(stream_id, segment_no, data): each segment's bytes, of samples(...) with
+    their payloads in `data`, and decode_grid()'s base times.  A task holds one
+    segment, whose length the target bounds."""
+    rows = sampled.join(grid, ["stream_id", "kind", "segment_no"])
+
+    def build(pdf):
+        import pandas as pd
+
+        pdf, fragments = pdf.sort_values("seq"), []
+        for number, kind in ((1, "video"), (2, "audio")):
+            own = pdf[pdf["kind"] == kind]
+            if len(own):
+                flags = [(2, 0) if x.is_key or kind == "audio" else (1, 1) for x in own.itertuples()]
+                samples = [(int(x.duration), bytes(x.data), d << 24 | n << 16, int(x.offset)) for x, (d, n) in zip(own.itertuples(), flags, strict=True)]
+                fragments.append((number, int(own["base"].iloc[0]), samples))
+        data = media_segment(int(pdf["segment_no"].iloc[0]), fragments)
+        return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]], "segment_no": [pdf["segment_no"].iloc[0]], "data": [data]})
+
+    return rows.groupBy("stream_id", "segment_no").applyInPandas(build, "stream_id long, segment_no long, data binary")
+
+
+def files(sampled: DataFrame, init: bytes, target_secs: int, window: int = WINDOW, prefix: str = "seg") -> DataFrame:
+    """(stream_id, name, data): the files of each finished stream: its start, the
+    segments that didn't fall out of the window, and the playlist."""
+    segs = summary(sampled)
+    last = F.max("segment_no").over(Window.partitionBy("stream_id"))
+    held = segs.withColumn("last", last).where(F.col("segment_no") > F.col("last") - max(window, 1)).select("stream_id", "segment_no")
+    media = segment_bytes(sampled.join(held, ["stream_id", "segment_no"], "left_semi"), decode_grid(sampled))
+    lists = playlists(segs, target_secs, window, prefix).select("stream_id", F.lit("playlist.m3u8").alias("name"), F.col("playlist").cast("binary").alias("data"))
+    starts = segs.select("stream_id").distinct().select("stream_id", F.lit("init.mp4"), F.lit(init))
+    return lists.union(starts).union(media.select("stream_id", F.concat(F.lit(prefix), F.col("segment_no"), F.lit(".m4s")), "data"))

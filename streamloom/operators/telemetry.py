@@ -16,8 +16,7 @@ def sampled(df: DataFrame, interval_ms: int = INTERVAL_MS, idle_ms: int = IDLE_M
     that is interval_ms after the last one (or the start).  The rate is that of
     the bytes since then, 0 after an idle gap.  df: stream_id, seq, now_ms, size."""
     run = df.withColumn("bytes", F.sum("size").over(so_far())).withColumn("pushed", F.count("*").over(so_far()))
-    picks = spaced(df, ["stream_id"], ["seq"], "now_ms", interval_ms, True).select("stream_id", "seq")
-    rows = run.join(picks, ["stream_id", "seq"])
+    rows = spaced(run, ["stream_id"], ["seq"], "now_ms", interval_ms, True, ("bytes", "pushed"))
     gap = F.col("now_ms") - F.lag("now_ms").over(stream())
     bits = 8 * (F.col("bytes") - F.lag("bytes").over(stream()))
     rate = F.when((gap <= idle_ms) & (gap > 0), bits * 1000.0 / gap).otherwise(0.0)

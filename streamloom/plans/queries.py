@@ -124,22 +124,37 @@ def p24_sha256(spark, d):
     return packets(spark, d).select("event_id", F.sha2(F.col("props").cast("binary"), 256).alias("digest"))
 
 
-@query()
+_PADS = [bytes(b ^ x for b in b"key".ljust(64, b"\0")).hex() for x in (0x5C, 0x36)]
+
+
+@query(f"SELECT event_id, upper(sha256(unhex('{_PADS[0]}' || sha256(unhex('{_PADS[1]}' || hex(encode(props))))))) AS mac FROM q")
 def p25_hmac(spark, d):
-    return packets(spark, d).select("event_id", F.hex(codecs.hmac_col(F.lit(b"key"), F.col("props").cast("binary"))).alias("mac"))
+    return packets(spark, d).select("event_id", F.hex(scalars.hmac_sha256(b"key", F.col("props").cast("binary"))).alias("mac"))
+
+
+_M64 = "18446744073709551616::UHUGEINT"
 
 
-@query()
+def _mixed(z: str, shift: int, mul: int) -> str:
+    return f"CAST((CAST(xor({z}, {z} >> {shift}) AS UHUGEINT) * {mul}::UHUGEINT) % {_M64} AS UBIGINT)"
+
+
+@query(f"SELECT event_id, u, 50.0::DOUBLE + 50.0::DOUBLE * u AS delay FROM (SELECT event_id, CAST(xor(z, z >> 31) >> 11 AS DOUBLE) / 9007199254740992.0::DOUBLE AS u FROM (SELECT event_id, {_mixed('z', 27, 0x94D049BB133111EB)} AS z FROM (SELECT event_id, {_mixed('z', 30, 0xBF58476D1CE4E5B9)} AS z FROM (SELECT event_id, CAST((CAST(event_id AS UHUGEINT) + 11400714819323198485::UHUGEINT) % {_M64} AS UBIGINT) AS z FROM q))))")
 def p16_jitter(spark, d):
     def run(it):
         for pdf in it:
-            pdf["u"] = [codecs.SplitMix(int(x)).doubles(1)[0] for x in pdf["event_id"]]
-            pdf["delay"] = [codecs.jittered(100.0, u) for u in pdf["u"]]
-            yield pdf
+            u = codecs.first_doubles(pdf["event_id"].to_numpy())
+            yield pdf.assign(u=u, delay=codecs.jittered(100.0, u))
 
     return packets(spark, d).select("event_id").mapInPandas(run, "event_id long, u double, delay double")
 
 
+@query("SELECT event_id, CASE event_id % 3 WHEN 0 THEN 30 WHEN 1 THEN 120 ELSE 480 END AS budget, CASE event_id % 3 WHEN 0 THEN 15 WHEN 1 THEN 120 END AS cut_at FROM q")
+def p13_budgets(spark, d):
+    profile = F.element_at(F.array(*map(F.lit, ordering.BUDGET)), (F.col("event_id") % 3 + 1).cast("int"))
+    return packets(spark, d).select("event_id", ordering.by_profile(ordering.BUDGET, profile).alias("budget"), ordering.by_profile(ordering.CUT_AT, profile).alias("cut_at"))
+
+
 @query(f"SELECT stream_id, seq FROM (SELECT *, coalesce(bool_or({KEY}) {SOFAR}, false) AS opened FROM q) WHERE kind <> 'video' OR opened")
 def g01_key_gate(spark, d):
     return ordering.key_gate(packets(spark, d)).select("stream_id", "seq")
@@ -270,14 +285,15 @@ def f04_connections(spark, d):
     return p.select("stream_id", "seq", "connection", "cfg", ((F.col("connection") == 1) | (F.lag("connection").over(ordering.stream()) != F.col("connection"))).alias("headers"))
 
 
-CUT = STARTED + f""", k AS (SELECT *, bool_or(kind = 'video') {SOFAR} AS saw FROM s2), k1 AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS j FROM k WHERE started),
-c AS (SELECT stream_id, seq, kind, is_key, pts - dts AS cts, j, dts AS origin, CAST(0 AS BIGINT) AS ndts, CAST(0 AS BIGINT) AS segment_no, CAST(0 AS BIGINT) AS start FROM k1 WHERE j = 1 UNION ALL
-SELECT stream_id, seq, kind, is_key, cts, j, origin, ts, CASE WHEN cut THEN segment_no + 1 ELSE segment_no END, CASE WHEN cut THEN ts ELSE start END FROM (
-SELECT k1.stream_id, k1.seq, k1.kind, k1.is_key, k1.pts - k1.dts AS cts, k1.j, c.segment_no, c.start,
-CASE WHEN c.ndts - (dts - origin) > {TOLERANCE} THEN dts - greatest(c.ndts, 0) ELSE origin END AS origin,
-CASE WHEN dts - origin >= c.ndts THEN dts - origin WHEN c.ndts - (dts - origin) > {TOLERANCE} THEN greatest(c.ndts, 0) ELSE c.ndts END AS ts,
-c.ndts - c.start >= {TARGET} AND CASE WHEN k1.kind = 'video' THEN k1.is_key ELSE NOT saw END AS cut
-FROM c JOIN k1 ON k1.stream_id = c.stream_id AND k1.j = c.j + 1))"""
+CUT = STARTED + f""", k AS (SELECT *, bool_or(kind = 'video') {SOFAR} AS saw, CASE WHEN bool_or(kind = 'video') {SOFAR} THEN 1 ELSE 0 END + CASE WHEN bool_or(kind = 'audio') {SOFAR} THEN 2 ELSE 0 END AS kinds FROM s2), k1 AS (SELECT *, row_number() OVER (PARTITION BY stream_id ORDER BY seq) AS j FROM k WHERE started),
+c0 AS (SELECT stream_id, seq, kind, is_key, pts - dts AS cts, j, dts AS origin, CAST(0 AS BIGINT) AS ndts, CAST(0 AS BIGINT) AS segment_no, CAST(0 AS BIGINT) AS start, 0 AS tracks, false AS late FROM k1 WHERE j = 1 UNION ALL
+SELECT stream_id, seq, kind, is_key, cts, j, origin, ts, CASE WHEN cut THEN segment_no + 1 ELSE segment_no END, CASE WHEN cut THEN ts ELSE start END, CASE WHEN cut AND tracks = 0 THEN kinds ELSE tracks END, late FROM (
+SELECT *, CASE WHEN late THEN origin0 WHEN ndts0 - (dts - origin0) > {TOLERANCE} THEN dts - greatest(ndts0, 0) ELSE origin0 END AS origin,
+CASE WHEN late THEN ndts0 WHEN dts - origin0 >= ndts0 THEN dts - origin0 WHEN ndts0 - (dts - origin0) > {TOLERANCE} THEN greatest(ndts0, 0) ELSE ndts0 END AS ts,
+NOT late AND ndts0 - start >= {TARGET} AND CASE WHEN kind = 'video' THEN is_key ELSE NOT saw END AS cut FROM (
+SELECT k1.stream_id, k1.seq, k1.kind, k1.is_key, k1.pts - k1.dts AS cts, k1.j, k1.dts, k1.saw, k1.kinds, c0.segment_no, c0.start, c0.tracks, c0.origin AS origin0, c0.ndts AS ndts0,
+c0.tracks > 0 AND (c0.tracks & CASE WHEN k1.kind = 'video' THEN 1 ELSE 2 END) = 0 AS late
+FROM c0 JOIN k1 ON k1.stream_id = c0.stream_id AND k1.j = c0.j + 1))), c AS (SELECT * FROM c0 WHERE NOT late)"""
 SAMPLES = CUT + """, sm AS (SELECT *, CASE WHEN kind = 'video' THEN coalesce(CASE WHEN lead(ndts) OVER w < ndts THEN 0 ELSE lead(ndts) OVER w - ndts END, 33) ELSE 23 END AS duration_ms FROM c WINDOW w AS (PARTITION BY stream_id, segment_no, kind ORDER BY seq)),
 sm2 AS (SELECT *, CASE WHEN kind = 'video' THEN least(duration_ms * 90, 4294967295) ELSE 1024 END AS duration FROM sm),
 sg AS (SELECT stream_id, segment_no, count(*) AS n, arg_min(ndts, seq) AS start_ms, greatest(max(ndts + duration_ms) - arg_min(ndts, seq), 0) AS duration_ms FROM sm2 GROUP BY 1, 2),
@@ -502,11 +518,11 @@ def c06_units(spark, d):
     return packets(spark, d).select("event_id", F.hex(scalars.length_prefixed(units)).alias("prefixed"), F.hex(scalars.annex_b(units)).alias("annex_b"), scalars.nal_type(units[0]).cast("int").alias("unit_type"), scalars.has_keyframe(units).alias("has_key"))
 
 
-@query()
+@query("SELECT event_id, 2 AS n, hex(encode(event_type)) AS first, hex(encode(props)) AS last, true AS prefixed_same FROM q")
 def c02_split_units(spark, d):
     units = F.array(F.col("event_type").cast("binary"), F.col("props").cast("binary"))
     back = codecs.split_units_col(scalars.annex_b(units))
-    return packets(spark, d).select("event_id", F.size(back).alias("n"), (back == units).alias("same"), (codecs.split_prefixed_col(scalars.length_prefixed(units)) == units).alias("prefixed_same"))
+    return packets(spark, d).select("event_id", F.size(back).alias("n"), F.hex(back[0]).alias("first"), F.hex(back[1]).alias("last"), (codecs.split_prefixed_col(scalars.length_prefixed(units)) == units).alias("prefixed_same"))
 
 
 @query("SELECT event_id, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 4 + 1 END AS object_type, CASE WHEN event_id % 4 = 3 THEN NULL ELSE event_id % 16 END AS rate_index, CASE event_id % 16 WHEN 0 THEN 96000 WHEN 1 THEN 88200 WHEN 2 THEN 64000 WHEN 4 THEN 44100 WHEN 5 THEN 32000 WHEN 6 THEN 24000 WHEN 8 THEN 16000 WHEN 9 THEN 12000 WHEN 10 THEN 11025 WHEN 12 THEN 7350 END AS rate, CASE WHEN event_id % 4 = 3 THEN NULL ELSE lpad(upper(to_hex((event_id % 4) * 2048 + (event_id % 16) * 128 + 16)), 4, '0') END AS config FROM q")
@@ -518,7 +534,7 @@ def c13_adts(spark, d):
     return packets(spark, d).select("event_id", head["object_type"].cast("long").alias("object_type"), head["rate_index"].cast("long").alias("rate_index"), scalars.sample_rate(head["rate_index"]).alias("rate"), F.hex(scalars.audio_config(head)).alias("config"))
 
 
-@query()
+@query("SELECT event_id, event_type AS name, CAST(event_id AS DOUBLE) AS txn, event_type AS code, CAST(size AS DOUBLE) AS size FROM q")
 def j03_values(spark, d):
     make = codecs.column(lambda t, n, s: codecs.encode_value(t) + codecs.encode_value(float(n)) + codecs.encode_value([("code", t), ("size", s), ("ok", True)]), "binary")
     v = F.parse_json(codecs.values_json_col(make("event_type", "event_id", "size")))
@@ -533,38 +549,42 @@ def j04_field(spark, d):
 @query("SELECT a.stream_id, a.event_id, min(b.dts) - min(a.dts) AS rtt_ms FROM q a JOIN q b ON b.stream_id = a.stream_id AND b.event_type = 'view' AND a.event_type = 'click' AND b.size % 50 = a.size % 50 AND b.dts > a.dts GROUP BY 1, 2")
 def h06_round_trips(spark, d):
     p = packets(spark, d).select("stream_id", "event_id", "event_type", "dts", (F.col("size") % 50).alias("echo"))
-    ask, answer = p.where("event_type = 'click'"), p.where("event_type = 'view'").select("stream_id", "echo", F.col("dts").alias("back"))
-    pairs = ask.join(answer, ["stream_id", "echo"]).where("back > dts")
-    return pairs.groupBy("stream_id", "event_id").agg((F.min("back") - F.min("dts")).alias("rtt_ms"))
+    # from the end on, the earliest answer so far is the first one after a row
+    later = Window.partitionBy("stream_id", "echo").orderBy(F.desc("dts")).rangeBetween(Window.unboundedPreceding, -1)
+    back = F.min(F.when(F.col("event_type") == "view", F.col("dts"))).over(later)
+    return p.withColumn("back", back).where("event_type = 'click' and back is not null").select("stream_id", "event_id", (F.col("back") - F.col("dts")).alias("rtt_ms"))
 
 
-@query()
+@query("SELECT event_id, kind, size AS dts, size + CASE WHEN kind = 'video' THEN pts - dts ELSE 0 END AS pts, kind = 'video' AND is_key AS is_key, CASE WHEN kind = 'video' THEN '00000001' ELSE '' END || hex(encode(props)) AS data FROM q")
 def c18_tag_round_trip(spark, d):
     video = F.col("kind") == "video"
     payload = F.col("props").cast("binary")
     body = F.when(video, scalars.video_body(F.col("is_key"), F.col("pts") - F.col("dts"), scalars.length_prefixed(F.array(payload)))).otherwise(scalars.audio_body(payload))
     p = packets(spark, d).select("*", codecs.decode_tag_col(F.when(video, 9).otherwise(8), F.col("size"), body).alias("t"))
-    return p.select("event_id", (F.col("t.kind") == F.col("kind")).alias("kind_same"), (F.col("t.pts") - F.col("t.dts") == F.when(video, F.col("pts") - F.col("dts")).otherwise(0)).alias("time_same"), (F.col("t.is_key") == ordering.video_key()).alias("key_same"))
+    return p.select("event_id", "t.kind", "t.dts", "t.pts", "t.is_key", F.hex("t.data").alias("data"))
 
 
-@query()
-def c20_segment_bytes(spark, d):
-    """Each segment's bytes: sizes and digests."""
-    s = _samples(spark, d).join(packets(spark, d).select("stream_id", "seq", F.col("props").cast("binary").alias("data")), ["stream_id", "seq"])
+def _u32(x: str) -> str:
+    return f"lpad(upper(to_hex(CAST({x} AS BIGINT))), 8, '0')"
+
 
-    def build(pdf):
-        import hashlib
+#: A track's part of a fragment header, and its share of the payloads, in hex.
+_TRAF = GRID + f""", x0 AS (SELECT sm2.*, hex(encode(props)) AS h, octet_length(encode(props)) AS n, sm2.kind = 'audio' OR sm2.is_key AS sync FROM sm2 JOIN q ON q.stream_id = sm2.stream_id AND q.seq = sm2.seq),
+x1 AS (SELECT stream_id, segment_no, kind, count(*) AS k, CAST(sum(n) AS BIGINT) AS bytes, string_agg(h, '' ORDER BY seq) AS payload,
+  string_agg({_u32('duration')} || {_u32('n')} || CASE WHEN sync THEN '02000000' ELSE '01010000' END || {_u32("CASE WHEN kind = 'video' THEN (cts * 90 + 4294967296) % 4294967296 ELSE 0 END")}, '' ORDER BY seq) AS rows FROM x0 GROUP BY 1, 2, 3),
+x2 AS (SELECT x1.*, g2.base, sum(64 + 16 * k) OVER w + 24 AS moof, coalesce(sum(bytes) OVER (PARTITION BY x1.stream_id, x1.segment_no ORDER BY x1.kind DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM x1 JOIN g2 ON g2.stream_id = x1.stream_id AND g2.segment_no = x1.segment_no AND g2.kind = x1.kind WINDOW w AS (PARTITION BY x1.stream_id, x1.segment_no)),
+x3 AS (SELECT stream_id, segment_no, any_value(moof) AS moof, CAST(sum(bytes) AS BIGINT) AS bytes, string_agg(payload, '' ORDER BY kind DESC) AS payload,
+  string_agg({_u32('64 + 16 * k')} || '74726166' || '00000010' || '74666864' || '00020000' || CASE WHEN kind = 'video' THEN '00000001' ELSE '00000002' END || '00000014' || '74666474' || '01000000' || lpad(upper(to_hex(CAST(base AS BIGINT))), 16, '0') || {_u32('20 + 16 * k')} || '7472756E' || '01000F01' || {_u32('k')} || {_u32('moof + 8 + before')} || rows, '' ORDER BY kind DESC) AS tracks FROM x2 GROUP BY 1, 2),
+x4 AS (SELECT stream_id, segment_no, '00000018737479706973' || '6F350000020069736F3569736F36' || {_u32('moof')} || '6D6F6F66' || '00000010' || '6D666864' || '00000000' || {_u32('segment_no')} || tracks || {_u32('bytes + 8')} || '6D646174' || payload AS h FROM x3)"""
 
-        import pandas as pd
 
-        pdf = pdf.sort_values("seq")
-        fragments = []
-        for number, kind in ((1, "video"), (2, "audio")):
-            own = pdf[pdf["kind"] == kind]
-            if len(own):
-                rows = [(int(x.duration), bytes(x.data), (2 if x.is_key or kind == "audio" else 1) << 24 | (0 if x.is_key or kind == "audio" else 1 << 16), int(x.offset)) for x in own.itertuples()]
-                fragments.append((number, max(int(own["ndts"].iloc[0]), 0) * (90 if kind == "video" else 44), rows))
-        data = codecs.media_segment(int(pdf["segment_no"].iloc[0]), fragments)
-        return pd.DataFrame({"stream_id": [pdf["stream_id"].iloc[0]], "segment_no": [pdf["segment_no"].iloc[0]], "bytes": [len(data)], "digest": [hashlib.sha256(data).hexdigest()]})
+def _with_payloads(spark, d):
+    return _samples(spark, d).join(packets(spark, d).select("stream_id", "seq", F.col("props").cast("binary").alias("data")), ["stream_id", "seq"])
 
-    return s.groupBy("stream_id", "segment_no").applyInPandas(build, "stream_id long, segment_no long, bytes long, digest string")
+
+@query("SELECT stream_id, segment_no, CAST(length(h) // 2 AS BIGINT) AS bytes, sha256(unhex(h)) AS digest FROM x4", _TRAF)
+def c20_segment_bytes(spark, d):
+    """Each segment's bytes: sizes and digests."""
+    rows = _with_payloads(spark, d)
+    made = segments.segment_bytes(rows, segments.decode_grid(rows))
+    return made.select("stream_id", "segment_no", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("digest"))

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..functions.codecs import join_units, split_units
+
 MOST_OFFSET = 4096
 
 
@@ -116,6 +118,8 @@ class ChunkReader:
 
     def __init__(self, size: int = 128):
         self.size, self.streams, self.data, self.at = size, {}, b"", 0
+        #: Bytes of the connection that whole chunks took so far, with their headers.
+        self.bytes_read = 0
 
     def set_size(self, size: int) -> None:
         if size <= 0:
@@ -163,6 +167,7 @@ class ChunkReader:
                 self.at = begin
                 return
             self.streams[before] = s
+            self.bytes_read += self.at - begin
             if left > 0 and len(s["payload"]) == s["length"]:
                 payload, s["payload"] = s["payload"], b""
                 yield s["kind"], s["ts"], payload
@@ -193,12 +198,39 @@ def read_messages(capture: DataFrame, size: int = 128) -> DataFrame:
 
 
 def audio_frames(data: bytes, rate: int = 44_100) -> list[tuple[int, bytes]]:
-    """(pts ms, frame with its header) of a file of ADTS frames."""
-    out, at = [], 0
+    """(pts ms, frame with its header) of a file of ADTS frames; a last frame that
+    is cut off is given as far as it goes."""
+    out, at, step = [], 0, round(1024 * 1000 / rate)
     while at + 7 <= len(data) and data[at] == 255 and data[at + 1] & 0xF0 == 0xF0:
+        head = 7 if data[at + 1] & 1 else 9
         n = (data[at + 3] & 3) << 11 | data[at + 4] << 3 | data[at + 5] >> 5
-        if n < 7 or at + n > len(data):
+        if n < head or at + head > len(data):
             break
-        out.append((round(len(out) * 1024 * 1000 / rate), data[at : at + n]))
+        out.append((len(out) * step, data[at : at + n]))
         at += n
     return out
+
+
+def video_frames(data: bytes, fps: float = 15.0) -> list[tuple[int, bool, bytes]]:
+    """(pts ms, whether it is a key, unit with a start code) of the pictures of a
+    file of units at a constant frame rate; units that are no picture are left out."""
+    pictures = [u for u in split_units(data) if 1 <= u[0] & 31 <= 5]
+    return [(int(i * 1000.0 / fps), u[0] & 31 == 5, join_units([u])) for i, u in enumerate(pictures)]
+
+
+def each_file(df: DataFrame, walk, schema: str) -> DataFrame:
+    """The rows walk(bytes) gives for every file of df(..., content), after its
+    other columns and the row's number; a task holds one file at a time."""
+    names = [x.strip().split(" ")[0] for x in schema.split(",")]
+    others = [c for c in df.columns if c != "content"]
+
+    def run(it):
+        for pdf in it:
+            for row in pdf.itertuples(index=False):
+                own = tuple(getattr(row, c) for c in others)
+                rows = [(*own, i, *x) for i, x in enumerate(walk(bytes(row.content)))]
+                for k in range(0, len(rows), 5000):
+                    yield pd.DataFrame(rows[k : k + 5000], columns=[*others, "ord", *names])
+
+    kinds = dict(df.dtypes)
+    return df.mapInPandas(run, ", ".join([*(f"{c} {kinds[c]}" for c in others), "ord long", schema]))

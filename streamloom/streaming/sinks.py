@@ -6,19 +6,89 @@ import os
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import codecs
-from ..functions.scalars import FILE_HEADER, SCRIPT, audio_body, tag, video_body, without_adts
+from ..functions.scalars import FILE_HEADER, SCRIPT, adts, audio_body, audio_config, audio_config_tag, tag, video_body, video_config_tag, without_adts
 from ..operators.timebase import monotonic, wire_time
 
 
-class BatchSink(Protocol):
-    """What a fan-out writes to."""
+class PacketSink(Protocol):
+    """What packets go out to: configurations when they change, batches of
+    packets, and the end.  bytes_written and progress_ms tell how far it is."""
+
+    bytes_written: int
+    progress_ms: int | None
+
+    def codecs(self, video: bytes | None, audio: bytes | None) -> None: ...
 
     def write(self, batch: DataFrame, batch_id: int) -> None: ...
 
+    def finish(self) -> None: ...
+
+
+class Retiring:
+    """A packet sink that its failure retires: it gets nothing more, and whoever
+    feeds it goes on.  Configurations are merged with the last ones of the other
+    track, and the end comes once."""
+
+    def __init__(self, sink: PacketSink):
+        self.sink, self.video, self.audio, self.retired, self.error = sink, None, None, False, None
+
+    def _try(self, f, *args) -> None:
+        if self.retired:
+            return
+        try:
+            f(*args)
+        except Exception as e:  # noqa: BLE001 - any failure retires a sink
+            self.retired, self.error = True, str(e)
+
+    def codecs(self, video: bytes | None = None, audio: bytes | None = None) -> None:
+        if not self.retired:
+            self.video, self.audio = video or self.video, audio or self.audio
+            self._try(self.sink.codecs, self.video, self.audio)
+
+    def write(self, batch: DataFrame, batch_id: int) -> None:
+        self._try(self.sink.write, batch, batch_id)
+
+    def finish(self) -> None:
+        self._try(self.sink.finish)
+        self.retired = True
+
+
+class Independent:
+    """Feeds several sinks, none of them the primary: each is retired by its own
+    failure, which never is the feeder's; use it with foreachBatch."""
+
+    def __init__(self, *sinks: PacketSink):
+        self.sinks = [Retiring(s) for s in sinks]
+
+    def attach(self, sink: PacketSink, video: bytes | None = None, audio: bytes | None = None) -> None:
+        """Adds a sink, which is told the present configurations at once."""
+        self.sinks.append(added := Retiring(sink))
+        if video or audio:
+            added.codecs(video, audio)
+
+    def alive(self) -> int:
+        return sum(not s.retired for s in self.sinks)
+
+    def codecs(self, video: bytes | None = None, audio: bytes | None = None) -> None:
+        for s in self.sinks:
+            s.codecs(video, audio)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            for s in self.sinks:
+                s.write(batch, batch_id)
+        finally:
+            batch.unpersist()
+
+    def finish(self) -> None:
+        for s in self.sinks:
+            s.finish()
+
 
 class FanOut:
     """Writes every micro-batch to several sinks; use it with foreachBatch.
@@ -81,15 +151,54 @@ def write_whole(path: str, data: bytes) -> None:
     os.replace(temp, path)
 
 
-def remove(path: str) -> None:
-    if os.path.exists(path):
-        os.remove(path)
+class Folder:
+    """Files by name in a local folder; each appears whole or not at all."""
+
+    def __init__(self, path: str):
+        self.path, self.bytes_written = path, 0
+
+    def write(self, name: str, data: bytes) -> None:
+        write_whole(os.path.join(self.path, name), data)
+        self.bytes_written += len(data)
+
+    def remove(self, name: str) -> None:
+        """Removes a file; one that isn't there is none."""
+        if os.path.exists(found := os.path.join(self.path, name)):
+            os.remove(found)
+
+    def names(self) -> list[str]:
+        return sorted(os.listdir(self.path)) if os.path.isdir(self.path) else []
+
+
+class Memory:
+    """The same in memory."""
+
+    def __init__(self):
+        self.files, self.bytes_written = {}, 0
+
+    def write(self, name: str, data: bytes) -> None:
+        self.files[name] = bytes(data)
+        self.bytes_written += len(data)
+
+    def remove(self, name: str) -> None:
+        self.files.pop(name, None)
+
+    def names(self) -> list[str]:
+        return sorted(self.files)
+
+
+def store(files: DataFrame, storage: Folder | Memory) -> None:
+    """Writes files(name, data) one at a time, playlists last, so that a player
+    never reads a list of what isn't there."""
+    for r in files.select("name", "data", F.col("name").endswith(".m3u8").alias("last")).orderBy("last", "name").toLocalIterator():
+        storage.write(r.name, bytes(r.data))
 
 
 def recorded_tags(packets: DataFrame, width: int = 0, height: int = 0, framerate: float = 30.0, sample_rate: int = 44_100, tolerance: int = 100) -> DataFrame:
     """(stream_id, ord, bytes): each stream as one container file, cut into its
-    header (-3), metadata (-2), configurations (-1) and tags by seq, on a time
-    base of its own.  Configurations come from the packets where they hold them."""
+    header (-4), metadata (-3), video (-2) and audio configuration (-1), and tags
+    by seq, on a time base of its own.  Configurations come from the packets
+    where they hold them."""
     times = monotonic(packets, tolerance).select("stream_id", "seq", "ndts", "origin")
     p = packets.join(times, ["stream_id", "seq"])
     video = F.col("kind") == "video"
@@ -99,33 +208,40 @@ def recorded_tags(packets: DataFrame, width: int = 0, height: int = 0, framerate
     rows = p.select("stream_id", F.col("seq").alias("ord"), tag(F.when(video, 9).otherwise(8), wire_time(F.col("ndts")), body).alias("bytes"))
     meta = codecs.metadata(width, height, framerate, sample_rate)
     streams = packets.select("stream_id").distinct()
-    head = streams.select("stream_id", F.lit(-3).cast("long").alias("ord"), F.lit(FILE_HEADER).alias("bytes"))
-    script = streams.select("stream_id", F.lit(-2).cast("long"), tag(F.lit(SCRIPT), F.lit(0), F.lit(meta)))
-    found = packets.where(video & F.col("is_key")).select("stream_id", "seq", codecs.config_of_col("data").alias("c")).where("c is not null").groupBy("stream_id").agg(F.min_by("c", "seq").alias("c"))
-    config = found.select("stream_id", F.lit(-1).cast("long"), tag(F.lit(9), F.lit(0), F.concat(F.unhex(F.lit("1700000000")), F.col("c"))))
+    place = lambda n: F.lit(n).cast("long").alias("ord")
+    head = streams.select("stream_id", place(-4), F.lit(FILE_HEADER).alias("bytes"))
+    script = streams.select("stream_id", place(-3), tag(F.lit(SCRIPT), F.lit(0), F.lit(meta)))
+    own = F.when(video & F.col("is_key"), codecs.config_of_col("data")).when(~video, audio_config(adts(F.col("data"))))
+    found = packets.select("stream_id", "seq", video.alias("video"), own.alias("c")).where("c is not null").groupBy("stream_id", "video").agg(F.min_by("c", "seq").alias("c"))
+    config = found.select("stream_id", F.when(F.col("video"), -2).otherwise(-1).cast("long"), F.when(F.col("video"), video_config_tag(F.lit(0), F.col("c"))).otherwise(audio_config_tag(F.lit(0), F.col("c"))))
     return head.union(script).union(config).union(rows)
 
 
-def record(packets: DataFrame, folder: str, **config) -> list[str]:
-    """Write recorded_tags as one file for each stream, in a shared local folder."""
-    from pyspark import TaskContext
-
-    def run(it):
-        import pandas as pd
-
-        for pdf in it:
-            for key, rows in pdf.groupby("stream_id", sort=True):
-                name = f"{folder}/stream-{key}.flv"
-                part = f"{name}.{TaskContext.get().taskAttemptId()}.part"
-                os.makedirs(folder, exist_ok=True)
-                with open(part, "ab") as f:
-                    for data in rows["bytes"]:
-                        f.write(data)
-                yield pd.DataFrame({"stream_id": [key], "part": [part], "name": [name]})
-
-    done = recorded_tags(packets, **config).repartition("stream_id").sortWithinPartitions("stream_id", "ord").mapInPandas(run, "stream_id long, part string, name string").distinct()
-    names = []
-    for r in done.toLocalIterator():
-        os.replace(r.part, r.name)
-        names.append(r.name)
-    return sorted(names)
+def record(packets: DataFrame, path: str, **config) -> str:
+    """Write recorded_tags as a table on any file system, each stream's pieces in
+    order; Spark's committer keeps out what lost executors left half written."""
+    recorded_tags(packets, **config).repartition("stream_id").sortWithinPartitions("stream_id", "ord").write.mode("overwrite").parquet(path)
+    return path
+
+
+def export_recordings(spark: SparkSession, path: str, folder: str) -> list[str]:
+    """One local container file for each stream of a recorded table, piece by piece."""
+    os.makedirs(folder, exist_ok=True)
+    names, out, temp = [], None, ""
+    try:
+        for r in spark.read.parquet(path).orderBy("stream_id", "ord").toLocalIterator():
+            name = f"{folder}/stream-{r.stream_id}.flv"
+            if not names or names[-1] != name:
+                if out:
+                    out.close()
+                    os.replace(temp, names[-1])
+                names.append(name)
+                temp = f"{name}.tmp"
+                out = open(temp, "wb")
+            out.write(r.bytes)
+    finally:
+        if out:
+            out.close()
+    if names:
+        os.replace(temp, names[-1])
+    return names

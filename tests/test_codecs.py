@@ -82,6 +82,25 @@ def test_handshake():
     assert C.reply_block(simple, C.CLIENT_KEY) == simple and C.reply_block(b"x", C.CLIENT_KEY) == bytes(C.BLOCK)
 
 
+def test_server_blocks():
+    c1 = C.plain_block(3, 4)
+    assert C.server_reply(c1) == c1 and C.digest_at(C.server_block(5, 6, signed=True), C.SERVER_KEY) == 8
+    s1 = C.server_block(0x01020304, 6)
+    assert len(s1) == C.BLOCK and s1[:8] == bytes([1, 2, 3, 4, 0, 0, 0, 0]) and C.digest_at(s1, C.SERVER_KEY) is None and C.client_reply(s1) == s1
+    signed = C.server_block(5, 6, signed=True)
+    assert C.client_reply(signed)[8:40] == signed[8:40] and C.client_reply(b"") == bytes(C.BLOCK)
+    x, slow = 77, []
+    for _ in range(40):
+        x = (x * C.LCG_MUL + C.LCG_ADD) % (1 << 64)
+        slow.append((x >> 33) & 255)
+    assert C.filler(77, 40) == bytes(slow)
+
+
+def test_dimensions_of_configurations():
+    assert C.dimensions_of_config(C.video_config(bytes.fromhex("6742C01EF40A0FC8"), b"\x68\xce")) == (320, 240)
+    assert C.dimensions_of_config(None) == C.dimensions_of_config(b"\x01") == C.dimensions_of_config(CONFIG) == (0, 0)
+
+
 def test_hmac_and_generator():
     assert C.hmac_sha256(b"key", b"The quick brown fox jumps over the lazy dog").hex() == "f7bc83f430538424b13298e6aa6fb143ef4d59a14946175997479dbc2d1a3cd8"
     assert C.SplitMix(0).integers(1)[0] == 0xE220A8397B1DCDAF
@@ -143,6 +162,7 @@ def test_chunk_reader():
     for step in (1, 7, len(data)):
         r = S.ChunkReader()
         assert [m for i in range(0, len(data), step) for m in r.messages(data[i : i + step])] == [(9, 20_000_000, payload)]
+        assert r.bytes_read == len(data)
     with pytest.raises(ValueError):
         S.ChunkReader().set_size(0)
 
@@ -150,3 +170,10 @@ def test_chunk_reader():
 def test_audio_frames():
     frame = bytes.fromhex("FFF150800140FC") + b"abc"
     assert [(t, len(f)) for t, f in S.audio_frames(frame * 3)] == [(0, 10), (23, 10), (46, 10)]
+    assert [len(f) for _, f in S.audio_frames(frame + frame[:8])] == [10, 8] and S.audio_frames(frame[:6]) == []
+
+
+def test_video_frames():
+    data = C.join_units([b"\x67a", b"\x68b", b"\x65c", b"\x41d", b"\x06e", b"\x41f"])
+    assert S.video_frames(data, 15.0) == [(0, True, C.join_units([b"\x65c"])), (66, False, C.join_units([b"\x41d"])), (133, False, C.join_units([b"\x41f"]))]
+    assert S.video_frames(b"") == []

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from streamloom.functions import codecs
-from streamloom.operators import lifecycle, ordering, segments, telemetry, timebase
+from streamloom.operators import commands, lifecycle, ordering, segments, telemetry, timebase
 from streamloom.sources import containers
 from streamloom.streaming import sinks
 
@@ -127,12 +127,106 @@ def test_recording_reads_back(spark, tmp_path):
     key = codecs.join_units([bytes.fromhex("6742000A"), bytes.fromhex("68CE3C80"), b"\x65\x88"])
     rows = [(0, "video", 0, True, key), (1, "video", 33, False, codecs.join_units([b"\x41\x77"])), (2, "audio", 40, False, bytes.fromhex("FFF150800140FC") + b"raw")]
     df = frames(spark, rows, "seq long, kind string, dts long, is_key boolean, data binary")
-    sinks.record(df, str(tmp_path))
-    tags = containers.read_tags(spark, str(tmp_path)).orderBy("ord").collect()
-    assert [(t.kind, t.ts) for t in tags] == [(18, 0), (9, 0), (9, 0), (9, 33), (8, 40)]
-    assert codecs.decode_tag(9, 33, bytes(tags[3].body))["data"] == codecs.join_units([b"\x41\x77"]) and bytes(tags[4].body)[2:] == b"raw"
+    table, folder = sinks.record(df, str(tmp_path / "table")), str(tmp_path / "files")
+    (name,) = sinks.export_recordings(spark, table, folder)
+    tags = containers.read_tags(spark, folder).orderBy("ord").collect()
+    assert [(t.kind, t.ts) for t in tags] == [(18, 0), (9, 0), (8, 0), (9, 0), (9, 33), (8, 40)]
+    assert codecs.decode_tag(8, 0, bytes(tags[2].body)) == {"what": "audio_config", "data": bytes.fromhex("0A10")}
+    assert codecs.decode_tag(9, 33, bytes(tags[4].body))["data"] == codecs.join_units([b"\x41\x77"]) and bytes(tags[5].body)[2:] == b"raw"
     spark.dataSource.register(containers.TagSource)
-    assert spark.read.format("tags").load(str(next(tmp_path.iterdir()))).count() == 5
+    assert spark.read.format("tags").load(name).count() == 6
+
+
+def test_several_recordings(spark, tmp_path):
+    key = codecs.join_units([bytes.fromhex("6742000A"), bytes.fromhex("68CE3C80"), b"\x65\x88"])
+    df = spark.createDataFrame([(s, i, "video", 10 * i, i == 0, key, 10 * i) for s in (1, 2, 3) for i in range(4)], "stream_id long, seq long, kind string, dts long, is_key boolean, data binary, pts long")
+    names = sinks.export_recordings(spark, sinks.record(df, str(tmp_path / "t")), str(tmp_path / "f"))
+    assert [n[-12:] for n in names] == ["stream-1.flv", "stream-2.flv", "stream-3.flv"]
+    assert {tuple(r) for r in containers.read_tags(spark, str(tmp_path / "f")).groupBy("path").count().select("count").collect()} == {(6,)}
+    assert sinks.export_recordings(spark, sinks.record(df.where("false"), str(tmp_path / "e")), str(tmp_path / "g")) == []
+
+
+class Log:
+    def __init__(self, fail=()):
+        self.calls, self.fail = [], fail
+
+    def codecs(self, video, audio):
+        self.calls.append(("codecs", video, audio))
+
+    def write(self, batch, batch_id):
+        if batch_id in self.fail:
+            raise OSError("gone")
+        self.calls.append(("write", batch.count()))
+
+    def finish(self):
+        self.calls.append(("finish",))
+
+
+def test_independent_sinks(spark):
+    a, b, c = Log(), Log(fail=(1,)), Log()
+    fan = sinks.Independent(a, b)
+    fan.codecs(video=b"v")
+    fan.codecs(audio=b"a")
+    for i in range(3):
+        if i == 2:
+            fan.attach(c, b"v", b"a")
+        fan(spark.range(i + 1), i)
+    assert fan.alive() == 2 and fan.sinks[1].error == "gone"
+    fan.finish()
+    fan.finish()
+    assert a.calls == [("codecs", b"v", None), ("codecs", b"v", b"a"), ("write", 1), ("write", 2), ("write", 3), ("finish",)]
+    assert b.calls == [("codecs", b"v", None), ("codecs", b"v", b"a"), ("write", 1)]
+    assert c.calls == [("codecs", b"v", b"a"), ("write", 3), ("finish",)]
+    sinks.Independent()(spark.range(1), 0)
+
+
+def test_storage(spark, tmp_path):
+    files = spark.createDataFrame([("list.m3u8", b"1"), ("a", b"22"), ("z", b"333")], "name string, data binary")
+    for storage in (sinks.Folder(str(tmp_path / "s")), sinks.Memory()):
+        sinks.store(files, storage)
+        assert storage.names() == ["a", "list.m3u8", "z"] and storage.bytes_written == 6
+        storage.remove("a")
+        storage.remove("a")
+        assert storage.names() == ["list.m3u8", "z"]
+
+
+def test_late_tracks_are_dropped(spark):
+    rows = [("video", 0, True), ("video", 1000, False), ("video", 2000, True), ("audio", 2010, False), ("video", 4000, True), ("audio", 4010, False)]
+    got = segments.cut(frames(spark, [(i, *r) for i, r in enumerate(rows)]), 1000).collect()
+    assert {r.kind for r in got} == {"video"} and len(got) == 4
+    early = [("video", 0, True), ("audio", 5, False), *rows[1:]]
+    assert segments.cut(frames(spark, [(i, *r) for i, r in enumerate(early)]), 1000).count() == 7
+
+
+def test_muxer_errors(spark):
+    df = frames(spark, [(0, "video", 0, True), (1, "video", 40, False), (2, "video", 37, False), (3, "video", -960, False), (4, "video", 80, False)]).withColumn("configured", F.col("seq") == 0)
+    got = lifecycle.muxed(df).orderBy("seq").collect()
+    assert [(r.ndts, r.error) for r in got] == [(0, None), (40, None), (40, None), (None, "ordering"), (80, None)]
+    bare = lifecycle.muxed(df.withColumn("configured", F.col("seq") == 9)).orderBy("seq").collect()
+    assert [r.error for r in bare] == ["config", None, None, "ordering", None]
+
+
+def test_gate_after_a_reconnect(spark):
+    rows = [(0, "video", 0, True, 1), (1, "video", 40, False, 1), (2, "audio", 46, False, 2), (3, "video", 160, False, 2), (4, "video", 1000, True, 2), (5, "video", 1040, False, 2)]
+    df = spark.createDataFrame([(1, *r) for r in rows], "stream_id long, seq long, kind string, dts long, is_key boolean, connection long")
+    sent, headers = lifecycle.reattached(df)
+    assert [(r.seq, r.ndts) for r in sent.orderBy("seq").collect()] == [(0, 0), (1, 40), (2, 46), (4, 1000), (5, 1040)]
+    assert [tuple(r)[1:] for r in headers.orderBy("connection").collect()] == [(1, 0, False), (2, 40, True)]
+    # without a key before, nothing is held back
+    assert lifecycle.reconnect_gate(df.withColumn("is_key", F.lit(False))).count() == 6
+
+
+def test_commands(spark):
+    rows = [(1, 0, "connect", 1.0, "live", None), (1, 1, "createStream", 2.0, None, None), (1, 2, "publish", 3.0, None, "k"), (1, 3, "connect", 4.0, "no", None), (2, 0, "connect", 1.0, "no", None), (2, 1, "publish", 2.0, None, "k"), (3, 0, "FCPublish", None, None, None), (4, 0, "publish", 1.0, None, None)]
+    log = spark.createDataFrame(rows, "conn_id long, ord long, name string, txn double, app string, key string")
+    assert sorted(tuple(r) for r in commands.negotiated(log, "live").fillna({"key": "-", "ord": -1}).collect()) == [(1, "published", "live", "k", 2), (2, "rejected", "", "-", 0), (3, "pending", "", "-", -1), (4, "invalid", "", "-", 0)]
+    got = sorted((r.conn_id, r.ord, r.reply, r.txn, r.code or "-") for r in commands.replies(log, "live").collect())
+    assert got == [(1, 0, "_result", 1.0, "-"), (1, 1, "_result", 2.0, "1"), (1, 2, "onStatus", 0.0, "NetStream.Publish.Start"), (2, 0, "_error", 1.0, "NetConnection.Connect.Rejected"), (3, 0, "_result", 1.0, "-")]
+    talk = [(1, 0, "connect", 1.0), (1, 1, "note", None), (1, 2, "_result", 9.0), (1, 3, "_result", 1.0), (1, 4, "createStream", 2.0), (1, 5, "_error", 7.0), (1, 6, "_result", 2.0), (1, 7, "publish", 3.0)]
+    log = spark.createDataFrame(talk, "conn_id long, ord long, name string, txn double")
+    asks = F.col("name").isin("connect", "createStream", "publish")
+    assert [(r.ord, r.answer, r.answer_ord) for r in commands.answers(log, asks).orderBy("ord").collect()] == [(0, "_result", 3), (4, "_error", 5), (7, "missing", None)]
+    assert commands.answers(log, asks, 2).orderBy("ord").first().answer == "missing"
 
 
 def test_messages_of_captures(spark):
