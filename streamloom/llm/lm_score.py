@@ -53,7 +53,7 @@ GROUP = 1 << 20
 #: A task adds up so many sequences before it passes them on.
 KEYS = 1 << 20
 #: A bucket has about so many tokens' sequences, or so many values.
-BUCKET_TOKENS, BUCKET_VALUES = 1 << 20, 1 << 19
+BUCKET_TOKENS, BUCKET_VALUES = 1 << 18, 1 << 17
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
