@@ -37,6 +37,8 @@ SEARCHED, PART_NODES, FIRST_NODES = 150, 6_000, 60
 AHEAD = 12
 #: Ids of so many distinct strings are remembered by a worker, in 16 bytes and 4 for each id.
 MEMORY = 1 << 20
+#: So many new strings are kept apart before they are sorted in; so many runs of letters are remembered.
+RECENT, RUNS = 1 << 16, 1 << 17
 
 _PLAIN = re.compile("[!-~\xa1-\xff]+")
 _RUN = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|[^a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff0-9\xb2\xb3\xb9\xbc-\xbe]+")
@@ -67,7 +69,35 @@ class Tokens:
 
     def forget(self) -> None:
         self.runs: dict[str, bytes] = {}
-        self.keys, self.at, self.size, self.data = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+        # sorted hashes with the places and numbers of their ids in data, the old ones and the recent ones
+        none = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.known, self.data, self.used = [none, none], np.zeros(1 << 16, "<u4"), 0
+
+    def _found(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and number of the ids of each hash; -1 if it isn't known."""
+        at, size = np.full(len(hashes), -1), np.zeros(len(hashes), np.int64)
+        for keys, places, sizes in self.known:
+            if len(keys):
+                k = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+                hit = keys[k] == hashes
+                at[hit], size[hit] = places[k[hit]], sizes[k[hit]]
+        return at, size
+
+    def _add(self, hashes: np.ndarray, found: list[bytes]) -> None:
+        size = np.array([len(x) // 4 for x in found], np.int32)
+        data = np.frombuffer(b"".join(found), "<u4")
+        if self.used + len(data) > len(self.data):
+            more = np.zeros(max(2 * len(self.data), self.used + len(data)), "<u4")
+            more[: self.used] = self.data[: self.used]
+            self.data = more
+        self.data[self.used : self.used + len(data)] = data
+        level = 1 if len(self.known[1][0]) + len(hashes) <= RECENT else 0
+        parts = self.known[level:] if level else self.known
+        keys, at, sizes = (np.concatenate([*x, y]) for x, y in zip(zip(*parts, strict=True), (hashes, self.used + np.cumsum(size, dtype=np.int64) - size, size), strict=True))
+        self.used += len(data)
+        order = np.argsort(keys)
+        none = tuple(x[:0] for x in self.known[1])
+        self.known = [self.known[0], (keys[order], at[order], sizes[order])] if level else [(keys[order], at[order], sizes[order]), none]
 
     def learn(self, new: list[str]) -> list[bytes]:
         """The ids of some strings, as little-endian unsigned 32-bit bytes."""
@@ -88,22 +118,19 @@ class Tokens:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, and each text's first, one entry more than texts."""
-        if len(self.keys) > MEMORY:
+        if sum(len(x[0]) for x in self.known) > MEMORY:
             self.forget()
+        if len(self.runs) > RUNS:
+            self.runs = {}
         w = Words(texts, _SEPARATED)
         hashes, index, back = np.unique(w.hash, return_index=True, return_inverse=True)
-        new = index[~np.isin(hashes, self.keys)]
-        if len(new):
-            found = self.learn([w.word(i).decode("utf-8", "surrogatepass") for i in new.tolist()])
-            size = np.array([len(x) // 4 for x in found])
-            keys, at = np.concatenate([self.keys, w.hash[new]]), np.concatenate([self.at, len(self.data) + np.cumsum(size) - size])
-            order = np.argsort(keys)
-            self.keys, self.at, self.size = keys[order], at[order], np.concatenate([self.size, size])[order]
-            self.data = np.concatenate([self.data, np.frombuffer(b"".join(found), "<u4")])
-        place = np.searchsorted(self.keys, hashes)[back]
-        n = self.size[place]
+        at, size = self._found(hashes)
+        if len(new := np.flatnonzero(at < 0)):
+            self._add(hashes[new], self.learn([w.word(i).decode("utf-8", "surrogatepass") for i in index[new].tolist()]))
+            at[new], size[new] = self._found(hashes[new])
+        n = size[back]
         ends = np.concatenate([[0], np.cumsum(n)])
-        return self.data[np.repeat(self.at[place] - ends[:-1], n) + np.arange(ends[-1])], ends[w.first]
+        return self.data[np.repeat(at[back] - ends[:-1], n) + np.arange(ends[-1])], ends[w.first]
 
 
 def tokens(path: str) -> Tokens:
