@@ -36,8 +36,9 @@ HUBS = 4
 #: Texts outside a bucket's largest part first meet so many central texts of it.
 CENTRAL = 16
 #: Then registers are compared in blocks of about so many rows, and each text's
-#: likeliest partners of a block are confirmed first.
-BLOCK, FIRST = 128, 2
+#: likeliest partners of a block are confirmed; what is still outside is compared
+#: by whole sets in larger blocks.
+BLOCK, FIRST, WHOLE_BLOCK = 128, 2, 512
 #: So many pairs share one copy of a text.
 STAR = 64
 
@@ -138,14 +139,18 @@ def _likely(least: float):
 
 def _meet(least: float, percent: int, first: int | None):
     """Rows come sorted by (main, salt, part, kind): the odd texts (kind 0) of a
-    block, then the texts to compare each of them with.  Gives likely pairs of
-    texts with different labels, for each odd text the `first` likeliest."""
+    block, then the texts to compare each of them with.
+
+    With `first` it gives likely pairs of texts with different labels, for each
+    odd text the `first` likeliest; else links that the sets in `shingles`
+    confirm, one for each odd text and label at most.
+    """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def pairs(odd, main):
         found = []
-        o, ol, on, oreg = odd
-        m, ml, mn, mreg = main
+        o, ol, on, oreg, oset, reached = odd
+        m, ml, mn, mreg, mset, _ = main
         for i in range(len(o)):
             at = np.flatnonzero((100 * np.minimum(mn, on[i]) >= percent * np.maximum(mn, on[i])) & (ml != ol[i]))
             # registers agree at least as often as the sets do
@@ -156,24 +161,33 @@ def _meet(least: float, percent: int, first: int | None):
             at, j = at[j >= least], j[j >= least]
             if first is not None:
                 at = at[np.lexsort((m[at], -j))[:first]]
-            found += [(min(int(o[i]), int(x)), max(int(o[i]), int(x))) for x in m[at]]
+                found += [(min(int(o[i]), int(x)), max(int(o[i]), int(x))) for x in m[at]]
+                continue
+            for k in at[np.argsort(-j, kind="stable")].tolist():
+                if int(ml[k]) not in reached[i]:
+                    a, b = np.frombuffer(oset[i], "<u8"), np.frombuffer(mset[k], "<u8")
+                    both = len(np.intersect1d(a, b, assume_unique=True))
+                    if 100 * both >= percent * (len(a) + len(b) - both):
+                        reached[i].add(int(ml[k]))
+                        found.append((min(int(o[i]), int(m[k])), max(int(o[i]), int(m[k]))))
         return found
 
     def run(it):
-        key, odd, empty = None, None, None
+        key, odd = None, None
         for batch in it:
             if not batch.num_rows:
                 continue
             main, salt, part, kind, node, label, n = (batch.column(c).to_numpy() for c in ("main", "salt", "part", "kind", "node", "label", "n"))
             regs = np.frombuffer(b"".join(batch.column("registers").to_pylist()), np.uint8).reshape(-1, M)
+            sets = batch.column("shingles").to_pylist()
             cuts = np.concatenate([[0], np.flatnonzero((main[1:] != main[:-1]) | (salt[1:] != salt[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1, [len(main)]])
             links = []
             for x, y in zip(cuts, cuts[1:], strict=False):
-                rows = node[x:y], label[x:y], n[x:y], regs[x:y]
+                rows = node[x:y], label[x:y], n[x:y], regs[x:y], sets[x:y], [set() for _ in range(x, y)]
                 if (now := (int(main[x]), int(salt[x]), int(part[x]))) != key:
-                    key, odd = now, empty
+                    key, odd = now, None
                 if kind[x] == 0:
-                    odd = rows if odd is None else tuple(np.concatenate(c) for c in zip(odd, rows, strict=True))
+                    odd = rows if odd is None else tuple(c + d if isinstance(c, list) else np.concatenate((c, d)) for c, d in zip(odd, rows, strict=True))
                 elif odd is not None:
                     links += pairs(odd, rows)
             yield out_batch(schema, a=[x for x, _ in links], b=[y for _, y in links])
@@ -193,6 +207,16 @@ def _sets(texts: list[str], size: int) -> list[np.ndarray]:
     return [np.unique(h[x:y]) for x, y in zip(first, first[1:], strict=False)]
 
 
+def _set_of(size: int):
+    schema = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
+
+    def run(it):
+        for batch, texts in batches(it):
+            yield out_batch(schema, node=batch.column("node"), shingles=[x.astype("<u8").tobytes() for x in _sets(texts, size)])
+
+    return run
+
+
 def _confirm(size: int, percent: int):
     """Rows come sorted by (hub, salt, kind): a star's hub (kind 0), then its others."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -230,6 +254,20 @@ def _links(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return found
 
 
+def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels(node, label) of components after further links(a, b), which join
+    whole components: only their labels are gone through again."""
+    own = labels.select("node", "label")
+    name = lambda c: own.select(F.col("node").alias(c), F.col("label").alias(f"l{c}"))
+    ends = links.join(name("a"), "a", "left").join(name("b"), "b", "left").select(F.coalesce("la", "a").alias("x"), F.coalesce("lb", "b").alias("y"))
+    top = components(ends.where("x <> y"), "x", "y")
+    fresh = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(own, "node", "left_anti")
+    every = own.union(fresh.select("node", F.col("node").alias("label")))
+    out = keep(every.join(top.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("node", F.coalesce("top", "label").alias("label")), "labels")
+    discard(top)
+    return out
+
+
 def _classes(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """(rows, classes): every row's doc_id, n_shingles and class; the classes of
     equal word sequences with their smallest doc_id and a number, node."""
@@ -277,16 +315,21 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
         full = full.where(alike(F.col("na"), F.col("nb")))
         return keep(full.select(F.col("x").alias("a"), F.col("y").alias("b"), "na", "nb", "ra", "rb").transform(map_arrow, _likely(percent / 100 - SLACK), "a long, b long"), "likely")
 
-    def confirmed(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = keep(classes.select("node", "doc_id", "text_hi", "text_lo").join(nodes, "node"), "wanted")
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        """(node, text): one text of each of these classes."""
+        wanted = keep(classes.select("node", "doc_id", "text_hi", "text_lo").join(nodes.select("node").distinct(), "node"), "wanted")
         first = perhaps_in(docs.select(F.col("doc_id").cast("long"), "text").where("text is not null"), wanted.select("doc_id"))
         # the texts' own keys, as an id may stand for several texts; one text of each class
         held = first.transform(map_arrow, _keyed, "text_hi long, text_lo long, doc_id long, text string")
         near = held.join(wanted.select("node", "text_hi", "text_lo", F.col("doc_id").alias("least")), ["text_hi", "text_lo"]).where("doc_id <=> least")
-        texts = keep(near.select("node", "text").dropDuplicates(["node"]), "texts")
+        found = keep(near.select("node", "text").dropDuplicates(["node"]), "texts")
+        discard(wanted)
+        return found
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        texts = texts_of(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
         found = _links(pairs, texts, size, percent)
-        discard(texts, wanted)
+        discard(texts)
         return found
 
     done = [likely(pairs)]
@@ -303,38 +346,45 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
         discard(placed, main)
         return found
 
-    def add(pairs: DataFrame) -> None:
+    def add(found: DataFrame) -> None:
         nonlocal labels
+        links.append(found)
+        if found.head(1):
+            joined = _joined(labels, found)
+            discard(labels)
+            labels = joined
+
+    def add_pairs(pairs: DataFrame) -> None:
         known = done[0]
         for p in done[1:]:
             known = known.union(p)
-        new = keep(pairs.join(known, ["a", "b"], "left_anti"), "new")
-        done.append(new)
+        done.append(new := keep(pairs.join(known, ["a", "b"], "left_anti"), "new"))
         if new.head(1):
-            links.append(confirmed(new))
-            if links[-1].head(1):
-                every = links[0]
-                for p in links[1:]:
-                    every = every.union(p)
-                discard(labels)
-                labels = components(every)
+            add(confirmed(new))
 
     def met(away: DataFrame, first: int | None) -> DataFrame:
-        """Likely pairs of the texts that are away from a part with all its texts and with each other."""
-        mains = away.select("main").distinct()
+        """The texts that are away from a part met with all its texts and with each
+        other: likely pairs, or without `first` links."""
+        mains, block = away.select("main").distinct(), BLOCK if first else WHOLE_BLOCK
         inside = labels.select(F.col("label").alias("main"), "node", "label").join(mains, "main", "left_semi")
         lone = mains.select("main", F.col("main").alias("node"), F.col("main").alias("label"))
         members = inside.union(lone).union(away).distinct()
         sizes = members.groupBy("main").agg(F.count("*").alias("nm")).join(away.groupBy("main").agg(F.count("*").alias("no")), "main")
-        sizes = keep(sizes.select("main", F.ceil(F.col("nm") / BLOCK).cast("int").alias("salts"), F.ceil(F.col("no") / BLOCK).cast("int").alias("blocks")), "sizes")
-        full = keep(members.withColumn("kind", F.lit(1)).union(away.select("main", "node", "label", F.lit(0))).join(sizes, "main").join(info, "node"), "members")
+        sizes = keep(sizes.select("main", F.ceil(F.col("nm") / block).cast("int").alias("salts"), F.ceil(F.col("no") / block).cast("int").alias("blocks")), "sizes")
+        own = info.withColumn("shingles", F.lit(None).cast("binary"))
+        if not first:
+            texts = texts_of(members)
+            sets = keep(texts.transform(map_arrow, _set_of(size), "node long, shingles binary"), "sets")
+            discard(texts)
+            own = info.join(sets, "node")
+        full = keep(members.withColumn("kind", F.lit(1)).union(away.select("main", "node", "label", F.lit(0))).join(sizes, "main").join(own, "node"), "members")
         h = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-        cols = ["main", "node", "label", "kind", "n", "registers"]
+        cols = ["main", "node", "label", "kind", "n", "registers", "shingles"]
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         rows = full.where("kind = 1").select(*cols, h("salts").alias("salt"), every("blocks").alias("part")).unionByName(full.where("kind = 0").select(*cols, every("salts").alias("salt"), h("blocks").alias("part")))
         found = rows.repartition("main", "salt", "part").sortWithinPartitions("main", "salt", "part", "kind").transform(map_arrow, _meet(percent / 100 - SLACK, percent, first), "a long, b long")
         found = keep(found.distinct(), "met")
-        discard(sizes, full)
+        discard(sizes, full, *([] if first else [sets]))
         return found
 
     away = odd() if large.head(1) else None
@@ -343,14 +393,18 @@ def _components(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, Da
         degree = links[0].select(F.col("a").alias("node")).union(links[0].select("b")).groupBy("node").agg(F.count("*").alias("d"))
         spread = F.pmod(F.xxhash64("node"), F.lit(CENTRAL))
         central = keep(labels.join(degree, "node").groupBy("label", spread).agg(F.max(F.struct("d", "node")).alias("m")).select(F.col("label").alias("main"), F.col("m.node").alias("other")), "central")
-        add(likely(away.join(central, "main").select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"))))
+        add_pairs(likely(away.join(central, "main").select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y"))))
         discard(central)
         for first in (FIRST, None):
             discard(away)
             away = odd()
             if not away.head(1):
                 break
-            add(met(away, first))
+            if first:
+                add_pairs(pairs := met(away, first))
+                discard(pairs)
+            else:
+                add(met(away, None))
     low = classes.join(labels, "node", "left").select("text_hi", "text_lo", "doc_id", F.coalesce("label", "node").alias("component"))
     least = low.groupBy("component").agg(F.min("doc_id").alias("least"))
     reached = keep(low.select("text_hi", "text_lo", "component").join(least, "component"), "reached")

@@ -69,7 +69,7 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     """Chains of texts that are just alike, in large buckets, with several blocks and stars."""
     import random
 
-    for name, value in (("SMALL_BUCKET", 2), ("CENTRAL", 1), ("BLOCK", 7), ("STAR", 3), ("FIRST", 1)):
+    for name, value in (("SMALL_BUCKET", 2), ("CENTRAL", 1), ("BLOCK", 7), ("WHOLE_BLOCK", 9), ("STAR", 3), ("FIRST", 1)):
         monkeypatch.setattr(near_dedup, name, value)
     r = random.Random(12)
     words = [f"w{r.randrange(5000)}" for _ in range(100)]
