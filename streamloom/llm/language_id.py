@@ -22,7 +22,7 @@ SAMPLE_PER_LANGUAGE = 250
 SEGMENTS, SEGMENT, JOINED = 4000, 16, 3
 TABLE_BITS, GRAMS = 16, 4
 EPOCHS, BATCH, RATE, DECAY = 4, 64, 0.3, 1e-6
-GROUP = 1 << 20
+GROUP = 1 << 19
 #: Words whose messages are held at a time; longer chains are passed through in such pieces.
 PIECE = 1 << 17
 
