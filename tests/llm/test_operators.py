@@ -501,6 +501,42 @@ def missed_words(rows, got):
     return {i: len(m) for i, m in missed.items() if m}
 
 
+def test_changed_passages_are_found(spark):
+    """Planted passages with replaced and deleted words; texts without one have none."""
+    r = random.Random(14)
+    words = lambda n: [f"x{r.randrange(10**7)}" for _ in range(n)]
+    rows, planted = [], {}
+    for n, alike in ((60, 0.85), (60, 0.9), (100, 0.8), (200, 0.8)):
+        for _ in range(40):
+            own = words(n)
+            change = set(r.sample(range(n), int(n * (1 - alike))))
+            other = [x for k, w in enumerate(own) for x in ([w] if k not in change else words(1) if r.random() < 0.5 else [])]
+            i = len(rows)
+            rows += [(i, " ".join(words(40) + own + words(40))), (i + 1, " ".join(words(30) + other + words(50)))]
+            planted[i + 1] = (i, len(other))
+    clean = range(len(rows), len(rows) + 40)
+    rows += [(i, " ".join(words(150))) for i in clean]
+    found = Counter()
+    for p in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        source, n = planted[p.doc_id]
+        assert p.source_doc_id == source and p.matching_words >= 0.8 * max(p.end_word - p.start_word, p.source_end - p.source_start)
+        found[p.doc_id] += max(0, min(p.end_word, 30 + n) - max(p.start_word, 30))
+    assert sum(found[d] >= 0.5 * n for d, (_, n) in planted.items()) >= 0.95 * len(planted)
+
+
+def test_repeated_words_stay_cheap():
+    """Gaps that nothing bounds aren't aligned word by word."""
+    import time
+
+    a, b = np.arange(9000, dtype=np.uint64), np.arange(20_000, 29_000, dtype=np.uint64)
+    b[:60], b[-60:] = a[:60], a[-60:]
+    seg = np.array([[0, 60, 0, 60], [8940, 9000, 8940, 9000]])
+    start = time.process_time()
+    parts = substring_dedup._parts(seg)
+    got = substring_dedup.passages(a, b, parts)
+    assert len(parts) == 2 and sorted(x[:2] for x in got) == [(0, 60), (8940, 9000)] and time.process_time() - start < 0.2
+
+
 def test_several_passages_of_a_pair(spark):
     r = random.Random(8)
     words = lambda n: [f"v{r.randrange(10**7)}" for _ in range(n)]
