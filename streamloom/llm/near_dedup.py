@@ -137,39 +137,77 @@ def _likely(least: float):
     return run
 
 
+#: Columns of shingles that two blocks of sets are multiplied over at a time.
+COLUMNS = 4096
+
+
+def _coordinates(sets: list[np.ndarray], vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(set, column) of the shingles that are in the sorted vocabulary, by column."""
+    size = [len(x) for x in sets]
+    values = np.concatenate(sets) if sets else np.zeros(0, U64)
+    at = np.minimum(np.searchsorted(vocabulary, values), len(vocabulary) - 1)
+    hit = vocabulary[at] == values
+    row, column = np.repeat(np.arange(len(sets)), size)[hit], at[hit]
+    order = np.argsort(column, kind="stable")
+    return row[order], column[order]
+
+
+def common_counts(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each set of a has in common with each of b, as products of 0-1 matrices."""
+    vocabulary = np.unique(np.concatenate(a)) if a else np.zeros(0, U64)
+    out = np.zeros((len(a), len(b)), np.float32)
+    if not len(vocabulary) or not b:
+        return out.astype(np.int64)
+    parts = [_coordinates(x, vocabulary) for x in (a, b)]
+    for lo in range(0, len(vocabulary), COLUMNS):
+        dense = []
+        for (row, column), n in zip(parts, out.shape, strict=True):
+            x, y = np.searchsorted(column, (lo, lo + COLUMNS))
+            m = np.zeros((n, min(COLUMNS, len(vocabulary) - lo)), np.float32)
+            m[row[x:y], column[x:y] - lo] = 1
+            dense.append(m)
+        out += dense[0] @ dense[1].T
+    return out.astype(np.int64)
+
+
 def _meet(least: float, percent: int, first: int | None):
     """Rows come sorted by (main, salt, part, kind): the odd texts (kind 0) of a
     block, then the texts to compare each of them with.
 
     With `first` it gives likely pairs of texts with different labels, for each
-    odd text the `first` likeliest; else links that the sets in `shingles`
-    confirm, one for each odd text and label at most.
+    odd text the `first` likeliest; else links of the sets in `shingles`, one
+    for each odd text and label at most.
     """
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    pair = lambda x, y: (min(int(x), int(y)), max(int(x), int(y)))
+
+    def linked(odd, main):
+        o, ol, _, _, oset, reached = odd
+        m, ml, _, _, mset, _ = main
+        a, b = ([np.frombuffer(x, "<u8") for x in sets] for sets in (oset, mset))
+        both = common_counts(a, b)
+        union = np.array([len(x) for x in a])[:, None] + np.array([len(x) for x in b]) - both
+        found = []
+        for i, k in np.argwhere((100 * both >= percent * union) & (ol[:, None] != ml)).tolist():
+            if int(ml[k]) not in reached[i]:
+                reached[i].add(int(ml[k]))
+                found.append(pair(o[i], m[k]))
+        return found
 
     def pairs(odd, main):
+        if first is None:
+            return linked(odd, main)
         found = []
-        o, ol, on, oreg, oset, reached = odd
-        m, ml, mn, mreg, mset, _ = main
+        o, ol, on, oreg, _, _ = odd
+        m, ml, mn, mreg, _, _ = main
         for i in range(len(o)):
             at = np.flatnonzero((100 * np.minimum(mn, on[i]) >= percent * np.maximum(mn, on[i])) & (ml != ol[i]))
             # registers agree at least as often as the sets do
             at = at[(mreg[at] == oreg[i]).sum(1) >= (least - 0.1) * M]
-            if not len(at):
-                continue
-            j = likeliest(np.broadcast_to(oreg[i], (len(at), M)), mreg[at], np.full(len(at), float(on[i])), mn[at].astype(float))
-            at, j = at[j >= least], j[j >= least]
-            if first is not None:
-                at = at[np.lexsort((m[at], -j))[:first]]
-                found += [(min(int(o[i]), int(x)), max(int(o[i]), int(x))) for x in m[at]]
-                continue
-            for k in at[np.argsort(-j, kind="stable")].tolist():
-                if int(ml[k]) not in reached[i]:
-                    a, b = np.frombuffer(oset[i], "<u8"), np.frombuffer(mset[k], "<u8")
-                    both = len(np.intersect1d(a, b, assume_unique=True))
-                    if 100 * both >= percent * (len(a) + len(b) - both):
-                        reached[i].add(int(ml[k]))
-                        found.append((min(int(o[i]), int(m[k])), max(int(o[i]), int(m[k]))))
+            if len(at):
+                j = likeliest(np.broadcast_to(oreg[i], (len(at), M)), mreg[at], np.full(len(at), float(on[i])), mn[at].astype(float))
+                at, j = at[j >= least], j[j >= least]
+                found += [pair(o[i], x) for x in m[at[np.lexsort((m[at], -j))[:first]]]]
         return found
 
     def run(it):

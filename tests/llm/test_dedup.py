@@ -2,7 +2,6 @@ import os
 from collections import defaultdict
 
 import duckdb
-import numpy as np
 
 from streamloom.llm import common, decontaminate, near_dedup
 
@@ -86,6 +85,19 @@ def test_blocks_lose_no_link(spark, monkeypatch):
     assert len({c for _, c in got.values()}) > 1
 
 
+def test_common_counts(monkeypatch):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(near_dedup, "COLUMNS", 16)
+    r = random.Random(2)
+    make = lambda n: [np.array(sorted(r.sample(range(90), r.randrange(40))), np.uint64) for _ in range(n)]
+    for n, m in ((7, 9), (1, 1), (0, 3), (3, 0)):
+        a, b = make(n), make(m)
+        assert near_dedup.common_counts(a, b).tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in b] for x in a]
+
+
 def test_repeated_ids_are_linked_by_their_texts(spark):
     a = [f"a{k}" for k in range(60)]
     b = [f"b{k}" for k in range(60)]
