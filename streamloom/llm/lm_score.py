@@ -53,7 +53,7 @@ GROUP = 1 << 20
 #: A task adds up so many sequences before it passes them on.
 KEYS = 1 << 20
 #: A bucket has about so many tokens' sequences, or so many values.
-BUCKET_TOKENS, BUCKET_VALUES = 1 << 18, 1 << 17
+BUCKET_TOKENS, BUCKET_VALUES = 1 << 20, 1 << 19
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -298,7 +298,8 @@ def _features(use):
             keys, docs = np.concatenate(keys), np.concatenate(docs)
             bucket = (keys >> U64(64 - t.bits)).astype(np.int64) if t.bits else np.zeros(len(keys), np.int64)
             order = np.argsort(bucket, kind="stable")
-            keys, docs, bucket = keys[order].astype("<u8"), docs[order].astype("<u4"), bucket[order]
+            # the texts of a group are few, as a rule
+            keys, docs, bucket = keys[order].astype("<u8"), docs[order].astype("<u2" if n <= 1 << 16 else "<u4"), bucket[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]]) if len(bucket) else np.zeros(1, np.int64)
             blob = lambda x: [x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]  # noqa: B023, E731
             k = len(cuts) - 1
@@ -333,7 +334,7 @@ def _look_up(it):
                 (g, value, c), parts = _values(parts), []
             out = []
             for k, d in zip(keys, own.column("docs").to_pylist(), strict=True):
-                at, d = among(g, np.frombuffer(k, "<u8")), np.frombuffer(d, "<u4").astype(np.int64)
+                at, d = among(g, np.frombuffer(k, "<u8")), np.frombuffer(d, "<u2" if 4 * len(d) == len(k) else "<u4").astype(np.int64)
                 k, d = at[at >= 0], d[at >= 0]
                 some, place = np.unique(d, return_inverse=True)
                 add = lambda z: np.bincount(place, z, len(some))  # noqa: B023, E731
