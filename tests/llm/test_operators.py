@@ -9,6 +9,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from streamloom.llm import catalog, decontaminate, language_id, lm_score, media, near_dedup, packing, pii, quality, substring_dedup, warc
@@ -565,6 +566,55 @@ def test_fragments_hide_no_partner(spark):
     assert not missed_words(rows, got)
 
 
+def fragments_and_variants():
+    """Documents with pieces of a passage, then many with all of it and own words in it, and a common line."""
+    r = random.Random(15)
+    words = lambda n: [f"y{r.randrange(10**7)}" for _ in range(n)]
+    whole, line, rows = words(90), words(17), []
+    for x in range(0, 90, 7):
+        rows.append((len(rows), " ".join(words(30) + whole[x : x + 14] + words(30))))
+    first = len(rows)
+    for i in range(16):
+        own = list(whole)
+        # every run of 50 words is changed in each of them at other places
+        for k in range(i % 11, 90, 11):
+            own[k] = words(1)[0]
+        rows.append((len(rows), " ".join(words(20) + own + words(25))))
+    rows += [(len(rows) + i, " ".join(words(30) + line + words(30))) for i in range(20)]
+    return rows, first
+
+
+def test_frequent_seeds_hide_no_partner(spark):
+    rows, first = fragments_and_variants()
+    texts = {i: t.split() for i, t in rows}
+    held = Counter()
+    for p in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        a, b = texts[p.doc_id][p.start_word : p.end_word], texts[p.source_doc_id][p.source_start : p.source_end]
+        assert first <= p.source_doc_id < p.doc_id < first + 16
+        assert len(a) >= 50 and p.matching_words >= 0.8 * max(len(a), len(b)) and p.matching_words == sum(x == y for x, y in zip(a, b, strict=True))
+        held[p.doc_id] |= sum(1 << k for k in range(p.start_word, p.end_word))
+    assert all((held[i] >> 20 & (1 << 90) - 1).bit_count() >= 80 for i in range(first + 1, first + 16))
+
+
+def test_frequent_seeds_in_blocks(monkeypatch):
+    """Of one seed's places every pair is met, also if they are compared in blocks."""
+    rows, _ = fragments_and_variants()
+    w, h, doc, pos = substring_dedup._seeds_of([t for _, t in rows])
+    around = substring_dedup.surroundings(w, w.first[doc] + pos)
+    h = h.view(np.int64)
+    cols = sorted([(*x, k.tobytes()) for *x, k in zip(h.tolist(), [0] * len(h), doc.tolist(), pos.tolist(), around, strict=True)] + [(*x, None) for x in zip(h.tolist(), [0] * len(h), doc.tolist(), pos.tolist(), strict=True)], key=lambda x: (*x[:4], x[4] or b""))
+    batch = pa.RecordBatch.from_pylist([dict(zip(("h", "part", "doc_id", "pos", "around"), x, strict=True)) for x in cols])
+    found = lambda: sorted(tuple(x.values()) for y in substring_dedup._meet([batch.slice(0, 50), batch.slice(50)]) for x in y.to_pylist())
+    want = found()
+    n = Counter((d, s) for d, s, *_ in want)
+    assert len({d for d, _ in n}) == 15 and len(n) > 15
+    for d, s, x, y, u, v, m in want:
+        assert y - x == 50 and m >= 0.8 * max(50, v - u)
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 2)
+    monkeypatch.setattr(substring_dedup, "PAIRS", 3)
+    assert {x[:2] for x in found()} == set(n)
+
+
 def test_ends_are_followed_over_gaps():
     r = random.Random(10)
     word = lambda n: np.array([r.randrange(10**9) for _ in range(n)], np.uint64)
