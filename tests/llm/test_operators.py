@@ -615,6 +615,37 @@ def test_frequent_seeds_in_blocks(monkeypatch):
     assert {x[:2] for x in found()} == set(n)
 
 
+def test_links_follow_the_places():
+    """Of places that are all alike come no more links than places, which connect what all links connect."""
+    r = random.Random(16)
+    words = lambda n: [f"z{r.randrange(10**7)}" for _ in range(n)]
+    whole, texts = words(60), []
+    for i in range(80):
+        own = words(20) + [words(1)[0] if k % 11 == i % 11 else w for k, w in enumerate(whole)] + words(20)
+        texts += [" ".join(own)] * (1 + (i % 20 == 0))
+    w, h, doc, pos = substring_dedup._seeds_of(texts)
+    around = substring_dedup.surroundings(w, w.first[doc] + pos)
+    most = 0
+    for x in np.unique(h):
+        at = np.flatnonzero(h == x)
+        i, j = (k.ravel() for k in np.meshgrid(at, at))
+        i, j = i[doc[j] < doc[i]], j[doc[j] < doc[i]]
+        ok = substring_dedup.alike(around[i], around[j])[-1]
+        links = set(zip(doc[i[ok]].tolist(), doc[j[ok]].tolist(), strict=True))
+        rows = [{"h": 1, "part": 0, "doc_id": int(doc[k]), "pos": int(pos[k]), "around": b} for k in at for b in (around[k].tobytes(), None)]
+        got = [(y["doc_id"], y["source"]) for z in substring_dedup._meet([pa.RecordBatch.from_pylist(rows)]) for y in z.to_pylist()]
+        assert len(got) < len(at) or not links
+        assert set(got) <= links and {d for d, _ in got} == {d for d, _ in links}
+        names = [{d: d for e in links for d in e} for _ in range(2)]
+        for name, edges in zip(names, (links, got), strict=True):
+            for _ in name:
+                for d, e in edges:
+                    name[d] = name[e] = min(name[d], name[e])
+        assert names[0] == names[1]
+        most = max(most, len(links))
+    assert most > 1000
+
+
 def test_ends_are_followed_over_gaps():
     r = random.Random(10)
     word = lambda n: np.array([r.randrange(10**9) for _ in range(n)], np.uint64)
