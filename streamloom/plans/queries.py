@@ -586,5 +586,5 @@ def _with_payloads(spark, d):
 def c20_segment_bytes(spark, d):
     """Each segment's bytes: sizes and digests."""
     rows = _with_payloads(spark, d)
-    made = segments.segment_bytes(rows, segments.decode_grid(rows))
+    made = segments.segment_bytes(rows, segments.decode_grid(_samples(spark, d)))
     return made.select("stream_id", "segment_no", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("digest"))
