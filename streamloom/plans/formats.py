@@ -8,7 +8,7 @@ from ..functions import codecs, scalars
 from ..operators import ordering, segments
 from ..sources import containers
 from ..sources.packets import packets
-from .queries import SAMPLES, SOFAR, TARGET, _with_payloads, query
+from .queries import SAMPLES, SOFAR, TARGET, _samples, _with_payloads, query
 
 B1 = "lpad(upper(to_hex(event_id % 200 + 1)), 2, '0')"
 _SETS = f"'01' || {B1} || '010A' || 'FFE1' || '0004' || '67' || {B1} || '010A' || '01' || '0004' || '68CE3C80'"
@@ -157,5 +157,5 @@ UNION ALL SELECT stream_id, 'playlist.m3u8', octet_length(encode('#EXTM3U' || '#
 FROM (SELECT *, list('#EXTINF:' || (duration_ms // 1000) || '.000,' || 'seg' || segment_no || '.m4s..') OVER (PARTITION BY stream_id ORDER BY segment_no ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS lines, row_number() OVER (PARTITION BY stream_id ORDER BY segment_no DESC) AS r FROM sl) WHERE r = 1""", SAMPLES)
 def k14_segment_files(spark, d):
     """The files that a finished stream leaves: start, retained segments, playlist."""
-    made = segments.files(_with_payloads(spark, d), _INIT, TARGET // 1000)
+    made = segments.files(_with_payloads(spark, d), _INIT, TARGET // 1000, timed=_samples(spark, d))
     return made.select("stream_id", "name", F.octet_length("data").alias("n"))
