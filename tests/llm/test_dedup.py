@@ -2,8 +2,9 @@ import os
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 
-from streamloom.llm import common, decontaminate, near_dedup
+from streamloom.llm import common, decontaminate, near_dedup, substring_dedup
 
 from .conftest import DATA
 
@@ -244,3 +245,20 @@ def test_discard_removes_only_the_table(spark):
     common.discard(first)
     assert not os.path.exists(first._scratch_path)
     assert second.count() == 3 and rows.count() == 7
+
+
+def test_places_are_ordered_and_hashed_once(monkeypatch):
+    """Sorts of several columns are one sort of packed numbers, and runs of a group that fits are made once."""
+    rng = np.random.default_rng(3)
+    for top in (9, 1 << 40):
+        cols = [rng.integers(0, n, 5000) for n in (50, top, 7)]
+        order = substring_dedup.ordered(*cols)
+        assert np.array_equal(np.stack(cols)[:, order], np.stack(cols)[:, np.lexsort(cols)])
+    assert len(substring_dedup.ordered(*[np.zeros(0, np.int64)] * 2)) == 0
+    calls, made = [], substring_dedup.three_words
+    monkeypatch.setattr(substring_dedup, "three_words", lambda *a: calls.append(len(a[0])) or made(*a))
+    group, around = np.repeat(np.arange(1, 5), 50), rng.integers(1, 4, (200, 2 * substring_dedup.AROUND)).astype(np.uint8)
+    once = substring_dedup.rare_runs(group, around)
+    assert calls == [200]
+    monkeypatch.setattr(substring_dedup, "TOGETHER", 10)
+    assert all(np.array_equal(x, y) for x, y in zip(once, substring_dedup.rare_runs(group, around), strict=True))
