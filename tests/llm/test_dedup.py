@@ -262,3 +262,15 @@ def test_places_are_ordered_and_hashed_once(monkeypatch):
     assert calls == [200]
     monkeypatch.setattr(substring_dedup, "TOGETHER", 10)
     assert all(np.array_equal(x, y) for x, y in zip(once, substring_dedup.rare_runs(group, around), strict=True))
+
+
+def test_both_sides_of_pairs_are_compared_at_once(monkeypatch):
+    """alike() makes one table for both sides, and distinct() gives what np.unique() does."""
+    calls, made = [], substring_dedup.side_common
+    monkeypatch.setattr(substring_dedup, "side_common", lambda a, b: calls.append(len(a)) or made(a, b))
+    rng = np.random.default_rng(4)
+    a = rng.integers(1, 9, (30, 2 * substring_dedup.AROUND)).astype(np.uint8)
+    assert substring_dedup.alike(a, a)[4].all() and not substring_dedup.alike(a, a[::-1] ^ 64)[4].any()
+    assert calls == [60, 60]
+    for x in (rng.integers(0, 50, 200), np.zeros(0, np.int64)):
+        assert np.array_equal(substring_dedup.distinct(x), np.unique(x))
